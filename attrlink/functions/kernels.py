@@ -13,6 +13,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 
 WORD = 64
 ONE = np.uint64(1)
@@ -563,6 +564,15 @@ def score_pairs(f, i, j, full=False, floor=None):
     return out
 
 
+def pair_score_frame(a: pd.Series, b: pd.Series, full: pd.Series) -> pd.DataFrame:
+    """All scores of two columns of strings; repeated strings are encoded once."""
+    seen = {}
+    i = np.fromiter((seen.setdefault(v, len(seen)) for v in a), np.int64, len(a))
+    j = np.fromiter((seen.setdefault(v, len(seen)) for v in b), np.int64, len(b))
+    scores = score_pairs(Features(list(seen)), i, j, bool(full.iloc[0]) if len(full) else False)
+    return pd.DataFrame(dict(zip(SCORES, scores)))
+
+
 def candidates(f, i, j, threshold, full=False):
     """Mask of the pairs whose upper bounds allow a score of at least ``threshold``.
 
@@ -592,13 +602,100 @@ def keep_best(q, p, score, kind, rank, k):
 
 
 def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 18):
-    """The ``k`` best presets per query of one bounded block.
+    """The ``k`` best presets per query of one bounded block: (query, preset, score, kind)."""
+    f = Features(list(queries) + list(presets))
+    nq = len(queries)
+
+    def near(i, j, need):
+        return candidates(f, i, nq + j, need, full)
+
+    def score(i, j, floor):
+        return score_pairs(f, i, nq + j, full, floor)
+
+    return _best_by_tiles(nq, len(presets), rank, threshold, k, near, score, tile)
+
+
+def best_profiled_in_block(
+    raw_q, smart_q, raw_p, smart_p, rank, case_sensitive, threshold, k, tile=1 << 18
+):
+    """The same with the scores of the per-key profile: subsequence and token scores of the smart
+    normalized values, format scores of the raw values."""
+    f = Features(list(smart_q) + list(smart_p))
+    parts = Parts(list(raw_q) + list(raw_p), case_sensitive)
+    nq = len(raw_q)
+
+    def near(i, j, need):
+        form = parts.pattern(i, nq + j) >= need
+        form |= parts.multiplier_ceiling(i, nq + j) >= need
+        return form | candidates(f, i, nq + j, np.maximum(need, PATTERN_CEILING + 1e-6))
+
+    def score(i, j, floor):
+        base = score_pairs(f, i, nq + j, False, floor)[:4]
+        return np.vstack([base, parts.pattern(i, nq + j), parts.multiplier_unit(i, nq + j)])
+
+    if threshold <= PATTERN_CEILING:
+        near = lambda i, j, need: np.ones(np.broadcast_shapes(i.shape, j.shape), bool)
+    return _best_by_tiles(nq, len(raw_p), rank, threshold, k, near, score, tile)
+
+
+class Parts:
+    """Format facts of raw values for the profile's scores."""
+
+    def __init__(self, values, case_sensitive):
+        letters = [re.findall(r"[a-zA-Z°]+", v) for v in values]
+        parts = [
+            re.findall(r"(\d+\.?\d*)\s*([mknupfMKNUPFGTgt]?)\s*([a-zA-Z°]*)", v) for v in values
+        ]
+        n = len(values)
+        self.same = _ids(values if case_sensitive else (v.lower() for v in values))
+        self.letters = _ids(" ".join(sorted(set(x))) for x in letters)
+        counts = (len(re.findall(r"\d+\.?\d*\s*[mknupfMKNUPFGTgt]", v)) for v in values)
+        self.scaled = np.fromiter(counts, np.int64, n)
+        self.count = np.fromiter((len(x) for x in parts), np.int64, n)
+        self.multipliers = _ids(repr([m for _, m, _ in x]) for x in parts)
+        self.units = _ids(repr([u for _, _, u in x]) for x in parts)
+        self.number = np.full((n, max(int(self.count.max(initial=0)), 1)), np.nan)
+        for row, found in enumerate(parts):
+            if found:
+                self.number[row, : len(found)] = [float(x) for x, _, _ in found]
+
+    def pattern(self, i, j):
+        points = PROFILED_PATTERN_POINTS
+        return (
+            points["equal"] * (self.same[i] == self.same[j])
+            + points["letters"] * (self.letters[i] == self.letters[j])
+            + points["multipliers"] * (self.scaled[i] == self.scaled[j])
+            + points["numbers"] * (self.count[i] == self.count[j])
+        ).astype(float)
+
+    def multiplier_ceiling(self, i, j):
+        points = MULTIPLIER_UNIT_POINTS
+        both = (self.count[i] > 0) & (self.count[j] > 0)
+        return both * (
+            points["multipliers"] * (self.multipliers[i] == self.multipliers[j])
+            + points["units"] * (self.units[i] == self.units[j])
+            + points["numbers"] * (self.count[i] == self.count[j])
+        )
+
+    def multiplier_unit(self, i, j):
+        """0 unless both values have a number."""
+        close = self.count[i] == self.count[j]
+        for s in range(self.number.shape[1]):
+            live = np.nonzero(close & (self.count[i] > s))[0]
+            if not len(live):
+                break
+            gap = np.abs(self.number[i[live], s] - self.number[j[live], s])
+            close[live] = gap <= NUMBER_TOLERANCE
+        lost = MULTIPLIER_UNIT_POINTS["numbers"] * (self.count[i] == self.count[j]) * ~close
+        both = (self.count[i] > 0) & (self.count[j] > 0)
+        return (self.multiplier_ceiling(i, j) - both * lost).astype(float)
 
-    Pairs are visited tile by tile, filtered by the upper bounds, and only survivors are scored;
-    at most ``k`` hits per query are kept between tiles. Returns (query, preset, score, kind).
+
+def _best_by_tiles(nq, npre, rank, threshold, k, candidates_of, scores_of, tile):
+    """Visit the block tile by tile: bound, score the survivors, keep ``k`` hits per query.
+
+    The worst kept score of a query with ``k`` hits is the bound for its next tile.
     """
-    f = Features(list(queries) + list(presets))
-    nq, npre = len(queries), len(presets)
     held = _no_hits()
     wide = min(max(npre, 1), 4096)
     tall = max(1, tile // wide)
@@ -608,7 +705,7 @@ def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 18
         need = np.full(len(q), float(threshold))
         for p0 in range(0, npre, wide):
             p = np.arange(p0, min(p0 + wide, npre))
-            near = candidates(f, q[:, None], nq + p[None, :], need[:, None], full)
+            near = candidates_of(q[:, None], p[None, :], need[:, None])
             at_q, at_p = np.nonzero(near)
             if not len(at_q):
                 continue
@@ -618,7 +715,7 @@ def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 18
                 return np.maximum(need, _kth_best(at_q, at_p, cheap, near.shape, k))[at_q]
 
             hit_q, hit_p = q[at_q], p[at_p]
-            scores = score_pairs(f, hit_q, nq + hit_p, full, floor)
+            scores = scores_of(hit_q, hit_p, floor)
             kind = scores.argmax(axis=0)
             best = scores.max(axis=0)
             ok = best >= need[at_q]
@@ -628,12 +725,12 @@ def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 18
             ]
             pick = keep_best(*kept, rank, k)
             kept = [x[pick] for x in kept]
-            full_rows, size = np.unique(kept[0], return_counts=True)
-            full_rows = full_rows[size == k]
-            if len(full_rows):
+            rows, size = np.unique(kept[0], return_counts=True)
+            rows = rows[size == k]
+            if len(rows):
                 worst = np.full(nq, np.inf)
                 np.minimum.at(worst, kept[0], kept[2])
-                need[full_rows - q0] = np.maximum(need[full_rows - q0], worst[full_rows])
+                need[rows - q0] = np.maximum(need[rows - q0], worst[rows])
         held = [np.concatenate([old, new]) for old, new in zip(held, kept)]
     return held
 
@@ -649,3 +746,38 @@ def _kth_best(at_q, at_p, score, shape, k):
     grid = np.full(shape, -1.0)
     grid[at_q, at_p] = score
     return np.partition(grid, shape[1] - k, axis=1)[:, shape[1] - k]
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def matrix(column):
+    """An Arrow list column of equal lengths as a matrix."""
+    flat = column.combine_chunks()
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), -1)
+
+
+def nearest_in_block(queries, presets, rank, threshold, k):
+    """The ``k`` largest dot products (times 100) per query of one bounded block."""
+    score = np.round(queries @ presets.T * 100.0, 6)
+    cut = np.full(len(queries), threshold, dtype=float)
+    if score.shape[1] > k:
+        at = score.shape[1] - k
+        cut = np.maximum(cut, np.partition(score, at, axis=1)[:, at])
+    at_q, at_p = np.nonzero(score >= cut[:, None])
+    value, kind = score[at_q, at_p], np.zeros(len(at_q), np.int64)
+    pick = keep_best(at_q, at_p, value, kind, rank, k)
+    return at_q[pick], at_p[pick], value[pick], kind[pick]
+
+
+def trigram_vectors(value: pd.Series, size: pd.Series) -> pd.Series:
+    """Counts of hashed character trigrams per text, scaled to unit length."""
+    out = []
+    for text, n in zip(value, size):
+        text = f" {text.lower()} "
+        grams = (text[p : p + 3] for p in range(max(len(text) - 2, 1)))
+        slots = [zlib.crc32(g.encode()) % n for g in grams]
+        counts = np.bincount(slots, minlength=n).astype(np.float64)
+        out.append(counts / np.sqrt((counts**2).sum()))
+    return pd.Series(out)

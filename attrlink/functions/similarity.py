@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,24 +30,13 @@ WEIGHTS = {
 SCORE_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in kernels.SCORES])
 
 
-@F.pandas_udf(SCORE_TYPE)
-def _pair_scores(a: pd.Series, b: pd.Series, full: pd.Series) -> pd.DataFrame:
-    left, right = a.tolist(), b.tolist()
-    seen = {}
-    i = np.fromiter((seen.setdefault(v, len(seen)) for v in left), np.int64, len(left))
-    j = np.fromiter((seen.setdefault(v, len(seen)) for v in right), np.int64, len(right))
-    features = kernels.Features(list(seen))
-    full = bool(full.iloc[0]) if len(full) else False
-    return pd.DataFrame(dict(zip(kernels.SCORES, kernels.score_pairs(features, i, j, full))))
-
-
 def pair_scores(a, b, full: bool = False) -> Column:
     """Struct of all scores of two normalized strings; field order breaks ties.
 
     Without ``full``, Jaro-Winkler and Levenshtein stay 0 and the number rules of the pattern
     score hold for strings without numbers too.
     """
-    return _pair_scores(_col(a), _col(b), F.lit(full))
+    return F.pandas_udf(kernels.pair_score_frame, SCORE_TYPE)(_col(a), _col(b), F.lit(full))
 
 
 def best_score(scores: Column) -> Column:

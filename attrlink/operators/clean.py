@@ -20,6 +20,8 @@ from ..schema import (
     REFERENCE_HEADERS,
 )
 
+IDS = ("row_id", "input_id")
+
 
 # ------------------------------------------------------------------ validation
 
@@ -83,20 +85,17 @@ def infer_inputs(df: DataFrame, compat_positional: bool = False) -> DataFrame:
     """Without a category column, take the fields by position (three columns or more).
 
     With exactly three columns there is no value column and ``input_value`` is empty;
-    ``compat_positional`` repeats the category there instead.
+    ``compat_positional`` repeats the category there instead. Row identifiers are not counted.
     """
-    if "Category" in df.columns or "category" in df.columns or len(df.columns) < 3:
+    names = [c for c in df.columns if c not in IDS]
+    if "Category" in names or "category" in names or len(names) < 3:
         return df
-    names = df.columns
-    fields = [F.col(f"`{n}`") for n in names[:3]]
-    if len(names) > 3:
-        value = F.col(f"`{names[3]}`")
-    else:
-        value = fields[0] if compat_positional else F.lit("")
-    taken = {"Sub-Category", "Attribute Name", "Input Value", *INPUT_COLUMNS}
-    rest = [F.col(f"`{n}`") for n in names if n not in taken]
-    new = [f.alias(n) for f, n in zip([*fields, value], INPUT_COLUMNS)]
-    return df.select(*rest, *new)
+    fields = [F.col(f"`{n}`") for n in names[:4]]
+    if len(fields) == 3:
+        fields.append(fields[0] if compat_positional else F.lit(""))
+    return df.select(
+        *(c for c in df.columns if c in IDS), *(f.alias(n) for f, n in zip(fields, INPUT_COLUMNS))
+    )
 
 
 # ------------------------------------------------------------------ cleaning
@@ -107,7 +106,7 @@ def clean(df: DataFrame, columns) -> DataFrame:
 
     The key filter comes before the strip: keys made of spaces survive one pass.
     """
-    data = [c for c in df.columns if c != "row_id" and c != "input_id"]
+    data = [c for c in df.columns if c not in IDS]
     present = [c for c in columns if c in df.columns]
     empty = reduce(lambda a, b: a & b, (F.col(c) == "" for c in KEYS))
     return (

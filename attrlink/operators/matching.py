@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,44 +79,21 @@ def fuzzy(
 
 
 def hashed_trigrams(column, size: int = 256) -> Column:
-    """Default text encoder: counts of hashed character trigrams, scaled to unit length."""
-    value = F.concat(F.lit(" "), F.lower(X.text(column)), F.lit(" "))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.char_length(value) - 2, F.lit(1))),
-        lambda i: F.pmod(
-            F.conv(F.substring(F.md5(value.substr(i, F.lit(3))), 1, 8), 16, 10).cast("long"), size
-        ),
-    )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"),
-    )
-    return unit_length(counts)
-
-
-def unit_length(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(flat), -1)
+    """Default text encoder: hashed character trigrams. Any column function that returns an
+    array of doubles of one length can take its place."""
+    encode = F.pandas_udf(kernels.trigram_vectors, "array<double>")
+    return encode(X.text(column), F.lit(size))
 
 
 def vector_search(k: int, threshold: float):
     def search(q: pa.Table, p: pa.Table):
-        score = np.round(_matrix(q.column("vector")) @ _matrix(p.column("vector")).T * 100.0, 6)
-        rank = p.column("rank").to_numpy()
-        cut = np.maximum(threshold, np.partition(score, max(score.shape[1] - k, 0), axis=1)[
-            :, max(score.shape[1] - k, 0)
-        ])
-        at_q, at_p = np.nonzero(score >= cut[:, None])
-        value = score[at_q, at_p]
-        kind = np.zeros(len(at_q), np.int64)
-        pick = kernels.keep_best(at_q, at_p, value, kind, rank, k)
-        return at_q[pick], at_p[pick], value[pick], kind[pick]
+        return kernels.nearest_in_block(
+            kernels.matrix(q.column("vector")),
+            kernels.matrix(p.column("vector")),
+            p.column("rank").to_numpy(),
+            threshold,
+            k,
+        )
 
     return search
 

@@ -6,7 +6,7 @@ is a codegen expression on the row, with no join and no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -116,7 +116,7 @@ def expand_synonyms(value, attribute) -> Column:
         options = F.try_element_at(table, token)
         scoped = F.try_element_at(F.filter(options, lambda o: topic.contains(o)), F.lit(1))
         return F.coalesce(
-            F.when(F.size(options) == 1, options[0]).otherwise(scoped), token
+            F.when(F.size(options) == 1, F.get(options, F.lit(0))).otherwise(scoped), token
         )
 
     return F.array_join(F.transform(X.tokens(F.lower(X._col(value))), replace), " ")
@@ -138,7 +138,8 @@ def unit_matches(
     def one(df, value):
         q = quantities(value, "attribute_name")
         df = df.withColumn("q", q).filter(F.size("q") == 1)
-        return df.withColumns({"dimension": F.col("q")[0]["dimension"], "base": F.col("q")[0]["base"]})
+        only = F.get("q", F.lit(0))
+        return df.withColumns({"dimension": only["dimension"], "base": only["base"]})
 
     known = first_rows(one(reference, "preset_value"), by, ["preset_value"], k)
     known = known.withColumnRenamed("base", "preset_base")
@@ -160,6 +161,8 @@ def unit_matches(
             F.col("preset_base").alias("preset_base"),
         ),
     )
+    nearest = Window.partitionBy(*by).orderBy(gap, "rank")
+    pairs = pairs.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
     answers = pairs.groupBy(*by).agg(
         F.slice(F.array_sort(F.flatten(F.collect_list(found))), 1, k).alias("matches")
     )

@@ -78,6 +78,7 @@ def match_values(
         if encoder is not None:
             answers = stage(answers, "answers")
             open_ = answers.filter("size(matches) = 0")
+    answers = answers.select(*ask, "matches")
     found = inputs.join(answers, ask, "left" if emit_unmatched else "inner")
     if encoder is not None:
         values = inputs.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
