@@ -79,6 +79,8 @@ def block_hits(
     ``search`` gets the two blocks and returns (query row, preset row, score, kind) arrays.
     The result has the keys, the ``by_query`` columns, the preset ``payload``, score and kind.
     """
+    # both sides may come from one table: give the presets column identities of their own
+    presets = presets.select(*(F.col(c).alias(c) for c in presets.columns))
     left, right = add_blocks(queries, presets, keys, by_query, by_preset)
     carried = [*keys, *by_query]
     fields = [queries.schema[c] for c in carried] + [presets.schema[c] for c in payload]

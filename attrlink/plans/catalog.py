@@ -283,7 +283,10 @@ def key_profile(spark, folder):
         *KEYS, F.col("values").alias("n_values"), "typical_format", "case_sensitivity", "min_value",
         "max_value", *(F.concat_ws("/", F.col(c).cast("array<string>")).alias(c) for c in lists),
         *(F.col(f"case_patterns.{c}").alias(c) for c in P.CASES),
-        *(F.try_element_at("multipliers", F.lit(m)).alias(f"has_{m}") for m in ("m", "g", "t", "G")),
+        *(
+            F.try_element_at("multipliers", F.lit(m)).alias(n)
+            for m, n in (("m", "has_m"), ("g", "has_g"), ("t", "has_t"), ("G", "has_upper_g"))
+        ),
     )
 
 
@@ -436,7 +439,7 @@ def unit_match(spark, folder):
     """Sizes in inches against reference sizes in millimetres of the same key."""
     inputs = V.table(spark, folder, "part").selectExpr(
         "p_partkey AS input_id", "p_type AS category", f"{V.BAND} AS sub_category",
-        "'Size' AS attribute_name", "concat(round(p_size / 25.4, 4), ' in') AS input_value",
+        "'Size' AS attribute_name", "concat(round(p_size / 25.4D, 4), ' in') AS input_value",
     )
     found = U.unit_matches(inputs, V.reference(spark, folder), k=3)
     return found.select("input_id", "match_rank", "input_value", "preset_row_id", "preset_value")
