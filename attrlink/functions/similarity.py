@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import compute_partitions
 from . import kernels
 from .text import DIGIT, SPACE, _col, numbers
 
@@ -62,7 +63,8 @@ def score_pairs(df: DataFrame, a: str, b: str, full: bool = False) -> DataFrame:
     The pair columns are grouped first, so repeated pairs (and hot ones) cost one score and
     combine before the shuffle; the scores then join back on the pair.
     """
-    pairs = df.select(a, b).distinct()
+    n = compute_partitions(df.sparkSession)
+    pairs = df.select(a, b).distinct().repartition(n, a, b)
     scored = pairs.withColumn("scores", pair_scores(a, b, full))
     scored = scored.withColumn("score", best_score(F.col("scores")))
     scored = scored.withColumn("match_type", best_type(F.col("scores"), F.col("score")))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..session import stage
+from ..session import compute_partitions, stage
 
 # executors need no copy of this package: the numpy helpers travel with the task
 cloudpickle.register_pickle_by_value(kernels)
@@ -45,11 +45,8 @@ def add_blocks(queries: DataFrame, presets: DataFrame, keys: list[str], by_query
         )
         large = stage(large, "large-keys")
         if large.isEmpty():
-            one = F.lit(0)
-            return (
-                queries.withColumns({"qb": one, "pb": one}),
-                presets.withColumns({"qb": one, "pb": one}),
-            )
+            only = {"qb": F.lit(0), "pb": F.lit(0)}
+            return queries.withColumns(only), presets.withColumns(only)
         queries = queries.join(large, keys, "left")
         presets = presets.join(large, keys, "left")
         nq, n_p = F.coalesce("nq", F.lit(1)), F.coalesce("np", F.lit(1))
@@ -101,8 +98,15 @@ def block_hits(
         hits = hits.append_column("score", pa.array(score, pa.float64()))
         return hits.append_column("kind", pa.array(kind, pa.int32()))
 
-    group = [*keys, "qb", "pb"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
+    # one text names the meeting of two blocks; as a computed column it keeps the number of
+    # partitions asked for even where a key column is constant
+    cell = F.to_json(F.struct(*keys, "qb", "pb"))
+    n = compute_partitions(queries.sparkSession)
+    left, right = (
+        side.withColumn("cell", cell).repartition(n, "cell").groupBy("cell")
+        for side in (left, right)
+    )
+    return left.cogroup(right).applyInArrow(meet, schema)
 
 
 def merge_hits(hits: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -49,3 +49,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for steps whose work is far larger than their bytes.
+
+    Adaptive execution merges shuffle partitions by size; a few megabytes of values can stand for
+    billions of pairs, so such steps name their number of partitions, which is then kept.
+    """
+    set_number = spark.conf.get("spark.sql.shuffle.partitions", "200")
+    shuffle = int(set_number) if set_number.isdigit() else 200
+    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
