@@ -60,12 +60,9 @@ def truncate(column, length: int = 100) -> Column:
 
 
 def percent(column, digits: int = 1) -> Column:
-    """A score as text, ``85.7%``; rounds the binary value half-even like C formatting."""
-    return F.concat(F.format_string(f"%.{digits}f", exact_round(column, digits)), F.lit("%"))
-
-
-def exact_round(column, digits: int) -> Column:
-    return F.bround(_col(column).cast("double"), digits)
+    """A score as text, ``85.7%``; ties round half-even, null stays null."""
+    value = F.bround(_col(column).cast("double"), digits)
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f%%", value))
 
 
 def tokens(column) -> Column:
