@@ -26,10 +26,11 @@ def strip(column) -> Column:
     return F.regexp_replace(_col(column), f"^{SPACE}+|{SPACE}+$", "")
 
 
-def normalize(column) -> Column:
+def normalize(column, lower: bool = True) -> Column:
     """Strip, lower, collapse whitespace, then drop symbols; in that order, so a dropped symbol
     can leave two spaces behind."""
-    spaced = F.regexp_replace(F.lower(strip(text(column))), f"{SPACE}+", " ")
+    value = strip(text(column))
+    spaced = F.regexp_replace(F.lower(value) if lower else value, f"{SPACE}+", " ")
     return F.regexp_replace(spaced, f"[^{KEPT}]", "")
 
 

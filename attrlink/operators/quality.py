@@ -12,24 +12,44 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
 
 
+WIDE = 64
+
+
+def short_key(value: Column) -> Column:
+    """A value, or for a long one its start and its digest: as distinct, but narrow to shuffle."""
+    start = F.substring(value, 1, WIDE)
+    return F.when(
+        F.char_length(value) > WIDE, F.concat(start, F.lit("#"), F.sha2(value, 256))
+    ).otherwise(value)
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in text_columns(df)]
+    return df.select(F.inline(F.array(*cells))).withColumn("key", short_key(F.col("value")))
+
+
 def value_counts(df: DataFrame) -> DataFrame:
-    """``(column, value, count)`` over all text columns; one scan and one shuffle.
+    """``(column, key, count)`` over all text columns; one scan and one shuffle.
 
-    Rows are counted on the map side first, so a hot value crosses the network once per task.
+    Rows are counted on the map side first, so a hot value crosses the network once per task, and
+    whole texts never do: long values travel as digests.
     """
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in text_columns(df)]
-    return (
-        df.select(F.inline(F.array(*cells)))
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("count"))
-    )
+    return _cells(df).groupBy("column", "key").agg(F.count("*").alias("count"))
 
 
 def top_values(df: DataFrame, n: int = 5) -> DataFrame:
-    """The ``n`` most frequent values per text column; equal counts by value."""
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    counts = value_counts(df).filter("value IS NOT NULL")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    """The ``n`` most frequent values per text column; equal counts by value.
+
+    Counted by key; the few texts that made it are then fetched by a broadcast of ``n`` keys per
+    column.
+    """
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "key")
+    counts = value_counts(df).filter("key IS NOT NULL")
+    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    texts = _cells(df).join(F.broadcast(top), ["column", "key"])
+    return texts.groupBy("column", "key", "count", "rank").agg(F.any_value("value").alias("value")).select(
+        "column", "value", "count", "rank"
+    )
 
 
 def most_common(df: DataFrame) -> DataFrame:
@@ -42,8 +62,8 @@ def data_summary(df: DataFrame) -> DataFrame:
     and null counts per text column. An empty table has no summary."""
     counts = value_counts(df)
     per_column = counts.groupBy("column").agg(
-        F.count("value").alias("unique"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null"),
+        F.count("key").alias("unique"),
+        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("count"))), F.lit(0)).alias("null"),
     )
     whole = df.agg(F.count("*").alias("total_records"))
     whole = whole.filter("total_records > 0").select(
@@ -120,7 +140,7 @@ def quality_report(df: DataFrame) -> DataFrame:
             )
         ),
     )
-    unique = value_counts(df).groupBy("column").agg(F.count("value").alias("n"))
+    unique = value_counts(df).groupBy("column").agg(F.count("key").alias("n"))
     unique = unique.select("column", F.inline(_metrics(unique_values=F.col("n"))))
     total = df.agg(F.count("*").alias("n")).select(
         F.lit("").alias("column"),

@@ -6,6 +6,8 @@ is a codegen expression on the row, with no join and no shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,44 @@ def expand_synonyms(value, attribute) -> Column:
     return F.array_join(F.transform(X.tokens(F.lower(X._col(value))), replace), " ")
 
 
+@dataclass(frozen=True)
+class ValueRules:
+    """What counts as the same spelling of a value; the defaults are plain normalization."""
+
+    normalize_case: bool = True
+    remove_punctuation: bool = False
+    handle_units: bool = False
+    handle_synonyms: bool = False
+    handle_abbreviations: bool = False
+
+    def apply(self, value, attribute) -> Column:
+        v = X.text(value)
+        if self.handle_units:
+            v = base_units(v, attribute)
+        if self.handle_synonyms:
+            v = expand_synonyms(v, attribute)
+        if self.handle_abbreviations:
+            v = expand_abbreviations(v)
+        v = X.normalize(v, lower=self.normalize_case)
+        if self.remove_punctuation:
+            v = F.array_join(X.tokens(F.regexp_replace(v, r"[^\p{L}\p{N}_ ]", " ")), " ")
+        return v
+
+
+def base_units(value, attribute) -> Column:
+    """A value with its quantities in base units, if every quantity in it is known."""
+    value = X._col(value)
+    known = quantities(value, attribute)
+    all_known = F.size(known) == F.size(F.regexp_extract_all(value, F.lit(QUANTITY), F.lit(0)))
+    rest = F.array_join(X.tokens(F.regexp_replace(value, QUANTITY, " ")), " ")
+    parts = F.transform(
+        known,
+        lambda q: F.concat(round_significant(q["base"]).cast("string"), F.lit(" "), q["dimension"]),
+    )
+    rewritten = F.array_join(F.concat(F.filter(F.array(rest), lambda r: r != ""), parts), " ")
+    return F.when((F.size(known) > 0) & all_known, rewritten).otherwise(value)
+
+
 def unit_matches(
     inputs: DataFrame, reference: DataFrame, tolerance: float = 0.001, k: int = 5
 ) -> DataFrame:

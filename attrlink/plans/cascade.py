@@ -11,9 +11,11 @@ from ..functions import kernels
 from ..functions import text as X
 from ..operators import clean as C
 from ..operators import matching as M
-from ..schema import EXACT, INPUT_VALUE, KEYS, NOT_FOUND, RESULT_SCHEMA, SIMILAR
+from ..operators.terms import ValueRules
+from ..schema import EXACT, INPUT_VALUE, KEYS, NOT_FOUND, PRESET_VALUE, RESULT_SCHEMA, SIMILAR
 from ..session import stage
 
+ANSWER_KEY = [*KEYS, "normalized"]
 EXACT_COMMENT = "Exact match found"
 CROSS_COMMENT = "Cross-category match: "
 SEMANTIC_COMMENT = "Semantic similarity match"
@@ -29,6 +31,9 @@ def match_values(
     encoder: Callable[[str], Column] | None = None,
     cross_key: bool = True,
     distinct_inputs: bool = False,
+    rules: ValueRules | None = None,
+    cross_key_sample: int | None = None,
+    semantic_sample: int | None = None,
 ) -> DataFrame:
     """Match every input row against the reference table; rows as in ``RESULT_SCHEMA``.
 
@@ -43,6 +48,9 @@ def match_values(
     ``profile`` is ``observed``, ``full`` (both edit measures, guarded number rules) or
     ``profiled`` (per-key learned formats, see ``operators.profiles``). ``emit_unmatched`` adds a
     ``Not Found`` row for each input without a match. ``distinct_inputs`` drops repeated inputs.
+    ``rules`` widens what counts as the same spelling (units, synonyms, abbreviations,
+    punctuation). The two sample sizes limit stages 3 and 4 to a seeded sample of the reference;
+    by default they see all of it.
 
     The questions are asked once per distinct key and value; the answers, bounded arrays, join
     back to the inputs at the end, which is the one shuffle of the input table.
@@ -57,13 +65,21 @@ def match_values(
     inputs = C.prepare_inputs(inputs)
     if distinct_inputs:
         inputs = inputs.dropDuplicates([*KEYS, INPUT_VALUE])
-    inputs = inputs.withColumn("normalized", X.normalize(INPUT_VALUE))
-    reference = C.add_computed_columns(reference)
+    if rules is None:
+        inputs = inputs.withColumn("normalized", X.normalize(INPUT_VALUE))
+        reference = C.add_computed_columns(reference)
+    else:
+        inputs = inputs.withColumn("normalized", rules.apply(INPUT_VALUE, "attribute_name"))
+        reference = reference.withColumn("normalized", rules.apply(PRESET_VALUE, "attribute_name"))
 
-    answers, ask = first_stages(inputs, reference, float(threshold), k, full)
+    answers, ask, values = first_stages(inputs, reference, float(threshold), k, full)
     open_ = answers.filter("size(matches) = 0")
     if cross_key:
-        across = stage(match_across(open_, reference, threshold, k, full), "across")
+        if cross_key_sample is not None:
+            values = M.first_rows(
+                M.sample_rows(reference, cross_key_sample), ANSWER_KEY, [PRESET_VALUE], k
+            )
+        across = stage(match_across(open_, values, threshold, k, full), "across")
         answers = (
             answers.alias("a")
             .join(across.select("normalized", F.col("matches").alias("more")), "normalized", "left")
@@ -81,8 +97,9 @@ def match_values(
     answers = answers.select(*ask, "matches")
     found = inputs.join(answers, ask, "left" if emit_unmatched else "inner")
     if encoder is not None:
-        values = inputs.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
-        near = stage(match_vectors(values, reference, encoder, threshold, k), "vectors")
+        asked = inputs.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
+        pool = reference if semantic_sample is None else M.sample_rows(reference, semantic_sample)
+        near = stage(match_vectors(asked, pool, encoder, threshold, k), "vectors")
         found = (
             found.join(near.withColumnRenamed("matches", "near"), INPUT_VALUE, "left")
             .withColumn(
@@ -97,9 +114,10 @@ def match_values(
 
 
 def match_in_key(inputs, reference, threshold, k, full):
-    """Answers of the first two stages per distinct (key, normalized value); staged."""
-    ask = [*KEYS, "normalized"]
-    values = M.first_rows(reference, ask, ["preset_value"], k)
+    """Answers of the first two stages per distinct (key, normalized value); staged, with the
+    question columns and the reduced reference table, which all later steps read."""
+    ask = ANSWER_KEY
+    values = stage(M.first_rows(reference, ask, [PRESET_VALUE], k), "values")
     asked = stage(M.exact_in_key(M.distinct_queries(inputs, ask), values), "exact")
     left = asked.filter("exact IS NULL").select(*ask)
     near = M.fuzzy(left, values, KEYS, threshold, k, full)
@@ -122,14 +140,19 @@ def match_in_key(inputs, reference, threshold, k, full):
         .withColumn("matches", F.when(F.col("exact").isNotNull(), F.array(exact)).otherwise(fuzzy))
         .select(*ask, "matches")
     )
-    return stage(answers, "in-key"), ask
+    return stage(answers, "in-key"), ask, values
 
 
-def match_across(open_, reference, threshold, k, full=False):
-    """Answers over the whole reference table per distinct normalized value."""
-    values = M.first_rows(reference, ["normalized"], ["preset_value", *KEYS], k)
+def match_across(open_, values, threshold, k, full=False):
+    """Answers over all keys per distinct normalized value.
+
+    The first ``k`` rows of a value over all keys are among its first ``k`` rows per key, so the
+    reduced table is enough.
+    """
+    rows = values.select(*ANSWER_KEY, F.inline("rows"))
+    values = M.first_rows(rows, ["normalized"], [PRESET_VALUE, *KEYS], k)
     asked = open_.select("normalized").distinct()
-    asked, values = stage(asked, "open"), stage(values, "values")
+    asked, values = stage(asked, "open"), stage(values, "all-values")
     near = M.fuzzy(asked, values, [], threshold, k, full)
     return near.select(
         "normalized",

@@ -74,7 +74,8 @@ def match_profiled(inputs, reference, threshold, k, full):
         .otherwise(fuzzy)
     )
     answers = asked.join(near, ASK, "left").withColumn("matches", matches)
-    return stage(answers.select(*ASK, "normalized", "matches"), "in-key"), ASK
+    answers = stage(answers.select(*ASK, "normalized", "matches"), "in-key")
+    return answers, ASK, M.first_rows(reference, [*KEYS, "normalized"], ["preset_value"], k)
 
 
 def _fuzzy_answer(m, match_type):

@@ -21,7 +21,8 @@ def draw(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
     not depend on partitions or reruns."""
 
     def pick(name, pool):
-        place = F.pmod(F.xxhash64(F.col(id_column), F.lit(name), F.lit(seed)), F.lit(len(pool)))
+        digest = F.md5(F.concat_ws("|", F.col(id_column).cast("string"), F.lit(name), F.lit(str(seed))))
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(pool)
         return F.element_at(F.array(*(F.lit(v) for v in pool)), (place + 1).cast("int"))
 
     return df.select(

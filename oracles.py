@@ -517,6 +517,16 @@ SQL["upsert_reference"] = f"""
 SQL["snapshot_roundtrip"] = f"""
   SELECT row_id, category, sub_category, attribute_name, preset_value, {COMPUTED} FROM ({CLEANED})
   WHERE NOT (category = '' AND sub_category = '' AND attribute_name = '')"""
+_POOLS = {
+    "category": ["Switches", "Connectors", "Sensors", "Resistors", "Capacitors"],
+    "sub_category": ["Push Button", "Terminal Block", "Temperature", "Carbon Film", "Ceramic"],
+    "attribute_name": ["Brand", "Voltage", "Current", "Resistance", "Capacitance"],
+    "input_value": ["EAO, 02", "24V", "1A", "10kΩ", "100µF", "IDEC, AL6", "12V", "2A", "1kΩ", "47µF"],
+}
+SQL["sample_data"] = "SELECT o_orderkey AS input_id, " + ", ".join(
+    f"({pool})[1 + ('0x' || left(md5(o_orderkey || '|{name}|42'), 8))::BIGINT % {len(pool)}] AS {name}"
+    for name, pool in _POOLS.items()
+) + " FROM orders"
 SQL["snapshot_info"] = "SELECT true AS \"exists\", true AS has_bytes"
 
 

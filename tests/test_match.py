@@ -3,7 +3,7 @@ import random
 import fixtures as X
 import naive
 import pytest
-from attrlink import display_columns, hashed_trigrams, match_values
+from attrlink import ValueRules, display_columns, hashed_trigrams, match_values
 from attrlink.operators import blocks
 from attrlink.schema import RESULT_HEADERS, RESULT_SCHEMA
 
@@ -150,6 +150,30 @@ def test_distinct_inputs(spark):
     assert match_values(inputs, presets, distinct_inputs=True).count() == 1
 
 
+def test_rules(spark):
+    key = ("a", "b", "Weight")
+    presets = X.presets(spark, [(1, *key, "44.09 lb"), (2, *key, "max power"), (3, "a", "b", "Speed", "1500 MHz")])
+    inputs = X.inputs(spark, [(1, *key, "20 kg"), (2, *key, "Maximum watts"), (3, "a", "b", "Speed", "1.5GHz")])
+    plain = match_values(inputs, presets, cross_key=False)
+    assert plain.filter("status = 'Exact Match'").count() == 0
+    rules = ValueRules(handle_units=True, handle_synonyms=True, handle_abbreviations=True)
+    rows = match_values(inputs, presets, cross_key=False, rules=rules).orderBy("input_id").collect()
+    assert [(r.input_id, r.preset_row_id, r.match_type) for r in rows] == [(i, i, "exact") for i in (1, 2, 3)]
+    loose = ValueRules(remove_punctuation=True)
+    one = match_values(X.inputs(spark, [(1, *key, "a, b")]), X.presets(spark, [(1, *key, "A B.")]), rules=loose)
+    assert one.first().status == "Exact Match"
+    strict = ValueRules(normalize_case=False)
+    two = match_values(X.inputs(spark, [(1, *key, "ab")]), X.presets(spark, [(1, *key, "AB")]), rules=strict)
+    assert two.count() == 0
+
+
+def test_samples(spark):
+    inputs = X.inputs(spark, [(i, "x", "y", "z", "24V") for i in range(3)])
+    whole = match_values(inputs, X.presets(spark), max_matches=50)
+    assert match_values(inputs, X.presets(spark), max_matches=50, cross_key_sample=32).count() == whole.count()
+    assert match_values(inputs, X.presets(spark), max_matches=50, cross_key_sample=0).count() == 0
+
+
 def test_unknown_profile(spark):
     with pytest.raises(ValueError):
         match_values(X.inputs(spark), X.presets(spark), profile="other")
