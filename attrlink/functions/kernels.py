@@ -47,6 +47,10 @@ QUOTIENT_RANGE = (0.1, 10.0)
 NUMBER_TOLERANCE = 0.001
 # The pattern score of two different normalized strings cannot exceed this sum.
 PATTERN_CEILING = 70.0
+# Bounds are single precision; this much is added so that rounding never drops a pair.
+ROUNDING = 0.001
+# Promising pairs per query that are scored first, to learn how good its best matches are.
+SEEDS = 24
 
 
 # ------------------------------------------------------------------ encoding
@@ -110,55 +114,66 @@ def ratio(enc, i, j):
     return subsequence_ratio(lcs(enc, i, j), enc.length[i], enc.length[j])
 
 
-def _best_window(enc, i, j):
-    """Best ratio of needle ``i`` against the windows of text ``j`` (needle not longer)."""
+def _best_window(enc, i, j, floor):
+    """Best ratio of needle ``i`` against the windows of text ``j`` (needle not longer).
+
+    Exact where it exceeds ``floor`` (an array), else 0.
+    """
     order = np.argsort(-enc.length[i], kind="stable")
-    ni, tj = i[order], j[order]
+    ni, tj, best = i[order], j[order], np.maximum(floor[order], 0.0)
     nlen, tlen = enc.length[ni], enc.length[tj]
     full = low_bits(nlen)
-    best = np.zeros(len(ni))
     # windows at the start of the text, of every length up to the needle's
     state = np.full(len(ni), FULL, dtype=np.uint64)
+    last = int(tlen.max(initial=0))
+    hits = np.zeros((len(ni), last), dtype=np.uint64)
+    for s in range(last):
+        hits[:, s] = enc.mask[ni, enc.code[tj, s]]
     for s in range(int(nlen.max(initial=0))):
         n = int(np.searchsorted(-nlen, -s, side="left"))
-        state[:n] = _advance(state[:n], enc.mask[ni[:n], enc.code[tj[:n], s]])
+        state[:n] = _advance(state[:n], hits[:n, s])
         got = np.bitwise_count(~state[:n] & full[:n])
         np.maximum(best[:n], 200.0 * got / (nlen[:n] + s + 1), out=best[:n])
     # later windows: full length, or cut by the end of the text. A window that starts with a
-    # character foreign to the needle is never better than the next one, so it is left out.
-    for p in range(1, int(tlen.max(initial=0))):
-        live = np.nonzero((tlen > p) & (best < 100.0))[0]
-        live = live[enc.mask[ni[live], enc.code[tj[live], p]] != 0]
+    # character foreign to the needle is never better than the next one, and no window is better
+    # than the count of its characters that the needle has.
+    known = np.zeros((len(ni), last + 1), dtype=np.int32)
+    np.cumsum(hits[:, :last] != 0, axis=1, out=known[:, 1:])
+    for p in range(1, last):
+        width = np.minimum(nlen, tlen - p)
+        some = np.nonzero((width > 0) & (hits[:, p] != 0))[0]
+        most = known[some, np.minimum(p + nlen[some], last)] - known[some, p]
+        live = some[200.0 * most / (nlen[some] + width[some]) > best[some]]
         if not len(live):
             continue
-        a, b = ni[live], tj[live]
         need = nlen[live]
-        width = np.minimum(need, tlen[live] - p)
+        rows = hits[live, p : p + int(need[0])]
         state = np.full(len(live), FULL, dtype=np.uint64)
-        for s in range(int(need[0])):
+        for s in range(rows.shape[1]):
             n = int(np.searchsorted(-need, -s, side="left"))
-            at = p + s
-            if at >= enc.code.shape[1]:
-                break
-            state[:n] = _advance(state[:n], enc.mask[a[:n], enc.code[b[:n], at]])
+            state[:n] = _advance(state[:n], rows[:n, s])
         got = np.bitwise_count(~state & full[live])
-        best[live] = np.maximum(best[live], 200.0 * got / (need + width))
+        best[live] = np.maximum(best[live], 200.0 * got / (need + width[live]))
     out = np.empty(len(i))
-    out[order] = best
+    out[order] = np.where(best > np.maximum(floor[order], 0.0), best, 0.0)
     return out
 
 
-def partial_ratio(enc, i, j):
+def partial_ratio(enc, i, j, floor=None):
+    """Best ratio of the shorter value against the windows of the longer; with ``floor`` exact
+    only above it."""
+    floor = np.full(len(i), 0.0) if floor is None else floor
     a, b = enc.length[i], enc.length[j]
     out = np.zeros(len(i))
     out[(a == 0) & (b == 0)] = 100.0
     some = (a > 0) & (b > 0)
     pick = np.nonzero(some & (a <= b))[0]
     if len(pick):
-        out[pick] = _best_window(enc, i[pick], j[pick])
+        out[pick] = _best_window(enc, i[pick], j[pick], floor[pick])
     pick = np.nonzero(some & (b <= a))[0]
     if len(pick):
-        out[pick] = np.maximum(out[pick], _best_window(enc, j[pick], i[pick]))
+        other = _best_window(enc, j[pick], i[pick], np.maximum(floor[pick], out[pick]))
+        out[pick] = np.maximum(out[pick], other)
     return out
 
 
@@ -338,7 +353,10 @@ class Features:
         self.distinct_size = np.fromiter((len(v) for v in self.distinct), np.int64, n)
         self.token_count = np.fromiter((len(t) for t in distinct), np.int64, n)
         self.token_bits = np.fromiter((_token_bits(t) for t in distinct), np.uint64, n)
-        self.char_bits = np.fromiter((_char_bits(v) for v in values), np.uint64, n)
+        self.shortest = np.fromiter((min(map(len, t), default=0) for t in distinct), np.int64, n)
+        bits = [_char_bits(v) for v in values]
+        self.char_bits = np.fromiter((b[0] for b in bits), np.uint64, n)
+        self.repeat_bits = np.fromiter((b[1] for b in bits), np.uint64, n)
         # token ids, padded; ids are shared by every value of the batch
         vocabulary = {}
         self.token_id = np.full((n, max(int(self.token_count.max(initial=0)), 1)), -1, np.int64)
@@ -374,26 +392,35 @@ def _token_bits(tokens):
     return bits
 
 
+_SLOT = {c: n for n, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 -.,()_")}
+
+
 def _char_bits(value):
-    """Set of (character, occurrence) features folded into one word.
+    """Two sets folded into one word each: characters, and (character, occurrence) from the second
+    occurrence on.
 
-    A feature of a missing from b costs a at least one character of any common subsequence, and
-    each bit set in a only stands for at least one such feature, so
-    ``len(a) - popcount(bits_a & ~bits_b)`` bounds the common subsequence from above.
+    A member of a's set missing from b's costs a at least one character of any common subsequence,
+    and a bit stands for at least one member, so ``len(a)`` less the bits only a has bounds the
+    common subsequence from above.
     """
-    bits, count = 0, {}
+    bits, again, count = 0, 0, {}
     for c in value:
         k = count[c] = count.get(c, 0) + 1
-        bits |= 1 << ((ord(c) * 37 + k * 11) & 63)
-    return bits
+        if k == 1:
+            slot = _SLOT.get(c)
+            bits |= 1 << (43 + ord(c) % 21 if slot is None else slot)
+        else:
+            again |= 1 << ((ord(c) * 37 + k * 11) & 63)
+    return bits, again
 
 
 def common_bound(fa, fb, i, j):
     """Upper bound of the LCS length for value ``i`` of ``fa`` and ``j`` of ``fb``."""
     x, y = fa.char_bits[i], fb.char_bits[j]
-    return np.minimum(
-        fa.size[i] - np.bitwise_count(x & ~y), fb.size[j] - np.bitwise_count(y & ~x)
-    )
+    u, v = fa.repeat_bits[i], fb.repeat_bits[j]
+    lost_a = np.bitwise_count(x & ~y) + np.bitwise_count(u & ~v)
+    lost_b = np.bitwise_count(y & ~x) + np.bitwise_count(v & ~u)
+    return np.minimum(fa.size[i] - lost_a, fb.size[j] - lost_b)
 
 
 def unit_conversion(f, i, j, guarded):
@@ -546,7 +573,8 @@ def score_pairs(f, i, j, full=False, floor=None):
     if len(short):
         pick = np.nonzero(wanted[short])[0]
         if len(pick):
-            out[1, short[pick]] = partial_ratio(enc, ea[pick], eb[pick])
+            low = None if floor is None else np.maximum(least, out[0])[short[pick]] - 1e-9
+            out[1, short[pick]] = partial_ratio(enc, ea[pick], eb[pick], low)
     for p in long_[wanted[long_]]:
         out[1, p] = long_partial(f.value[i[p]], f.value[j[p]])
     if floor is not None:
@@ -573,23 +601,37 @@ def pair_score_frame(a: pd.Series, b: pd.Series, full: pd.Series) -> pd.DataFram
     return pd.DataFrame(dict(zip(SCORES, scores)))
 
 
-def candidates(f, i, j, threshold, full=False):
-    """Mask of the pairs whose upper bounds allow a score of at least ``threshold``.
+def ceilings(f, i, j, full=False, pattern=PATTERN_CEILING):
+    """Upper bound of the best score of each pair, from lengths and bit sets alone.
 
-    ``threshold`` is a number or an array that broadcasts against the pairs. Pairs held against a
-    threshold within reach of the pattern score are always candidates.
+    Subsequence ratios are bounded by the characters both values can share. A token-set ratio is
+    that, or one token set lies within the other (its bits do too), or it compares the shared
+    tokens with one side, which then lacks at least one token on either side.
     """
-    t = np.asarray(threshold) - 1e-9
-    bound = common_bound(f, f, i, j)
+    bound = common_bound(f, f, i, j).astype(np.float32)
     a, b = f.size[i], f.size[j]
-    keep = (f.token_bits[i] & f.token_bits[j]) != 0
-    keep |= 200.0 * bound >= t * (f.distinct_size[i] + f.distinct_size[j])
-    keep |= (200.0 - t) * bound >= t * np.minimum(a, b)
-    if full:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            jaro = (bound / np.maximum(a, 1) + bound / np.maximum(b, 1) + 1.0) / 3.0
-        keep |= 100.0 * np.where(jaro > 0.7, jaro + 0.4 * (1.0 - jaro), jaro) >= t
-    return keep | (t < PATTERN_CEILING) | ((a == 0) & (b == 0))
+    da, db = f.distinct_size[i], f.distinct_size[j]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        over = np.minimum(np.minimum(a, b) + bound, (da + db).astype(np.float32))
+        best = np.where(over > 0, 200 * bound / over, 0)
+        x, y = f.token_bits[i], f.token_bits[j]
+        shared = (x & y) != 0
+        within = shared & (((x & ~y) == 0) | ((y & ~x) == 0))
+        rest = np.minimum(da - 1 - f.shortest[i], db - 1 - f.shortest[j])
+        sect = np.maximum(np.minimum(bound, rest), 0)
+        one = np.where(shared, 200 * sect / (sect + np.minimum(da, db)), 0)
+        best = np.maximum(best, one)
+        if full:
+            jaro = (bound / np.maximum(a, 1) + bound / np.maximum(b, 1) + 1) / 3
+            best = np.maximum(best, 100 * np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro))
+    # values without any token have equal (empty) token lists
+    best[within | ((da == 0) & (db == 0))] = 100
+    return np.maximum(best, np.float32(pattern)) + np.float32(ROUNDING)
+
+
+def candidates(f, i, j, threshold, full=False):
+    """Mask of the pairs that may reach ``threshold``; a number or an array over the pairs."""
+    return ceilings(f, i, j, full) >= threshold
 
 
 def keep_best(q, p, score, kind, rank, k):
@@ -601,22 +643,22 @@ def keep_best(q, p, score, kind, rank, k):
     return order[np.arange(len(group)) - first < k]
 
 
-def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 18):
+def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 17):
     """The ``k`` best presets per query of one bounded block: (query, preset, score, kind)."""
     f = Features(list(queries) + list(presets))
     nq = len(queries)
 
-    def near(i, j, need):
-        return candidates(f, i, nq + j, need, full)
+    def ceiling(i, j):
+        return ceilings(f, i, nq + j, full)
 
     def score(i, j, floor):
         return score_pairs(f, i, nq + j, full, floor)
 
-    return _best_by_tiles(nq, len(presets), rank, threshold, k, near, score, tile)
+    return _best_by_tiles(nq, len(presets), rank, threshold, k, ceiling, score, tile)
 
 
 def best_profiled_in_block(
-    raw_q, smart_q, raw_p, smart_p, rank, case_sensitive, threshold, k, tile=1 << 18
+    raw_q, smart_q, raw_p, smart_p, rank, case_sensitive, threshold, k, tile=1 << 17
 ):
     """The same with the scores of the per-key profile: subsequence and token scores of the smart
     normalized values, format scores of the raw values."""
@@ -624,18 +666,15 @@ def best_profiled_in_block(
     parts = Parts(list(raw_q) + list(raw_p), case_sensitive)
     nq = len(raw_q)
 
-    def near(i, j, need):
-        form = parts.pattern(i, nq + j) >= need
-        form |= parts.multiplier_ceiling(i, nq + j) >= need
-        return form | candidates(f, i, nq + j, np.maximum(need, PATTERN_CEILING + 1e-6))
+    def ceiling(i, j):
+        form = np.maximum(parts.pattern(i, nq + j), parts.multiplier_ceiling(i, nq + j))
+        return np.maximum(ceilings(f, i, nq + j, pattern=0), form)
 
     def score(i, j, floor):
         base = score_pairs(f, i, nq + j, False, floor)[:4]
         return np.vstack([base, parts.pattern(i, nq + j), parts.multiplier_unit(i, nq + j)])
 
-    if threshold <= PATTERN_CEILING:
-        near = lambda i, j, need: np.ones(np.broadcast_shapes(i.shape, j.shape), bool)
-    return _best_by_tiles(nq, len(raw_p), rank, threshold, k, near, score, tile)
+    return _best_by_tiles(nq, len(raw_p), rank, threshold, k, ceiling, score, tile)
 
 
 class Parts:
@@ -691,10 +730,11 @@ class Parts:
         return (self.multiplier_ceiling(i, j) - both * lost).astype(float)
 
 
-def _best_by_tiles(nq, npre, rank, threshold, k, candidates_of, scores_of, tile):
-    """Visit the block tile by tile: bound, score the survivors, keep ``k`` hits per query.
+def _best_by_tiles(nq, npre, rank, threshold, k, ceiling_of, scores_of, tile):
+    """Visit the block tile by tile: bound all pairs, score the survivors, keep ``k`` per query.
 
-    The worst kept score of a query with ``k`` hits is the bound for its next tile.
+    The most promising pairs of each query come first. Once a query has ``k`` hits, the worst of
+    them is what any further pair has to reach.
     """
     held = _no_hits()
     wide = min(max(npre, 1), 4096)
@@ -705,43 +745,50 @@ def _best_by_tiles(nq, npre, rank, threshold, k, candidates_of, scores_of, tile)
         need = np.full(len(q), float(threshold))
         for p0 in range(0, npre, wide):
             p = np.arange(p0, min(p0 + wide, npre))
-            near = candidates_of(q[:, None], p[None, :], need[:, None])
-            at_q, at_p = np.nonzero(near)
-            if not len(at_q):
-                continue
-
-            def floor(cheap):
-                # k scores known to exist for a query: nothing below the k-th can be kept
-                return np.maximum(need, _kth_best(at_q, at_p, cheap, near.shape, k))[at_q]
-
-            hit_q, hit_p = q[at_q], p[at_p]
-            scores = scores_of(hit_q, hit_p, floor)
-            kind = scores.argmax(axis=0)
-            best = scores.max(axis=0)
-            ok = best >= need[at_q]
-            kept = [
-                np.concatenate([old, new[ok]])
-                for old, new in zip(kept, (hit_q, hit_p, best, kind))
-            ]
-            pick = keep_best(*kept, rank, k)
-            kept = [x[pick] for x in kept]
-            rows, size = np.unique(kept[0], return_counts=True)
-            rows = rows[size == k]
-            if len(rows):
-                worst = np.full(nq, np.inf)
-                np.minimum.at(worst, kept[0], kept[2])
-                need[rows - q0] = np.maximum(need[rows - q0], worst[rows])
+            ceiling = ceiling_of(q[:, None], p[None, :])
+            if len(p) > 4 * SEEDS:
+                seeds = np.argpartition(ceiling, len(p) - SEEDS, axis=1)[:, len(p) - SEEDS :]
+                at_q, at_p = np.repeat(np.arange(len(q)), SEEDS), seeds.ravel()
+                ok = ceiling[at_q, at_p] >= need[at_q]
+                kept = _score_into(kept, q, p, at_q[ok], at_p[ok], need, rank, k, scores_of)
+                ceiling[at_q, at_p] = -1
+            at_q, at_p = np.nonzero(ceiling >= need[:, None])
+            kept = _score_into(kept, q, p, at_q, at_p, need, rank, k, scores_of)
         held = [np.concatenate([old, new]) for old, new in zip(held, kept)]
     return held
 
 
+def _score_into(kept, q, p, at_q, at_p, need, rank, k, scores_of):
+    """Score pairs, merge them with the kept hits and raise ``need`` where a query has ``k``."""
+    if not len(at_q):
+        return kept
+
+    def floor(cheap):
+        # k scores known to exist for a query: nothing below the k-th can be kept
+        return np.maximum(need, _kth_best(at_q, at_p, cheap, (len(q), len(p)), k))[at_q]
+
+    scores = scores_of(q[at_q], p[at_p], floor)
+    kind, best = scores.argmax(axis=0), scores.max(axis=0)
+    ok = best >= need[at_q]
+    found = (q[at_q][ok], p[at_p][ok], best[ok], kind[ok])
+    kept = [np.concatenate([old, new]) for old, new in zip(kept, found)]
+    pick = keep_best(*kept, rank, k)
+    kept = [x[pick] for x in kept]
+    rows, size = np.unique(kept[0], return_counts=True)
+    worst = np.full(len(need), np.inf)
+    np.minimum.at(worst, kept[0] - q[0], kept[2])
+    rows = rows[size == k] - q[0]
+    need[rows] = np.maximum(need[rows], worst[rows])
+    return kept
+
+
 def _no_hits():
     return [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)]
 
 
 def _kth_best(at_q, at_p, score, shape, k):
     """Per row of a tile, the k-th best of the given scores (-1 where there are fewer)."""
-    if shape[1] < k:
+    if shape[1] < k or len(score) < k:
         return np.full(shape[0], -1.0)
     grid = np.full(shape, -1.0)
     grid[at_q, at_p] = score
