@@ -9,6 +9,7 @@ All scores are 0..100.  ``200.0 * lcs / (n + m)`` is the common form of the subs
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -824,7 +825,7 @@ def trigram_vectors(value: pd.Series, size: pd.Series) -> pd.Series:
     for text, n in zip(value, size):
         text = f" {text.lower()} "
         grams = (text[p : p + 3] for p in range(max(len(text) - 2, 1)))
-        slots = [zlib.crc32(g.encode()) % n for g in grams]
+        slots = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n for g in grams]
         counts = np.bincount(slots, minlength=n).astype(np.float64)
         out.append(counts / np.sqrt((counts**2).sum()))
     return pd.Series(out)

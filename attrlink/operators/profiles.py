@@ -138,6 +138,16 @@ def profile_keys(reference: DataFrame) -> DataFrame:
     return profile.withColumns(empty)
 
 
+def key_index(reference: DataFrame) -> DataFrame:
+    """Reference rows laid out by key, then row id: each key's ordered list of values.
+
+    Range partitions follow key and row, so a large key spans several of them.
+    """
+    entry = ["row_id", "preset_value", "normalized", "has_units", "has_numbers", "has_commas"]
+    laid = reference.select(*KEYS, *entry).repartitionByRange(*KEYS, "row_id")
+    return laid.sortWithinPartitions(*KEYS, "row_id")
+
+
 # ------------------------------------------------------------------ value functions
 
 

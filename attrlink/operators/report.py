@@ -82,6 +82,11 @@ def top_counts(table: DataFrame, column: str, n: int) -> DataFrame:
     return counts.agg(F.count("*").alias("count")).orderBy(F.desc("count"), column).limit(n)
 
 
+def preview(table: DataFrame, n: int = 20, order: str = "row_id") -> DataFrame:
+    """The first ``n`` rows in row order."""
+    return table.orderBy(order).limit(n)
+
+
 def category_distribution(reference: DataFrame, n: int = 20) -> DataFrame:
     return top_counts(reference, "category", n)
 

@@ -320,6 +320,11 @@ def smart_normalize(spark, folder):
     )
 
 
+@query
+def key_index(spark, folder):
+    return P.key_index(C.add_computed_columns(V.reference(spark, folder)))
+
+
 # ------------------------------------------------------------------ reports on results
 
 
@@ -380,6 +385,12 @@ def load_metrics(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def preview(spark, folder):
+    """The first rows shown of a loaded reference table."""
+    return R.preview(V.reference(spark, folder), 20)
+
+
 # ------------------------------------------------------------------ quality
 
 
@@ -457,6 +468,20 @@ def abbrev_expand(spark, folder):
     return _sized(spark, folder).select("row_id", "preset_value", expanded)
 
 
+@query
+def value_rules(spark, folder):
+    rules = U.ValueRules(remove_punctuation=True, handle_abbreviations=True)
+    form = rules.apply("preset_value", "attribute_name").alias("form")
+    return _sized(spark, folder).select("row_id", "preset_value", form)
+
+
+@query
+def match_rules(spark, folder):
+    """The cascade with every spelling rule on."""
+    rules = U.ValueRules(True, True, True, True, True)
+    return scores_rounded(_cascade(spark, folder, rules=rules, max_matches=3))
+
+
 # ------------------------------------------------------------------ sources and sinks
 
 

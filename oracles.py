@@ -299,6 +299,26 @@ ACCOUNT_INPUTS = """
       ELSE concat('Customer#', lpad(o_custkey::VARCHAR, 9, '0')) END AS input_value
   FROM orders JOIN customer ON c_custkey = o_custkey"""
 SQL["match_accounts"] = cascade(ACCOUNT_INPUTS, ACCOUNTS, 75, 3, cross=False) + " SELECT * FROM results"
+
+
+def _vectors(rows, column):
+    """(value, slot, weight) of hashed trigrams, scaled to unit length."""
+    grams = f"""SELECT DISTINCT v, unnest(range(greatest(length(v), 1))) AS pos, ' ' || lower(v) || ' ' AS t
+      FROM (SELECT {column} AS v FROM {rows})"""
+    slots = f"""SELECT v, ('0x' || left(md5(substr(t, pos + 1, 3)), 8))::BIGINT % 256 AS slot, count(*) AS n FROM ({grams}) GROUP BY ALL"""
+    return f"SELECT v, slot, n / sqrt(sum(n * n) OVER (PARTITION BY v)) AS w FROM ({slots})"
+
+
+SQL["match_semantic"] = cascade(INPUTS, REFERENCE, 60, 3, unmatched=True) + f""",
+  lost AS (SELECT input_id, original_input AS v FROM results WHERE status = 'Not Found'),
+  left_vectors AS ({_vectors('lost', 'v')}), right_vectors AS ({_vectors('refs', 'preset_value')}),
+  near AS (SELECT l.v, r.v AS p, round(100 * sum(l.w * r.w), 6) AS score FROM left_vectors l JOIN right_vectors r USING (slot) GROUP BY ALL),
+  semantic AS (SELECT n.v, r.*, score, row_number() OVER (PARTITION BY n.v ORDER BY score DESC, r.row_id) AS place
+    FROM near n JOIN refs r ON r.preset_value = n.p QUALIFY place <= 3)
+  SELECT * FROM found UNION ALL
+  SELECT input_id, place, lost.v, preset_value, score, 'Semantic similarity match', preset_value, 'Similar Match',
+    category, sub_category, attribute_name, row_id, 'semantic'
+  FROM lost JOIN semantic s ON s.v = lost.v WHERE score >= 60"""
 SQL["semantic_topk"] = """
   SELECT q.vec_id, p.vec_id AS match_id,
     round(100 * list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS s,
@@ -451,6 +471,89 @@ SQL["smart_normalize"] = rf"""
       WHEN f = 'text_number' AND w <> '' THEN w || ', ' || n WHEN f IN ('text_number', 'number_only') THEN n
       ELSE input_value END AS formatted FROM known"""
 
+_LETTER = "[mknupfMKNUPFGTgt]"
+
+
+def _smart(x):
+    t = f"CASE WHEN case_sensitivity THEN trim({x}) ELSE lower(trim({x})) END"
+    return rf"""regexp_replace(regexp_replace(regexp_replace({t}, '({_N})\s*({_LETTER})\s*([a-zA-Z°]+)', '\1\2\3', 'g'),
+      '({_N})\s*({_LETTER})([^a-zA-Z°]|$)', '\1\2\3', 'g'), '\s+', ' ', 'g')"""
+
+
+def _count(x, pattern):
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def _same(what):
+    return what.replace("X", "input_value") + " = " + what.replace("X", "preset_value")
+
+
+_RUNS = "list_sort(list_distinct(regexp_extract_all(X, '[a-zA-Z°]+')))"
+_BOTH = f"({_count('input_value', '[0-9]')} > 0 AND {_count('preset_value', '[0-9]')} > 0)"
+_NUMS = f"regexp_extract_all(X, '{_N}')::DOUBLE[]"
+_CLOSE = f"""({_count('input_value', _N)} = {_count('preset_value', _N)} AND coalesce(list_bool_and(list_transform(
+    list_zip({_NUMS.replace('X', 'input_value')}, {_NUMS.replace('X', 'preset_value')}), lambda z: abs(z[1] - z[2]) <= 0.001)), true))"""
+SQL["match_profiled"] = rf"""
+  WITH learned AS MATERIALIZED (SELECT * FROM ({SQL['typical_format']}) JOIN ({_SENSITIVE}) USING ({_KEY})),
+  refs AS MATERIALIZED (SELECT *, {norm('preset_value')} AS n, {_smart('preset_value')} AS smart FROM ({REFERENCE}) JOIN learned USING ({_KEY})),
+  ins AS MATERIALIZED (SELECT *, {norm('input_value')} AS n FROM ({INPUTS})),
+  asked AS MATERIALIZED (SELECT *, {_smart('input_value')} AS smart, CASE WHEN num = '' THEN input_value
+        WHEN typical_format = 'number_unit' THEN num || upper(run)
+        WHEN typical_format = 'text_number' AND rest <> '' THEN rest || ', ' || num
+        WHEN typical_format IN ('text_number', 'number_only') THEN num ELSE input_value END AS formatted
+    FROM (SELECT DISTINCT {_KEY}, input_value, n, regexp_extract(input_value, '{_N}') AS num,
+        regexp_extract(input_value, '[a-zA-Z°]+') AS run,
+        trim(regexp_replace(input_value, '{_N}\s*[a-zA-Z°]*', '', 'g')) AS rest FROM ins) LEFT JOIN learned USING ({_KEY})),
+  firsts AS (SELECT {_KEY}, smart, min(row_id) AS row_id, arg_min(preset_value, row_id) AS preset_value FROM refs GROUP BY ALL),
+  exact AS MATERIALIZED (SELECT {_KEY}, input_value, f.row_id, f.preset_value, 'Exact match found' AS comment
+    FROM asked a JOIN firsts f USING ({_KEY}, smart)),
+  formatted AS MATERIALIZED (SELECT a.*, {_smart('formatted')} AS again FROM asked a ANTI JOIN exact USING ({_KEY}, input_value)
+    WHERE formatted <> input_value),
+  second AS MATERIALIZED (SELECT a.category, a.sub_category, a.attribute_name, a.input_value, f.row_id, f.preset_value,
+      'Exact match found (formatted from "' || a.input_value || '" to "' || a.formatted || '")' AS comment
+    FROM formatted a JOIN firsts f ON f.category = a.category AND f.sub_category = a.sub_category
+      AND f.attribute_name = a.attribute_name AND f.smart = a.again),
+  open_values AS MATERIALIZED (SELECT * FROM asked ANTI JOIN exact USING ({_KEY}, input_value) ANTI JOIN second USING ({_KEY}, input_value)),
+  {scores(f"""SELECT DISTINCT o.smart AS a, r.smart AS b FROM open_values o JOIN refs r USING ({_KEY})
+    UNION SELECT o.n, r.n FROM (SELECT DISTINCT n FROM open_values) o, (SELECT DISTINCT n FROM refs) r""")},
+  rated AS MATERIALIZED (SELECT q.category, q.sub_category, q.attribute_name, input_value, preset_value, case_sensitivity,
+      ratio, partial_ratio, token_sort_ratio, token_set_ratio,
+      30 * (CASE WHEN case_sensitivity THEN input_value = preset_value ELSE lower(input_value) = lower(preset_value) END)::INT
+        + 25 * ({_same(_RUNS)})::INT + 20 * ({_same(_count('X', _N + chr(92) + 's*' + _LETTER))})::INT
+        + 15 * ({_same(_count('X', _N))})::INT AS form,
+      {_BOTH}::INT * (40 * ({_same(f"regexp_extract_all(X, '{_PART}', 2)")})::INT
+        + 30 * ({_same(f"regexp_extract_all(X, '{_PART}', 3)")})::INT + 30 * {_CLOSE}::INT) AS unit
+    FROM (SELECT DISTINCT o.category, o.sub_category, o.attribute_name, o.input_value, r.preset_value, o.smart AS a, r.smart AS b,
+        o.case_sensitivity FROM open_values o JOIN refs r USING ({_KEY})) q JOIN named USING (a, b)),
+  judged AS MATERIALIZED (SELECT *, greatest(ratio, partial_ratio, token_sort_ratio, token_set_ratio, form, unit)::DOUBLE AS score FROM rated),
+  kinds AS MATERIALIZED (SELECT *, CASE score WHEN ratio THEN 'ratio' WHEN partial_ratio THEN 'partial_ratio'
+      WHEN token_sort_ratio THEN 'token_sort_ratio' WHEN token_set_ratio THEN 'token_set_ratio' WHEN form THEN 'pattern'
+      ELSE 'multiplier_unit' END AS kind FROM judged WHERE score >= 75),
+  in_key AS MATERIALIZED (SELECT k.*, r.row_id, row_number() OVER (PARTITION BY {_KEY}, input_value ORDER BY score DESC, row_id) AS place
+    FROM kinds k JOIN refs r USING ({_KEY}, preset_value) QUALIFY place <= 3),
+  still_open AS (SELECT * FROM open_values ANTI JOIN in_key USING ({_KEY}, input_value)),
+  across AS (SELECT o.n, r.row_id, r.preset_value, h.best AS score, h.kind, r.category, r.sub_category, r.attribute_name,
+      row_number() OVER (PARTITION BY o.n ORDER BY h.best DESC, r.row_id) AS place
+    FROM (SELECT DISTINCT n FROM still_open) o JOIN named h ON h.a = o.n JOIN refs r ON r.n = h.b
+    WHERE h.best >= 75 QUALIFY place <= 3)
+  SELECT input_id, 1 AS match_rank, input_value AS original_input, preset_value AS matched_value, 100.0::DOUBLE AS similarity, comment,
+    preset_value AS suggested_value, 'Exact Match' AS status, {_KEY}, row_id AS preset_row_id, 'exact' AS match_type
+  FROM ins JOIN (SELECT * FROM exact UNION ALL SELECT * FROM second) USING ({_KEY}, input_value)
+  UNION ALL
+  SELECT input_id, place, input_value, preset_value, round(score, 6), concat('similar ', round_even(score, 0)::BIGINT, '%',
+      CASE WHEN lower(input_value) = lower(preset_value) THEN CASE WHEN NOT case_sensitivity THEN ' | case normalized'
+        WHEN input_value <> preset_value THEN ' | case difference' ELSE '' END ELSE '' END,
+      CASE WHEN {_same(f"regexp_extract_all(X, '{_LETTER}')")} THEN '' ELSE ' | multiplier difference' END,
+      CASE WHEN {_same(_RUNS)} THEN '' ELSE ' | unit difference' END,
+      CASE kind WHEN 'ratio' THEN ' | overall similarity' WHEN 'partial_ratio' THEN ' | partial match'
+        WHEN 'token_sort_ratio' THEN ' | reordered words' WHEN 'pattern' THEN ' | pattern match'
+        WHEN 'multiplier_unit' THEN ' | multiplier/unit match' ELSE '' END),
+    preset_value, 'Similar Match', {_KEY}, row_id, kind FROM ins JOIN in_key USING ({_KEY}, input_value)
+  UNION ALL
+  SELECT i.input_id, m.place, i.input_value, m.preset_value, round(m.score, 6), 'Cross-category match: ' || m.kind, m.preset_value,
+    'Similar Match', m.category, m.sub_category, m.attribute_name, m.row_id, m.kind
+  FROM ins i SEMI JOIN still_open USING ({_KEY}, input_value) JOIN across m ON m.n = i.n"""
+
 # ------------------------------------------------------------------ dictionaries
 
 _SIZED = """
@@ -505,6 +608,15 @@ SQL["abbrev_expand"] = f"""
     ('amp', 'current'), ('watt', 'power'), ('ohm', 'resistance'), ('farad', 'capacitance'), ('henry', 'inductance')) AS s(short, long)
     ON short = t GROUP BY row_id, preset_value"""
 
+SQL["value_rules"] = rf"""
+  SELECT row_id, preset_value, array_to_string({words(f"regexp_replace({norm('expanded')}, '[^a-z0-9_ ]', ' ', 'g')")}, ' ') AS form
+  FROM ({SQL['abbrev_expand']})"""
+SQL["key_index"] = f"""
+  SELECT category, sub_category, attribute_name, row_id, preset_value, {norm('preset_value')} AS normalized,
+    {has_units('preset_value')} AS has_units, {has_numbers('preset_value')} AS has_numbers,
+    contains(preset_value, ',') AS has_commas FROM ({REFERENCE})"""
+SQL["preview"] = f"SELECT * FROM ({REFERENCE}) ORDER BY row_id LIMIT 20"
+
 # ------------------------------------------------------------------ sources and sinks
 
 SQL["upsert_reference"] = f"""
