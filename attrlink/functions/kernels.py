@@ -273,31 +273,49 @@ def long_ratio(a, b):
     return 100.0 if not a and not b else 200.0 * long_lcs(a, b) / (len(a) + len(b))
 
 
-def long_partial(a, b):
+def long_partial(a, b, floor=0.0):
+    """Best window ratio; exact where it exceeds ``floor``, else 0."""
     if not a or not b:
         return 100.0 if not a and not b else 0.0
     if len(a) > len(b):
         a, b = b, a
-    best = 0.0
+    if a in b:
+        return 100.0
+    best = floor = max(floor, 0.0)
     for needle, text in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
         masks = {}
         for p, c in enumerate(needle):
             masks[c] = masks.get(c, 0) | (1 << p)
         full = (1 << len(needle)) - 1
-        if needle in text:
-            return 100.0
+        known = np.r_[0, np.cumsum([c in masks for c in text])].tolist()
         for start in range(len(text)):
-            if start and text[start] not in masks:
+            width = min(len(needle), len(text) - start)
+            most = known[start + width] - known[start]
+            if start and (text[start] not in masks or 200.0 * most <= best * (len(needle) + width)):
                 continue
             state = full
-            width = min(len(needle), len(text) - start)
             for s in range(width):
                 u = state & masks.get(text[start + s], 0)
                 state = ((state + u) | (state - u)) & full
                 if start == 0 or s + 1 == width:
                     got = len(needle) - state.bit_count()
                     best = max(best, 200.0 * got / (len(needle) + s + 1))
-    return best
+    return best if best > floor else 0.0
+
+
+def long_token_set(x, y):
+    """Token-set ratio of two token sets of any size."""
+    if not x or not y:
+        return 0.0
+    both = x & y
+    if both and (len(both) == len(x) or len(both) == len(y)):
+        return 100.0
+    sect = " ".join(sorted(both))
+    sides = [" ".join(sorted(t - both)) for t in (x, y)]
+    gap = 1 if both else 0
+    full = [len(sect) + gap + len(d) for d in sides]
+    best = 200.0 * (len(sect) + gap + long_lcs(*sides)) / sum(full)
+    return max([best] + [200.0 * len(sect) / (len(sect) + n) for n in full if both])
 
 
 def long_levenshtein(a, b):
@@ -358,12 +376,15 @@ class Features:
         bits = [_char_bits(v) for v in values]
         self.char_bits = np.fromiter((b[0] for b in bits), np.uint64, n)
         self.repeat_bits = np.fromiter((b[1] for b in bits), np.uint64, n)
-        # token ids, padded; ids are shared by every value of the batch
+        # padded matrices of token ids and numbers; values longer than a word are kept out of
+        # them, so one long text cannot widen them for all
+        fits = self.size <= WORD
         vocabulary = {}
-        self.token_id = np.full((n, max(int(self.token_count.max(initial=0)), 1)), -1, np.int64)
+        widest = int(self.token_count[fits].max(initial=0))
+        self.token_id = np.full((n, max(widest, 1)), -1, np.int64)
         lengths = []
-        for row, toks in enumerate(distinct):
-            for col, tok in enumerate(toks):
+        for row in np.nonzero(fits)[0]:
+            for col, tok in enumerate(distinct[row]):
                 at = vocabulary.get(tok)
                 if at is None:
                     at = vocabulary[tok] = len(lengths)
@@ -372,10 +393,10 @@ class Features:
         self.token_length = np.array(lengths + [0], dtype=np.int64)
         numbers = [NUMBER.findall(v) for v in values]
         self.number_count = np.fromiter((len(x) for x in numbers), np.int64, n)
-        self.number = np.full((n, max(int(self.number_count.max(initial=0)), 1)), np.nan)
-        for row, found in enumerate(numbers):
-            if found:
-                self.number[row, : len(found)] = [float(x) for x in found]
+        self.numbers = [[float(x) for x in found] for found in numbers]
+        self.number = np.full((n, max(int(self.number_count[fits].max(initial=0)), 1)), np.nan)
+        for row in np.nonzero(fits & (self.number_count > 0))[0]:
+            self.number[row, : len(numbers[row])] = self.numbers[row]
         self.bare = _ids(re.sub(r"[^\w\s]", "", v).lower() for v in values)
         self.digits = _ids(re.sub(r"[^\d.]", "", v) for v in values)
         self.same = _ids(v.lower() for v in values)
@@ -429,14 +450,19 @@ def unit_conversion(f, i, j, guarded):
     ok = f.number_count[i] == f.number_count[j]
     if guarded:
         ok = ok & (f.number_count[i] > 0)
+    low, high = QUOTIENT_RANGE
+    fits = (f.size[i] <= WORD) & (f.size[j] <= WORD)
     with np.errstate(divide="ignore", invalid="ignore"):
         for s in range(f.number.shape[1]):
-            live = np.nonzero(ok & (f.number_count[i] > s))[0]
+            live = np.nonzero(ok & fits & (f.number_count[i] > s))[0]
             if not len(live):
                 break
             a, b = f.number[i[live], s], f.number[j[live], s]
             q = np.where(b != 0, a / b, 0.0)
-            ok[live] = (q >= QUOTIENT_RANGE[0]) & (q <= QUOTIENT_RANGE[1])
+            ok[live] = (q >= low) & (q <= high)
+    for p in np.nonzero(ok & ~fits)[0]:
+        pairs = zip(f.numbers[i[p]], f.numbers[j[p]])
+        ok[p] = all(b != 0 and low <= a / b <= high for a, b in pairs)
     return ok
 
 
@@ -577,10 +603,13 @@ def score_pairs(f, i, j, full=False, floor=None):
             low = None if floor is None else np.maximum(least, out[0])[short[pick]] - 1e-9
             out[1, short[pick]] = partial_ratio(enc, ea[pick], eb[pick], low)
     for p in long_[wanted[long_]]:
-        out[1, p] = long_partial(f.value[i[p]], f.value[j[p]])
+        low = 0.0 if floor is None else max(least[p], out[0, p]) - 1e-9
+        out[1, p] = long_partial(f.value[i[p]], f.value[j[p]], low)
     if floor is not None:
         least = np.maximum(out[:3].max(axis=0), least)
-    out[3] = token_set_ratio(f, i, j, least, bound)
+    out[3, short] = token_set_ratio(f, i[short], j[short], least[short], bound[short])
+    for p in long_:
+        out[3, p] = long_token_set(f.tokens[i[p]], f.tokens[j[p]])
     if full:
         if len(short):
             out[4, short] = jaro_winkler(enc, ea, eb)
@@ -694,10 +723,12 @@ class Parts:
         self.count = np.fromiter((len(x) for x in parts), np.int64, n)
         self.multipliers = _ids(repr([m for _, m, _ in x]) for x in parts)
         self.units = _ids(repr([u for _, _, u in x]) for x in parts)
-        self.number = np.full((n, max(int(self.count.max(initial=0)), 1)), np.nan)
-        for row, found in enumerate(parts):
-            if found:
-                self.number[row, : len(found)] = [float(x) for x, _, _ in found]
+        self.numbers = [[float(x) for x, _, _ in found] for found in parts]
+        self.fits = np.fromiter((len(v) <= WORD for v in values), bool, n)
+        widest = int(self.count[self.fits].max(initial=0))
+        self.number = np.full((n, max(widest, 1)), np.nan)
+        for row in np.nonzero(self.fits & (self.count > 0))[0]:
+            self.number[row, : len(parts[row])] = self.numbers[row]
 
     def pattern(self, i, j):
         points = PROFILED_PATTERN_POINTS
@@ -720,12 +751,16 @@ class Parts:
     def multiplier_unit(self, i, j):
         """0 unless both values have a number."""
         close = self.count[i] == self.count[j]
+        fits = self.fits[i] & self.fits[j]
         for s in range(self.number.shape[1]):
-            live = np.nonzero(close & (self.count[i] > s))[0]
+            live = np.nonzero(close & fits & (self.count[i] > s))[0]
             if not len(live):
                 break
             gap = np.abs(self.number[i[live], s] - self.number[j[live], s])
             close[live] = gap <= NUMBER_TOLERANCE
+        for p in np.nonzero(close & ~fits)[0]:
+            pairs = zip(self.numbers[i[p]], self.numbers[j[p]])
+            close[p] = all(abs(a - b) <= NUMBER_TOLERANCE for a, b in pairs)
         lost = MULTIPLIER_UNIT_POINTS["numbers"] * (self.count[i] == self.count[j]) * ~close
         both = (self.count[i] > 0) & (self.count[j] > 0)
         return (self.multiplier_ceiling(i, j) - both * lost).astype(float)

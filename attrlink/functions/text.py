@@ -22,8 +22,14 @@ def text(column) -> Column:
     return F.coalesce(_col(column).cast("string"), F.lit(""))
 
 
+# The same characters, to trim.
+SPACES = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(column) -> Column:
-    return F.regexp_replace(_col(column), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(column), F.lit(SPACES))
 
 
 def normalize(column, lower: bool = True) -> Column:

@@ -175,7 +175,7 @@ def _tables(spark, folder):
 @query
 def exact_match(spark, folder):
     inputs, reference = _tables(spark, folder)
-    values = M.first_rows(reference, [*KEYS, "normalized"], ["preset_value"], 1)
+    values = stage(M.first_rows(reference, [*KEYS, "normalized"], ["preset_value"], 1), "values")
     hits = M.exact_in_key(inputs, values).filter("exact IS NOT NULL")
     return hits.select(
         "input_id", *KEYS, "input_value", F.col("exact.preset_value").alias("matched_value"),

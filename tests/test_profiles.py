@@ -109,7 +109,7 @@ def naive_profiled(a, b, sensitive):
 
 @pytest.mark.parametrize("sensitive", [True, False])
 def test_format_scores(sensitive):
-    values = ["5 mm", "5mm", "5.0004 mm", "7 MM", "red", "Red", "2k x 3m", "2k x 4m", "10 °C", "", "5"]
+    values = ["5 mm", "5mm", "5.0004 mm", "7 MM", "red", "Red", "2k x 3m", "2k x 4m", "10 °C", "", "5", "5 mm " * 20, "5.0002 mm " * 20]
     parts = K.Parts(values, sensitive)
     for i, a in enumerate(values):
         for j, b in enumerate(values):

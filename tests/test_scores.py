@@ -87,6 +87,18 @@ def test_block_search_is_exact(queries, presets, threshold, k, full, tile):
     assert got == want
 
 
+def test_long_values_beside_short_ones():
+    rng = random.Random(5)
+    values = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 3, 18, 19, 30, 40, 2)]
+    f = K.Features(values)
+    assert f.token_id.shape[1] <= K.WORD // 2
+    for i in range(len(values)):
+        for j in range(len(values)):
+            got = dict(zip(K.SCORES, K.score_pairs(f, np.array([i]), np.array([j]))[:, 0]))
+            for name, value in naive.scores(values[i], values[j]).items():
+                assert got[name] == pytest.approx(value, abs=1e-9), (name, values[i], values[j])
+
+
 def test_pair_columns(spark):
     rng = random.Random(3)
     rows = [(rng.choice(WORDS) + " " + rng.choice(WORDS), rng.choice(WORDS)) for _ in range(60)]
