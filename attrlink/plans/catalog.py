@@ -233,8 +233,9 @@ def match_profiled(spark, folder):
 
 @query
 def match_semantic(spark, folder):
-    found = _cascade(spark, folder, threshold=60.0, max_matches=3, encoder=M.hashed_trigrams)
-    return scores_rounded(found)
+    """What the key leaves open goes straight to the nearest encoded values."""
+    options = {"threshold": 60.0, "max_matches": 3, "cross_key": False}
+    return scores_rounded(_cascade(spark, folder, encoder=M.hashed_trigrams, **options))
 
 
 @query

@@ -309,7 +309,7 @@ def _vectors(rows, column):
     return f"SELECT v, slot, n / sqrt(sum(n * n) OVER (PARTITION BY v)) AS w FROM ({slots})"
 
 
-SQL["match_semantic"] = cascade(INPUTS, REFERENCE, 60, 3, unmatched=True) + f""",
+SQL["match_semantic"] = cascade(INPUTS, REFERENCE, 60, 3, cross=False, unmatched=True) + f""",
   lost AS (SELECT input_id, original_input AS v FROM results WHERE status = 'Not Found'),
   left_vectors AS ({_vectors('lost', 'v')}), right_vectors AS ({_vectors('refs', 'preset_value')}),
   near AS (SELECT l.v, r.v AS p, round(100 * sum(l.w * r.w), 6) AS score FROM left_vectors l JOIN right_vectors r USING (slot) GROUP BY ALL),
