@@ -80,3 +80,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op10_chat_format": op10_chat_format,
 }
+
+#: SQL of the queries that it can express.
+SQL: dict[str, str] = {}
