@@ -47,9 +47,11 @@ def mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def word_codes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space, A-Z lower-cased: codes of all words, words per text, and
     the distinct words that the codes stand for. Null texts have no words."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = parts.flatten()
@@ -97,6 +99,12 @@ def unpack32(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def hash_borders(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Borders of the ``2 ** bits`` hash ranges in a sorted array."""
+    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, tops), [len(hashes)]]).astype(np.int64)
+
+
 def text_batches(batches, size: int):
     """Arrow batches regrouped so that each holds about ``size`` bytes; the last column is the text."""
     held, held_bytes = [], 0

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,3 +217,16 @@ def score(documents: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame
     names = documents.select(*keep).schema
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in names) + ", " + SCORED
     return documents.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+
+
+def keep_below(documents: DataFrame, model: ToxicModel, bar: float) -> DataFrame:
+    """The rows of ``documents`` whose text scores less than ``bar``, all columns as they are."""
+    send = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = send.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([_chance(_evidence(t, m)[0], m) < bar for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
