@@ -102,7 +102,7 @@ def hits(documents_index: DataFrame, items: DataFrame, window: int = WINDOW) ->
     mine = postings.join(small(rows), "row", "left_semi")
     expected = found.join(small(items.select("key", "item", "n", "term", F.col("place").alias("item_place"))), "key")
     expected = expected.select("key", "item", "n", "row", "shift", "term", (F.col("shift") + F.col("item_place")).alias("place"))
-    matched = expected.join(mine, ["row", "place", "term"])
+    matched = expected.join(mine, ["row", "place", "term"]).distinct()  # repeated rows share their places
     # runs of consecutive places; a partition holds one item's words at most
     line = Window.partitionBy("row", "key", "shift").orderBy("place")
     runs = matched.withColumn("run", F.col("place") - F.row_number().over(line))
