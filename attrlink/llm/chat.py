@@ -217,13 +217,18 @@ def _fold_value(node):
 def fold(nodes):
     """Constants folded: neighbouring constant output is one piece, decided branches are gone."""
     out = []
+
+    def add(node):
+        if node[0] == "emit" and node[1][0] == "text":
+            if not node[1][1]:
+                return
+            if out and out[-1][0] == "emit" and out[-1][1][0] == "text":
+                node = ("emit", ("text", out.pop()[1][1] + node[1][1]))
+        out.append(node)
+
     for node in nodes:
         if node[0] == "emit":
-            value = _fold_value(node[1])
-            if value[0] == "text" and out and out[-1][0] == "emit" and out[-1][1][0] == "text":
-                out[-1] = ("emit", ("text", out[-1][1][1] + value[1]))
-            elif value != ("text", ""):
-                out.append(("emit", value))
+            add(("emit", _fold_value(node[1])))
         elif node[0] == "if":
             branches = []
             for test, inner in node[1]:
@@ -234,7 +239,8 @@ def fold(nodes):
                 if test[0] in ("true", "text"):
                     break
             if branches and branches[0][0][0] in ("true", "text"):
-                out.extend(branches[0][1])
+                for inner in branches[0][1]:
+                    add(inner)
             elif branches:
                 out.append(("if", branches))
         else:

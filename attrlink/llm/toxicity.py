@@ -1,8 +1,9 @@
 """Toxicity: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-1. ``fit``: words of labelled texts are counted per class. The log-odds of a word with an
-   informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) and its z value decide whether it
-   enters the lexicon; every other word costs a small constant, so the mean score is negative.
+1. ``fit``: words and their stems (first bytes) are counted per class. The log-odds with an
+   informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) and their z value decide what enters
+   the lexicon. A word scores by its own entry, else by that of its stem; every other word costs a
+   small constant, so the mean score is negative.
 2. ``segments``: one linear scan (Ruzzo and Tompa 1999) finds every maximal-scoring passage.
 3. Karlin and Altschul's extreme-value law turns a passage score into one that is comparable over
    text lengths (``lambda * S - ln(K * n)``); the sum of the significant ones is mapped to 0..1 by a
@@ -30,10 +31,12 @@ from .common import BROADCAST_ROWS
 SAMPLE_ROWS = 40_000
 #: Words of the lexicon at most, the most significant first; bounds what each task is sent.
 LEXICON_WORDS = 200_000
-#: Weight of the background in the Dirichlet prior, in words.
-PRIOR_WORDS = 500.0
-#: z from which a word's log-odds are taken as evidence.
-LEAST_Z = 4.0
+#: Weight of the Dirichlet prior, as a share of all counts.
+PRIOR_SHARE = 0.1
+#: z from which log-odds are taken as evidence.
+LEAST_Z = 2.5
+#: Bytes of the stem that an unlisted word falls back to.
+STEM = 4
 #: Cost of a word without evidence.
 DRIFT = 0.15
 #: Significance from which a passage counts (expected number of such passages in a text by chance).
@@ -84,15 +87,32 @@ def segments(places: list[int], scores: list[float], n: int, drift: float) -> li
     return [(s, e, right - left) for s, e, left, right in found]
 
 
+def _stem(word: bytes) -> bytes:
+    return b"\0" + word[:STEM]
+
+
+def _hits(words: list[bytes], lexicon: dict[bytes, float]) -> tuple[list[int], list[float]]:
+    """Places of the words with an entry of their own or of their stem, and their scores."""
+    get = lexicon.get
+    places, scores = [], []
+    for i, word in enumerate(words):
+        score = get(word)
+        if score is None:
+            score = get(_stem(word))
+        if score is not None:
+            places.append(i)
+            scores.append(score)
+    return places, scores
+
+
 def _evidence(text: str | None, model: ToxicModel) -> tuple[float, list[tuple[int, int, float]], int]:
     words = words_of(text)
-    get = model.lexicon.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-    if not hits:
-        return 0.0, [], len(words)
+    places, scores = _hits(words, model.lexicon)
     n = len(words)
+    if not places:
+        return 0.0, [], n
     bar = math.log(model.k * n / LEAST_E) / model.lam
-    kept = [x for x in segments([i for i, _ in hits], [s for _, s in hits], n, DRIFT) if x[2] >= bar]
+    kept = [x for x in segments(places, scores, n, DRIFT) if x[2] >= bar]
     return sum(model.lam * s - math.log(model.k * n) for _, _, s in kept), kept, n
 
 
@@ -111,7 +131,8 @@ def fit(labelled: DataFrame) -> ToxicModel:
         for batch in batches:
             got: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                for w in set(words_of(text)):
+                found = set(words_of(text))
+                for w in found | {_stem(w) for w in found}:
                     got.setdefault(w, [0, 0])[int(toxic)] += 1
             yield pd.DataFrame({"word": list(got), "clean": [v[0] for v in got.values()], "toxic": [v[1] for v in got.values()]})
 
@@ -129,10 +150,10 @@ def fit(labelled: DataFrame) -> ToxicModel:
     every = all_c + all_t
     if not every:
         return ToxicModel()
-    prior = PRIOR_WORDS * (F.col("clean") + F.col("toxic")) / every
+    prior = PRIOR_SHARE * (F.col("clean") + F.col("toxic"))
 
     def odds(c: str, total: float) -> Column:
-        return F.log((F.col(c) + prior) / (F.lit(total + PRIOR_WORDS) - F.col(c) - prior))
+        return F.log((F.col(c) + prior) / (F.lit(total + PRIOR_SHARE * every) - F.col(c) - prior))
 
     delta = odds("toxic", all_t) - odds("clean", all_c)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
@@ -153,8 +174,7 @@ def _calibrate(unique: DataFrame, model: ToxicModel) -> ToxicModel:
             out = []
             for text in batch["text"]:
                 words = words_of(text)
-                hits = [(i, s) for i, s in enumerate(map(model.lexicon.get, words)) if s is not None]
-                found = segments([i for i, _ in hits], [s for _, s in hits], len(words), DRIFT)
+                found = segments(*_hits(words, model.lexicon), len(words), DRIFT)
                 out.append((max((s for _, _, s in found), default=0.0), len(words)))
             yield pd.DataFrame({"toxic": batch["toxic"], "best": [b for b, _ in out], "n": [n for _, n in out]})
 
