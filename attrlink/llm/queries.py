@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, jaccard, lm, secret_scan, sentencepiece_fst, sharding, toxicity, urlrules
 from .common import table
+from .sql import SQL
 
 
 def _remainder(n: int) -> Column:
@@ -103,5 +104,4 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-#: SQL of the queries that it can express.
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "TOXIC_FROM", "learns_toxicity"]
