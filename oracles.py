@@ -184,37 +184,122 @@ def comment(score, kind):
       WHEN 'token_sort_ratio' THEN ' | reordered words' WHEN 'pattern' THEN ' | pattern match' ELSE '' END)"""
 
 
-_P = f"WITH pairs AS MATERIALIZED ({PAIRS}), {scores('SELECT DISTINCT a, b FROM pairs')}"
-_PJ = "FROM pairs JOIN named USING (a, b)"
-for _name in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "jaro_winkler", "levenshtein", "pattern"):
-    SQL[f"score_pairs_{_name}"] = f"{_P} SELECT p_partkey, a, b, round({_name}, 6) AS score {_PJ}"
-SQL["score_pairs_best"] = f"""{_P}
-  SELECT p_partkey, a, b, round(best, 6) AS score, kind AS match_type,
-    {comment('best', 'kind')} AS comment, format('{{:.1f}}%', round_even(best, 6)) AS shown {_PJ}"""
-SQL["score_pairs_native"] = f"""{_P}
-  SELECT p_partkey, a, b, round(levenshtein, 6) AS levenshtein, pattern, sa AS sorted_a {_PJ}"""
-SQL["weighted_score"] = f"""{_P}
-  SELECT p_partkey, a, b, round((0.9 * ratio + 0.8 * partial_ratio + 0.85 * token_sort_ratio + 0.8 * token_set_ratio
-    + 0.75 * jaro_winkler + 0.7 * levenshtein + 0.6 * guarded) / 5.4, 6) AS score {_PJ}"""
-SQL["explain_match"] = f"""{_P}
-  SELECT p_partkey, a, b, CASE kind WHEN 'ratio' THEN 'High overall similarity'
+_PAIRED = f"pairs AS MATERIALIZED ({PAIRS}), d AS (SELECT DISTINCT a, b FROM pairs)"
+# words, sorted words, shared and own words of both sides
+_WORDS = f"""
+  tw AS (SELECT a, b, {words('a')} AS wa, {words('b')} AS wb FROM d),
+  ts AS (SELECT *, list_sort(list_distinct(wa)) AS ua, list_sort(list_distinct(wb)) AS ub,
+    array_to_string(list_sort(wa), ' ') AS sa, array_to_string(list_sort(wb), ' ') AS sb FROM tw),
+  tp AS (SELECT *, array_to_string(list_filter(ua, lambda t: list_contains(ub, t)), ' ') AS i,
+    array_to_string(list_filter(ua, lambda t: NOT list_contains(ub, t)), ' ') AS da,
+    array_to_string(list_filter(ub, lambda t: NOT list_contains(ua, t)), ' ') AS db FROM ts),
+  w AS (SELECT *, trim(i || ' ' || da) AS ia, trim(i || ' ' || db) AS ib FROM tp)"""
+
+
+def lcs_table(wanted, name="lcs"):
+    """``name(x, y, r)`` for the pairs of ``wanted(x, y)``: the bits of each character of x are laid out once."""
+    full = "((1::BIGINT << length(x)) - 1)"
+    step = f"((v + (v & m)) | (v - (v & m))) & {full}"
+    bits = "list_sum(list_transform(range(length(x)), lambda q: CASE WHEN x[q + 1] = c THEN 1::BIGINT << q ELSE 0::BIGINT END))::BIGINT"
+    return f"""
+  {name}_x AS MATERIALIZED (SELECT x, list_distinct(string_split(x, '')) AS cs,
+    list_transform(list_distinct(string_split(x, '')), lambda c: {bits}) AS ms FROM (SELECT DISTINCT x FROM ({wanted}) WHERE x <> '')),
+  {name} AS MATERIALIZED (SELECT x, y, CASE WHEN x = '' AND y = '' THEN 100.0 WHEN x = '' OR y = '' THEN 0.0
+    ELSE 200.0 * (length(x) - bit_count(list_reduce(list_prepend({full}, list_transform(string_split(y, ''),
+      lambda c: coalesce(ms[list_position(cs, c)], 0))), lambda v, m: {step}))) / (length(x) + length(y)) END AS r
+    FROM (SELECT DISTINCT x, y FROM ({wanted})) LEFT JOIN {name}_x USING (x))"""
+
+
+_FIGURES = """
+  fg AS (SELECT *, regexp_extract_all(a, '[0-9]+\\.?[0-9]*')::DOUBLE[] AS fa, regexp_extract_all(b, '[0-9]+\\.?[0-9]*')::DOUBLE[] AS fb,
+    regexp_replace(a, '[^0-9.]', '', 'g') = regexp_replace(b, '[^0-9.]', '', 'g') AS same_digits,
+    regexp_replace(lower(a), '[^\\p{L}\\p{N}_ ]', '', 'g') = regexp_replace(lower(b), '[^\\p{L}\\p{N}_ ]', '', 'g') AS same_words FROM d),
+  tf AS (SELECT *, len(fa) = len(fb) AND coalesce(list_bool_and(list_transform(list_zip(fa, fb),
+    lambda z: CASE WHEN z[2] = 0 THEN false ELSE z[1] / z[2] BETWEEN 0.1 AND 10 END)), true) AS converts FROM fg),
+  pattern AS (SELECT a, b, converts, same_words, same_digits,
+    least(100, 30 * converts::INT + 20 * (lower(a) = lower(b))::INT + 15 * same_words::INT + 25 * same_digits::INT)::DOUBLE AS pattern,
+    least(100, 30 * (converts AND len(fa) > 0)::INT + 20 * (lower(a) = lower(b))::INT + 15 * same_words::INT
+      + 25 * (same_digits AND len(fa) > 0 AND len(fb) > 0)::INT)::DOUBLE AS guarded FROM tf)"""
+# each score as CTEs that end in a table of its name with (a, b, <name>)
+_SCORES = {
+    "ratio": f"{lcs_table('SELECT a AS x, b AS y FROM d', 'l1')}, ratio AS (SELECT x AS a, y AS b, r AS ratio FROM l1)",
+    "token_sort_ratio": f"""{lcs_table('SELECT sa AS x, sb AS y FROM w', 'l2')},
+  token_sort_ratio AS (SELECT a, b, r AS token_sort_ratio FROM w JOIN l2 ON x = sa AND y = sb)""",
+    "token_set_ratio": f"""{lcs_table('SELECT ia AS x, ib AS y FROM w UNION ALL SELECT i, ia FROM w UNION ALL SELECT i, ib FROM w', 'l3')},
+  token_set_ratio AS (SELECT a, b, CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 WHEN i <> '' AND (da = '' OR db = '') THEN 100.0
+      WHEN i <> '' THEN greatest(p.r, q.r, s.r) ELSE p.r END AS token_set_ratio
+    FROM w JOIN l3 p ON p.x = ia AND p.y = ib JOIN l3 q ON q.x = i AND q.y = ia JOIN l3 s ON s.x = i AND s.y = ib)""",
+    "partial_ratio": f"""
+  fits AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS n, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS t FROM d
+    UNION SELECT a, b, b, a FROM d WHERE length(a) = length(b)),
+  spots AS (SELECT a, b, n, substr(t, p, length(n)) AS y FROM (SELECT *, unnest(range(1, length(t) + 1)) AS p FROM fits)
+    UNION SELECT a, b, n, left(t, k) FROM (SELECT *, unnest(range(1, length(n))) AS k FROM fits)),
+  {lcs_table('SELECT n AS x, y FROM spots', 'l4')},
+  partial_ratio AS (SELECT d.a, d.b, CASE WHEN d.a = '' AND d.b = '' THEN 100.0 WHEN d.a = '' OR d.b = '' THEN 0.0 ELSE m.r END AS partial_ratio
+    FROM d LEFT JOIN (SELECT a, b, max(r) AS r FROM spots JOIN l4 ON x = n AND l4.y = spots.y GROUP BY a, b) m USING (a, b))""",
+    "edits": """
+  edits AS (SELECT a, b, 100 * jaro_winkler_similarity(a, b) AS jaro_winkler,
+    (1 - levenshtein(a, b) / greatest(length(a), length(b))) * 100 AS levenshtein FROM d)""",
+    "pattern": _FIGURES,
+}
+
+
+def pair_sql(select, *names):
+    """``select`` over all pairs with the named scores joined on; nothing else is computed."""
+    needs_words = any(n.startswith("token") for n in names) or "w" in names
+    parts = [_PAIRED, *([_WORDS] if needs_words else []), *(_SCORES[n] for n in names if n != "w")]
+    joins = "".join(f" JOIN {n} USING (a, b)" for n in names)
+    return f"WITH {', '.join(parts)} SELECT p_partkey, a, b, {select} FROM pairs{joins}"
+
+
+for _name in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "pattern"):
+    SQL[f"score_pairs_{_name}"] = pair_sql(f"round({_name}, 6) AS score", _name)
+for _name in ("jaro_winkler", "levenshtein"):
+    SQL[f"score_pairs_{_name}"] = pair_sql(f"round({_name}, 6) AS score", "edits")
+_OBSERVED = ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "pattern")
+_BEST = f"greatest({', '.join(_OBSERVED)})"
+_KIND = f"CASE {_BEST} " + " ".join(f"WHEN {n} THEN '{n}'" for n in _OBSERVED) + " END"
+SQL["score_pairs_best"] = pair_sql(
+    f"""round({_BEST}, 6) AS score, {_KIND} AS match_type, {comment(_BEST, _KIND)} AS comment,
+    format('{{:.1f}}%', round_even({_BEST}, 6)) AS shown""", *_OBSERVED)
+SQL["score_pairs_native"] = pair_sql("round(levenshtein, 6) AS levenshtein, pattern, sa AS sorted_a", "edits", "pattern", "w")
+SQL["weighted_score"] = pair_sql("""round((0.9 * ratio + 0.8 * partial_ratio + 0.85 * token_sort_ratio + 0.8 * token_set_ratio
+    + 0.75 * jaro_winkler + 0.7 * levenshtein + 0.6 * guarded) / 5.4, 6) AS score""", *_OBSERVED, "edits")
+SQL["explain_match"] = pair_sql(f"""CASE {_KIND} WHEN 'ratio' THEN 'High overall similarity'
       WHEN 'partial_ratio' THEN 'Contains similar substring'
       WHEN 'token_sort_ratio' THEN 'Similar words in different order'
       WHEN 'token_set_ratio' THEN 'Similar word set'
       WHEN 'pattern' THEN 'Pattern-based match (format/unit differences)' END
     || CASE WHEN lower(a) = lower(b) THEN ' (case difference)' WHEN same_words THEN ' (punctuation difference)'
-      WHEN converts THEN ' (unit conversion)' WHEN same_digits THEN ' (number format difference)' ELSE '' END AS note {_PJ}"""
+      WHEN converts THEN ' (unit conversion)' WHEN same_digits THEN ' (number format difference)' ELSE '' END AS note""", *_OBSERVED)
+SQL["score_conversation_turns"] = r"""
+  WITH own AS (SELECT string_agg(DISTINCT c, '') AS chars FROM (SELECT unnest(string_split(lower(text), '')) AS c FROM conversations)
+    WHERE ord(c) > 127),
+  t AS (SELECT x.conv_id, x.turn, lower(x.text) AS a, lower(y.text) AS b,
+      -- the edit distance of this engine counts bytes: capitals, which no longer occur, stand in for longer characters
+      translate(lower(x.text), chars, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ', length(chars))) AS ta,
+      translate(lower(y.text), chars, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ', length(chars))) AS tb
+    FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1, own),
+  f AS (SELECT *, regexp_extract_all(a, '[0-9]+\.?[0-9]*')::DOUBLE[] AS fa, regexp_extract_all(b, '[0-9]+\.?[0-9]*')::DOUBLE[] AS fb FROM t)
+  SELECT conv_id, turn, round(CASE WHEN length(a) = 0 AND length(b) = 0 THEN 100.0
+      ELSE (1 - levenshtein(coalesce(ta, a), coalesce(tb, b)) / greatest(length(a), length(b))) * 100 END, 6) AS levenshtein,
+    least(100, 30 * (len(fa) = len(fb) AND coalesce(list_bool_and(list_transform(list_zip(fa, fb),
+        lambda z: CASE WHEN z[2] = 0 THEN false ELSE z[1] / z[2] BETWEEN 0.1 AND 10 END)), true))::INT
+      + 20 * (a = b)::INT
+      + 15 * (regexp_replace(a, '[^\p{L}\p{N}_\s]', '', 'g') = regexp_replace(b, '[^\p{L}\p{N}_\s]', '', 'g'))::INT
+      + 25 * (regexp_replace(a, '[^0-9.]', '', 'g') = regexp_replace(b, '[^0-9.]', '', 'g'))::INT)::DOUBLE AS pattern
+  FROM f"""
 
 # ------------------------------------------------------------------ match stages
 
 
-def cascade(inputs, reference, threshold, k, cross=True, full=False, unmatched=False):
+def cascade(inputs, reference, threshold, k, cross=True, full=False, unmatched=False, form=norm):
     best, kind = ("best_full", "kind_full") if full else ("best", "kind")
     crossing = f"""
       UNION SELECT DISTINCT i.n, r.n FROM (SELECT DISTINCT n FROM open_values) i, (SELECT DISTINCT n FROM refs) r"""
     return f"""
-  WITH refs AS MATERIALIZED (SELECT *, {norm('preset_value')} AS n FROM ({reference})),
-  ins AS MATERIALIZED (SELECT *, {norm('input_value')} AS n FROM ({inputs})),
+  WITH refs AS MATERIALIZED (SELECT *, {form('preset_value')} AS n FROM ({reference})),
+  ins AS MATERIALIZED (SELECT *, {form('input_value')} AS n FROM ({inputs})),
   firsts AS (SELECT category, sub_category, attribute_name, n, min(row_id) AS row_id,
       arg_min(preset_value, row_id) AS preset_value FROM refs GROUP BY ALL),
   exact AS MATERIALIZED (SELECT i.*, f.row_id, f.preset_value FROM ins i
@@ -286,6 +371,14 @@ SQL["cross_key"] = f"""{_asked("1 AS one")}
 SQL["match_cascade"] = cascade(INPUTS, REFERENCE, 75, 5) + " SELECT * FROM results"
 SQL["match_cascade_full"] = cascade(INPUTS, REFERENCE, 85, 3, full=True) + " SELECT * FROM results"
 SQL["match_low_threshold"] = cascade(INPUTS, REFERENCE, 55, 3, cross=False) + " SELECT * FROM results"
+def ruled(x):
+    """All spelling rules, as far as these values go: sizes in millimetres, else words without punctuation."""
+    size = rf"regexp_extract({x}, '^([0-9]+) ?(?i:mm)$', 1)"
+    plain = f"""array_to_string({words(rf"regexp_replace({norm(x)}, '[^\p{{L}}\p{{N}}_ ]', ' ', 'g')")}, ' ')"""
+    return f"CASE WHEN {size} <> '' THEN concat({size}, ' 0 length') ELSE {plain} END"
+
+
+SQL["match_rules"] = cascade(INPUTS, REFERENCE, 75, 3, form=ruled) + " SELECT * FROM results"
 SQL["unmatched"] = cascade(INPUTS, REFERENCE, 75, 5, unmatched=True) + """
   SELECT input_id, category, sub_category, attribute_name, original_input, status FROM results WHERE status = 'Not Found'"""
 ACCOUNTS = """
