@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,14 +81,13 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as byte planes of their differences, which compress well."""
+    """Sorted 64-bit values as compressed byte planes of their differences."""
     steps = np.diff(sorted_values.astype(np.uint64), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return squeeze(steps.view(np.int64))
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(expand(blob).view(np.uint64), dtype=np.uint64)
 
 
 def pack32(values: np.ndarray) -> bytes:
@@ -99,6 +99,17 @@ def unpack32(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """64-bit integers as compressed byte planes; small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def expand(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
 def hash_borders(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Borders of the ``2 ** bits`` hash ranges in a sorted array."""
     tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)

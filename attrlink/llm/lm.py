@@ -33,14 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import hash_borders, mix, ngram_hashes, pack, pack32, text_batches, unpack, unpack32, word_codes, word_hashes
+from .common import expand, hash_borders, mix, ngram_hashes, pack, squeeze, text_batches, unpack, word_codes, word_hashes
 
 ORDER = 3
 #: Weight of the shorter context, in words, for each order from 2 on.
 PRIOR = {2: 6.0, 3: 2.0, 4: 1.0, 5: 1.0}
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 #: Bytes of n-gram hashes that one range should gather.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 ADD = 0.1
 END_HASH = mix(np.array([0x5EED], dtype=np.uint64))[0]
 
@@ -57,7 +57,7 @@ def token_batches(documents: DataFrame, held_out: Column) -> DataFrame:
                     "batch": [f"{part}-{number}"],
                     "ids": pa.array([got.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "held": [np.packbits(got.column("held").to_numpy(zero_copy_only=False).astype(bool)).tobytes()],
-                    "lens": [pack32(lens)], "codes": [pack32(codes)], "words": [word_hashes(words).tobytes()],
+                    "lens": [squeeze(lens)], "codes": [squeeze(codes)], "words": [word_hashes(words).tobytes()],
                     "tokens": [len(codes) + len(lens)],
                 }
             )
@@ -68,56 +68,49 @@ def token_batches(documents: DataFrame, held_out: Column) -> DataFrame:
 
 
 class Batch:
-    """One batch: its token sequence with ends, and the distinct n-grams of each order."""
+    """One batch: its token sequence with an end after each text."""
 
-    def __init__(self, row, order: int):
-        lens = unpack32(row["lens"]).astype(np.int64)
+    def __init__(self, row, mask: int):
+        lens = expand(row["lens"])
         words = np.frombuffer(row["words"], dtype=np.uint64)
-        codes = unpack32(row["codes"])
-        self.ids, self.texts = row["ids"], len(lens)
+        codes = expand(row["codes"])
+        self.ids, self.texts, self.mask = row["ids"], len(lens), np.uint64(mask)
         self.held = np.unpackbits(np.frombuffer(row["held"], dtype=np.uint8), count=len(lens)).astype(bool)
-        sizes = lens + 1
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        tokens = int(sizes.sum())
-        hashes = np.empty(tokens, dtype=np.uint64)
-        ends = self.starts + lens
-        inner = np.ones(tokens, dtype=bool)
-        inner[ends] = False
-        hashes[ends] = END_HASH
-        hashes[inner] = words[codes] if len(codes) else np.empty(0, np.uint64)
-        self.lens, self.sizes, self.tokens = lens, sizes, tokens
-        self.place = np.arange(tokens, dtype=np.int64) - np.repeat(self.starts, sizes)
-        self.train = np.repeat(~self.held, sizes)
-        self.grams: list[np.ndarray] = []
-        self.index: list[np.ndarray] = []  # per order and place: number of the n-gram that ends there
-        for k in range(1, order + 1):
-            ends_here = np.flatnonzero(self.place >= k - 1)
-            found, inverse = np.unique(ngram_hashes(hashes, k)[ends_here - k + 1], return_inverse=True)
-            at = np.full(tokens, -1, dtype=np.int32)
-            at[ends_here] = inverse
-            self.grams.append(found)
-            self.index.append(at)
-
-    def counts(self, k: int) -> np.ndarray:
-        at = self.index[k - 1][self.train]
-        return np.bincount(at[at >= 0], minlength=len(self.grams[k - 1]))
-
-
-def send(batches: DataFrame, order: int, bits: int) -> DataFrame:
+        self.sizes = lens + 1
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.tokens = int(self.sizes.sum())
+        self.hashes = np.full(self.tokens, END_HASH, dtype=np.uint64)
+        inner = np.ones(self.tokens, dtype=bool)
+        inner[self.starts + lens] = False
+        if len(codes):
+            self.hashes[inner] = words[codes]
+        self.place = (np.arange(self.tokens) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.train = np.repeat(~self.held, self.sizes)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams of order k, the places where one ends, and which one that is."""
+        ends = np.flatnonzero(self.place >= k - 1)
+        found, which = np.unique(ngram_hashes(self.hashes, k)[ends - k + 1] & self.mask, return_inverse=True)
+        return found, ends, which
+
+
+def send(batches: DataFrame, order: int, bits: int, mask: int) -> DataFrame:
     """(part, level, piece, batch, grams, counts): distinct n-grams of each batch by hash range."""
 
     def run(rows):
         for frame in rows:
             for row in frame.to_dict("records"):
-                batch = Batch(row, order)
-                out = []
+                batch = Batch(row, mask)
+                unused = np.uint64((~mask & ((1 << 64) - 1)).bit_length())
                 for k in range(1, order + 1):
-                    grams, counts, borders = batch.grams[k - 1], batch.counts(k), hash_borders(batch.grams[k - 1], bits)
+                    grams, ends, which = batch.grams(k)
+                    counts = np.bincount(which[batch.train[ends]], minlength=len(grams))
+                    borders, out = hash_borders(grams, bits), []
                     for r in range(1 << bits):
                         a, b = borders[r], borders[r + 1]
                         if a < b:
-                            out.append(((k << 32) + r, k, r, row["batch"], pack(grams[a:b]), pack32(counts[a:b])))
-                yield pd.DataFrame(out, columns=["part", "level", "piece", "batch", "grams", "counts"])
+                            out.append(((k << 32) + r, k, r, row["batch"], pack(grams[a:b] >> unused), squeeze(counts[a:b])))
+                    yield pd.DataFrame(out, columns=["part", "level", "piece", "batch", "grams", "counts"])
 
     return batches.select("batch", "ids", "held", "lens", "codes", "words").mapInPandas(
         run, "part long, level int, piece int, batch string, grams binary, counts binary"
@@ -129,15 +122,13 @@ def add_up(sent: DataFrame) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         grams = [unpack(x) for x in frame["grams"]]
-        counts = np.concatenate([unpack32(x) for x in frame["counts"]]).astype(np.int64)
-        found, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(inverse, weights=counts, minlength=len(found)).astype(np.int64)
-        totals, at, out = sums[inverse], 0, []
-        for g in grams:
-            out.append(np.ascontiguousarray(totals[at : at + len(g)].view(np.uint8).reshape(-1, 8).T).tobytes())
-            at += len(g)
+        ends = np.cumsum([len(g) for g in grams])
+        counts = np.concatenate([expand(x) for x in frame["counts"]])
+        found, which = np.unique(np.concatenate(grams), return_inverse=True)
+        sums = np.zeros(len(found), dtype=np.int64)
+        np.add.at(sums, which, counts)
         answer = frame[["batch", "level", "piece"]].copy()
-        answer["totals"] = out
+        answer["totals"] = [squeeze(x) for x in np.split(sums[which], ends[:-1])]
         first = int(frame["level"].iloc[0]) == 1
         answer["n"] = [int(sums.sum()) if first else 0] + [0] * (len(frame) - 1)
         answer["v"] = [int((sums > 0).sum()) if first else 0] + [0] * (len(frame) - 1)
@@ -154,7 +145,11 @@ def traverse(batch: Batch, totals: list[np.ndarray], n: int, v: int) -> tuple[np
     The state after a place is the longest counted suffix there, so the states of all places are found at
     once; each place then adds the failure arcs from its predecessor's state and the arc of its word."""
     order = len(totals)
-    count = [np.where(batch.index[k] >= 0, totals[k][batch.index[k]], 0) for k in range(order)]
+    count = []
+    for k in range(1, order + 1):
+        _, ends, which = batch.grams(k)
+        count.append(np.zeros(batch.tokens))
+        count[-1][ends] = totals[k - 1][which]
     floor = math.log10(ADD / (n + ADD * (v + 1)))
     arc = np.where(count[0] > 0, np.log10((count[0] + ADD) / (n + ADD * (v + 1))), floor)
     base = arc.copy()
@@ -181,23 +176,24 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     batches = token_batches(documents, held_out)
     tokens = batches.agg(F.sum("tokens")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1.0, tokens * 8 / RANGE_BYTES))))
-    totals = add_up(send(batches, order, bits))
+    # the high bits stay, as they make the ranges
+    used = min(64, math.ceil(math.log2(max(2, tokens * order))) + 26)
+    mask = ((1 << 64) - 1) ^ ((1 << (64 - used)) - 1)
+    totals = add_up(send(batches, order, bits, mask))
     sums = totals.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
 
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.to_dict("records"):
-            batch = Batch(row, order)
+            batch = Batch(row, mask)
             pieces: dict[int, list] = defaultdict(list)
             for level, piece, blob in zip(answers["level"], answers["piece"], answers["totals"], strict=True):
                 pieces[level].append((piece, blob))
             total = []
             for k in range(1, order + 1):
-                got = [np.frombuffer(b, dtype=np.uint8).reshape(8, -1) for _, b in sorted(pieces[k])]
-                total.append(
-                    np.concatenate([np.ascontiguousarray(b.T).view(np.int64).ravel() for b in got]) if got else np.zeros(1, np.int64)
-                )
+                got = [expand(b) for _, b in sorted(pieces[k])]
+                total.append(np.concatenate(got) if got else np.zeros(0, np.int64))
             scores, base, known = traverse(batch, total, n, v)
             out.append(
                 pd.DataFrame(
