@@ -11,11 +11,13 @@ never meet each other.
    each of its shingles (its smallest point there), so a frequent shingle gets one entry per batch; the
    answer names the smallest of all, and the batch assigns its own members. Members that can't overlap
    enough with any other, by size and place of the shared shingle, stay out.
-3. All sets of one pivot point form an inner region. Inside, distances to the pivot settle most pairs:
-   two points within the radius of one pivot are connected; points whose distances to a pivot differ by
-   more than the radius (the triangle inequality) can't be linked. What is left recurses with the next
-   pivot. A region beyond one task's size is dealt into parts, each with the pivot; points settled by it
-   leave, the window around the radius goes on to the next pivot in another round.
+3. First each point is compared with its nearest pivot, the one it shares most outer regions with. Points
+   within the radius of one pivot are connected, and regions inside one component are settled: this is
+   all that groups of copies need, at the cost of one comparison a point.
+4. The other regions are joined in full. Distances to a pivot settle most pairs: points within its radius
+   are connected, and points whose distances to it differ by more than the radius (the triangle
+   inequality) can't be linked. What is left recurses with the next pivot. A region beyond one task's size
+   is joined as pairs of blocks.
 
 No link is lost and no list of pairs of a group is made; components come from links to pivots.
 
@@ -31,6 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -248,7 +251,8 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def outer_regions(entries: DataFrame) -> DataFrame:
-    """(pivot, point, n), distinct per batch: which points meet at which pivot point."""
+    """(pivot, point, n, shared), distinct per batch: which points meet at which pivot point, and in how many
+    of the outer regions."""
     summaries = entries.where("part >= 0")
     answers = summaries.groupBy("part").applyInPandas(
         _answers, "batch string, part int, shared binary, pivots binary, least binary, most binary, count long"
@@ -256,7 +260,7 @@ def outer_regions(entries: DataFrame) -> DataFrame:
 
     def meet(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(answers):
-            return pd.DataFrame({"pivot": [], "point": [], "n": []}).astype("int64")
+            return pd.DataFrame({"pivot": [], "point": [], "n": [], "shared": []}).astype("int64")
         row, answers = own.iloc[0], answers.sort_values("part")
         points, sizes = np.frombuffer(row["points"], np.int64), unpack32(row["sizes"]).astype(np.int64)
         at, place, members = unpack32(row["at"]), unpack32(row["places"]).astype(np.int64), unpack32(row["members"]).astype(np.int64)
@@ -269,11 +273,12 @@ def outer_regions(entries: DataFrame) -> DataFrame:
         at, place = at[here], place[here]
         n = sizes[at]
         able = (np.minimum(n - place, most) >= least_overlap(n, least)) & (points[at] != pivot)
-        found = np.unique(np.column_stack([pivot[able], points[at][able], n[able]]), axis=0) if able.any() else np.empty((0, 3), np.int64)
-        return pd.DataFrame({"pivot": found[:, 0], "point": found[:, 1], "n": found[:, 2]})
+        rows = np.column_stack([pivot[able], points[at][able], n[able]])
+        found, shared = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64))
+        return pd.DataFrame({"pivot": found[:, 0], "point": found[:, 1], "n": found[:, 2], "shared": shared})
 
     own = entries.where("part = -1").select("batch", "points", "sizes", "at", "places", "members")
-    return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(meet, "pivot long, point long, n long")
+    return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(meet, "pivot long, point long, n long, shared long")
 
 
 class Region:
@@ -339,45 +344,44 @@ class Region:
         return self.links
 
 
-def sets_of(documents: DataFrame, rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(point, grams) of the needed points, one row each."""
-    chosen = rows.join(small(needed), "point").groupBy("point").agg(F.min("rid").alias("rid"))
-    chosen = stage(chosen, "jaccard-chosen")
-    texts = documents.select(row_id().alias("rid"), "text").join(small(chosen), "rid").select("point", "text")
-
-    def run(batches):
-        for got in text_batches(batches, BATCH_BYTES):
-            sets = Sets(got.column("text"))
-            grams = [pack(sets.grams[a:b]) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"point": got.column("point").combine_chunks(), "grams": pa.array(grams, pa.binary())})
-
-    return stage(texts.mapInArrow(run, "point long, grams binary").dropDuplicates(["point"]), "jaccard-sets")
-
-
 def row_id() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-_LINKS = "a long, b long, far boolean, distance double"
+KEYS = ["pivot", "i", "j"]
 
 
-def _links(frame: pd.DataFrame) -> list[tuple[int, int]]:
-    frame = frame.drop_duplicates("point").sort_values(["n", "point"])
-    points = frame["point"].to_numpy()
-    if len(points) < 2:
-        return []
-    found = Region([unpack(x) for x in frame["grams"]]).settle()
-    return [(int(points[i]), int(points[j])) for i, j in found]
+def ship(documents: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(pivot, i, j, point, n, grams): the sets of ``members`` (pivot, i, j, point), computed from the texts where
+    they lie and sent once per membership; sorted by region within partitions."""
+    meets = members.groupBy("point").agg(F.collect_set(F.struct(*KEYS)).alias("meets"))
+    chosen = rows.join(meets, "point").groupBy("point").agg(F.min("rid").alias("rid"), F.first("meets").alias("meets"))
+    chosen = stage(chosen, "jaccard-chosen")
+    texts = documents.select(row_id().alias("rid"), "text").join(small(chosen), "rid").select("point", "meets", "text")
+
+    def run(batches):
+        for got in text_batches(batches, BATCH_BYTES):
+            sets = Sets(got.column("text"))
+            lists = got.column("meets").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            owner, flat = pc.list_parent_indices(lists), lists.flatten()
+            grams = pa.array([pack(sets.grams[a:b]) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)], pa.binary())
+            columns = {k: flat.field(k) for k in KEYS}
+            columns |= {"point": got.column("point").take(owner).combine_chunks(), "n": pa.array(sets.sizes).take(owner), "grams": grams.take(owner)}
+            yield pa.RecordBatch.from_pydict(columns)
 
+    sent = texts.mapInArrow(run, "pivot long, i long, j long, point long, n long, grams binary")
+    return sent.repartition(partitions(documents.sparkSession), *KEYS).sortWithinPartitions(*KEYS)
 
-def _settle(members: DataFrame, keys: list[str], tasks: int) -> DataFrame:
-    """(a, b) of all regions; a task reads its regions one after the other."""
+
+def _by_region(shipped: DataFrame, settle) -> DataFrame:
+    """(a, b) of all regions, by ``settle(frame of one region)``; a task reads its regions one after the other."""
 
     def run(batches):
         held: list[pd.DataFrame] = []
         for frame in batches:
             same = np.ones(len(frame), dtype=bool)
-            for k in keys:
+            for k in KEYS:
                 column = frame[k].to_numpy()
                 same[1:] &= column[1:] == column[:-1]
                 same[0] &= bool(held) and held[-1][k].iloc[-1] == column[0]
@@ -385,58 +389,58 @@ def _settle(members: DataFrame, keys: list[str], tasks: int) -> DataFrame:
             out = []
             for number, (start, end) in enumerate(zip(borders[:-1], borders[1:], strict=True)):
                 if held and (number or not same[0]):
-                    out += _links(pd.concat(held))
+                    out += settle(pd.concat(held))
                     held = []
                 held.append(frame.iloc[start:end])
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
         if held:
-            yield pd.DataFrame(_links(pd.concat(held)), columns=["a", "b"]).astype("int64")
-
-    ordered = members.select(*keys, "point", "n", "grams").repartition(tasks, *keys).sortWithinPartitions(*keys)
-    return ordered.mapInPandas(run, "a long, b long")
-
-
-def inner_regions(regions: DataFrame, sets: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """(a, b): links between points that connect all linked points of each region."""
-    weights = regions.groupBy("pivot").agg(F.sum("n").alias("weight"))
-    large = stage(weights.where(F.col("weight") > limit).withColumn("parts", F.ceil(F.col("weight") / limit)), "jaccard-large")
-    has_large = not large.isEmpty()
-    spread = partitions(regions.sparkSession)
-
-    plain = regions.join(small(large.select("pivot")), "pivot", "left_anti") if has_large else regions
-    links = _settle(plain.join(sets, "point"), ["pivot"], spread)
-    if not has_large:
-        return stage(links, "jaccard-links")
-
-    # large regions: every part holds the pivot; what the pivot settles is done
-    dealt = regions.join(small(large), "pivot").where("point != pivot")
-    dealt = dealt.select("pivot", "point", "n", F.pmod(F.xxhash64("point"), "parts").alias("part"))
-    pivots = large.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    pivots = pivots.select("pivot", F.col("pivot").alias("point"), F.lit(0).cast("long").alias("n"), "part")
-
-    def star(frame: pd.DataFrame) -> pd.DataFrame:
-        pivot = frame["pivot"].iloc[0]
-        frame = frame.sort_values("n", kind="stable").reset_index(drop=True)  # the pivot has n = 0 here
-        region = Region([unpack(x) for x in frame["grams"]])
-        distance, linked = region.compare(0)
-        out = pd.DataFrame({"a": pivot, "b": frame["point"], "far": ~linked, "distance": distance, "n": frame["n"]})
-        return out.iloc[1:]
-
-    seen = stage(
-        dealt.unionByName(pivots).join(sets, "point").groupBy("pivot", "part").applyInPandas(star, _LINKS + ", n long"), "jaccard-stars"
-    )
-    near = seen.where("not far").select("a", "b")
-    edge = seen.where("far").groupBy("a").agg(F.min("distance").alias("edge"))
-    radius = 1 - PERCENT / 100 + 1e-9
-    left = seen.join(small(edge), "a").where(F.col("far") | (F.col("distance") >= F.col("edge") - radius))
-    left = stage(left.select(F.col("a").alias("pivot"), F.col("b").alias("point"), "n"), "jaccard-left")
-    sizes = left.groupBy("pivot").agg(F.ceil(F.sum("n") * 2 / limit).alias("blocks"))
-    placed = left.join(small(sizes), "pivot").withColumn("i", F.pmod(F.xxhash64("point"), "blocks"))
-    # blocks meet pairwise; one block alone meets itself
-    meets = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meets = meets.select("pivot", "point", "n", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
-    rest = _settle(meets.join(sets, "point"), ["pivot", "i", "j"], spread)
-    return stage(links.unionByName(near).unionByName(rest), "jaccard-links")
+            yield pd.DataFrame(settle(pd.concat(held)), columns=["a", "b"]).astype("int64")
+
+    return shipped.mapInPandas(run, "a long, b long")
+
+
+def _star(frame: pd.DataFrame) -> list[tuple[int, int]]:
+    """Points within the radius of the region's pivot."""
+    frame = frame.drop_duplicates("point")
+    pivot = frame["pivot"].iloc[0]
+    order = np.argsort(frame["point"].to_numpy() != pivot, kind="stable")
+    points = frame["point"].to_numpy()[order]
+    if len(points) < 2 or points[0] != pivot:
+        return []
+    _, linked = Region([unpack(x) for x in frame["grams"].to_numpy()[order]]).compare(0)
+    return [(int(pivot), int(x)) for x in points[linked] if x != pivot]
+
+
+def _whole(frame: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links that connect all linked points of the region."""
+    frame = frame.drop_duplicates("point").sort_values(["n", "point"])
+    points = frame["point"].to_numpy()
+    if len(points) < 2:
+        return []
+    found = Region([unpack(x) for x in frame["grams"]]).settle()
+    return [(int(points[i]), int(points[j])) for i, j in found]
+
+
+def nearest_pivots(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """(a, b): each point against the pivot that it shares the most outer regions with. A pivot with many
+    points is sent to as many parts as they fill."""
+    best = regions.groupBy("point").agg(F.max(F.struct("shared", "pivot", "n")).alias("best"))
+    best = stage(best.select("point", "best.pivot", "best.n"), "jaccard-nearest")
+    parts = best.groupBy("pivot").agg(F.ceil(F.sum("n") / limit).alias("parts"))
+    dealt = best.join(small(parts), "pivot").select("pivot", F.pmod(F.xxhash64("point"), "parts").alias("i"), F.lit(0).cast("long").alias("j"), "point")
+    pivots = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i"), F.lit(0).cast("long").alias("j"), F.col("pivot").alias("point"))
+    return stage(_by_region(ship(documents, rows, dealt.unionByName(pivots)), _star), "jaccard-links")
+
+
+def inner_regions(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """(a, b): links that connect all linked points of each region (pivot, point, n). Regions beyond ``limit``
+    are joined as pairs of blocks, each pair in a task of its own."""
+    sizes = regions.groupBy("pivot").agg(F.sum("n").alias("weight"))
+    sizes = sizes.select("pivot", F.when(F.col("weight") > limit, F.ceil(F.col("weight") * 2 / limit)).otherwise(1).alias("blocks"))
+    placed = regions.join(small(sizes), "pivot").withColumn("mine", F.pmod(F.xxhash64("point"), "blocks"))
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meets = meets.select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "point")
+    return stage(_by_region(ship(documents, rows, meets), _whole), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -466,12 +470,17 @@ def classify(documents: DataFrame) -> DataFrame:
     bits = max(0, math.ceil(math.log2(max(1.0, total / 4 * 8 / RANGE_BYTES))))
     entries = send(documents, frequency_classes(counts), bits)
     regions = stage(outer_regions(entries).distinct(), "jaccard-regions")
+    links = nearest_pivots(documents, rows, regions)
+    # what one component holds already is settled; the other regions are joined in full
+    labels = components(links)
     pivots = regions.select("pivot").distinct().select("pivot", F.col("pivot").alias("point"))
-    needed = stage(regions.select("point").union(pivots.select("point")).distinct(), "jaccard-needed")
-    sets = sets_of(documents, rows, needed)
     own = pivots.join(rows.select("point", "n").distinct(), "point").select("pivot", "point", "n")
-    links = inner_regions(stage(regions.unionByName(own), "jaccard-regions"), sets)
-    linked = components(links)
+    all_rows = stage(regions.select("pivot", "point", "n").unionByName(own), "jaccard-regions")
+    named = all_rows.join(small(labels), "point", "left").withColumn("component", F.coalesce("component", "point"))
+    open_regions = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_regions = stage(open_regions.where("low != high").select("pivot"), "jaccard-open")
+    more = inner_regions(documents, rows, all_rows.join(small(open_regions), "pivot", "left_semi"))
+    linked = components(links.unionByName(more))
     known = rows.join(small(linked), "point", "left").withColumn("component", F.coalesce("component", "point"))
     ids = known.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     joined = known.join(small(ids), "component", "left")

@@ -76,20 +76,17 @@ def test_near_copies(spark, seed):
 def test_near_copies_in_large_regions(spark):
     text = [f"x{i}" for i in range(80)]
     rows = [(i, " ".join([*text[: 70 - i % 9], f"y{i}", f"z{i}"] + ["tail"] * (i % 4))) for i in range(60)]
-    sets, points = spark_sets(spark, rows)
-    frame = [(r.point, r.n) for r in points.collect()]
-    pivot = min(frame, key=lambda x: (x[1], x[0]))[0]
-    region = spark.createDataFrame([(pivot, p, n) for p, n in frame], "pivot long, point long, n long")
-    small = jaccard.inner_regions(region, sets, limit=10**9).collect()
-    large = jaccard.inner_regions(region, sets, limit=700).collect()
-    assert groups(small) == groups(large)
-
-
-def spark_sets(spark, rows):
     docs = cases.documents(spark, rows)
     found, _ = jaccard.describe(docs)
-    needed = found.select("point").distinct()
-    return jaccard.sets_of(docs, found, needed), found.select("point", "n").distinct()
+    frame = [(r.point, r.n) for r in found.select("point", "n").distinct().collect()]
+    pivot = min(frame, key=lambda x: (x[1], x[0]))[0]
+    region = spark.createDataFrame([(pivot, p, n, 1) for p, n in frame], "pivot long, point long, n long, shared long")
+    small = jaccard.inner_regions(docs, found, region, limit=10**9).collect()
+    large = jaccard.inner_regions(docs, found, region, limit=700).collect()
+    assert groups(small) == groups(large)
+    whole = jaccard.nearest_pivots(docs, found, region.where(f"point != {pivot}"), limit=10**9).collect()
+    parts = jaccard.nearest_pivots(docs, found, region.where(f"point != {pivot}"), limit=700).collect()
+    assert sorted(whole) == sorted(parts) and whole
 
 
 def groups(links):
