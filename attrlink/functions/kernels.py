@@ -46,8 +46,6 @@ MULTIPLIER_UNIT_POINTS = {"multipliers": 40, "units": 30, "numbers": 30}
 NUMBER = re.compile(r"\d+\.?\d*")
 QUOTIENT_RANGE = (0.1, 10.0)
 NUMBER_TOLERANCE = 0.001
-# The pattern score of two different normalized strings cannot exceed this sum.
-PATTERN_CEILING = 70.0
 # Bounds are single precision; this much is added so that rounding never drops a pair.
 ROUNDING = 0.001
 # Promising pairs per query that are scored first, to learn how good its best matches are.
@@ -631,7 +629,18 @@ def pair_score_frame(a: pd.Series, b: pd.Series, full: pd.Series) -> pd.DataFram
     return pd.DataFrame(dict(zip(SCORES, scores)))
 
 
-def ceilings(f, i, j, full=False, pattern=PATTERN_CEILING):
+def pattern_ceiling(f, i, j):
+    """The pattern score of each pair if all its numbers were within range of each other."""
+    points = PATTERN_POINTS
+    return (
+        points["unit"] * (f.number_count[i] == f.number_count[j])
+        + points["equal"] * (f.same[i] == f.same[j])
+        + points["punctuation"] * (f.bare[i] == f.bare[j])
+        + points["number_format"] * (f.digits[i] == f.digits[j])
+    )
+
+
+def ceilings(f, i, j, full=False, pattern=None):
     """Upper bound of the best score of each pair, from lengths and bit sets alone.
 
     Subsequence ratios are bounded by the characters both values can share. A token-set ratio is
@@ -656,7 +665,9 @@ def ceilings(f, i, j, full=False, pattern=PATTERN_CEILING):
             best = np.maximum(best, 100 * np.where(jaro > 0.7, jaro + 0.4 * (1 - jaro), jaro))
     # values without any token have equal (empty) token lists
     best[within | ((da == 0) & (db == 0))] = 100
-    return np.maximum(best, np.float32(pattern)) + np.float32(ROUNDING)
+    if pattern is None:
+        pattern = pattern_ceiling(f, i, j)
+    return np.maximum(best, np.asarray(pattern, dtype=np.float32)) + np.float32(ROUNDING)
 
 
 def candidates(f, i, j, threshold, full=False):

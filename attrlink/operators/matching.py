@@ -28,11 +28,6 @@ def first_rows(reference: DataFrame, by: list[str], columns: list[str], k: int)
     return rows.withColumn("rank", F.col("rows")[0]["row_id"])
 
 
-def sample_rows(reference: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A seeded sample of ``n`` rows that does not depend on partitions or reruns."""
-    return reference.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(n)
-
-
 def distinct_queries(inputs: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct match questions: inputs that differ only in spelling noise are asked once."""
     return inputs.select(*columns).distinct()

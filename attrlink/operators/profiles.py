@@ -21,7 +21,6 @@ FORMATS = {
     "number_unit": rf"{DIGIT}+[a-zA-Z]+",
     "text_number": rf"[a-zA-Z]+,{SPACE}*{DIGIT}+",
 }
-TYPICAL_SAMPLE = 10
 
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
@@ -56,18 +55,14 @@ def decimal_places(column) -> Column:
 
 
 def typical_formats(reference: DataFrame) -> DataFrame:
-    """``typical_format`` per key, from the first ten values in row order."""
-    order = Window.partitionBy(*KEYS).orderBy("row_id")
-    first = reference.select(*KEYS, "row_id", "preset_value")
-    first = first.withColumn("place", F.row_number().over(order))
-    first = first.filter(F.col("place") <= TYPICAL_SAMPLE)
+    """``typical_format`` per key: the one that all its values have, else ``mixed``."""
     v = F.col("preset_value")
     digit, letter = v.rlike(DIGIT), v.rlike("[a-zA-Z]")
     tests = {n: v.rlike(p) for n, p in FORMATS.items()}
     tests["number_only"] = digit & ~letter
     tests["text_only"] = letter & ~digit
     chosen = reduce(lambda acc, nt: acc.when(F.every(nt[1]), nt[0]), tests.items(), F)
-    return first.groupBy(*KEYS).agg(chosen.otherwise("mixed").alias("typical_format"))
+    return reference.groupBy(*KEYS).agg(chosen.otherwise("mixed").alias("typical_format"))
 
 
 def case_sensitivity(reference: DataFrame) -> DataFrame:

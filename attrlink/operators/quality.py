@@ -24,8 +24,9 @@ def short_key(value: Column) -> Column:
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in text_columns(df)]
-    return df.select(F.inline(F.array(*cells))).withColumn("key", short_key(F.col("value")))
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in text_columns(df)]
+    typed = F.array(*cells).cast("array<struct<column:string,value:string>>")
+    return df.select(F.inline(typed)).withColumn("key", short_key(F.col("value")))
 
 
 def value_counts(df: DataFrame) -> DataFrame:
@@ -40,16 +41,18 @@ def value_counts(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` most frequent values per text column; equal counts by value.
 
-    Counted by key; the few texts that made it are then fetched by a broadcast of ``n`` keys per
-    column.
+    Counted by key. A value's start orders like the value, so the keys that can be among the first ``n``
+    are known without the texts; only theirs are fetched, and ordered in full.
     """
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "key")
+    start = F.substring("key", 1, WIDE)
+    by_start = Window.partitionBy("column").orderBy(F.desc("count"), start)
     counts = value_counts(df).filter("key IS NOT NULL")
-    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    texts = _cells(df).join(F.broadcast(top), ["column", "key"])
-    return texts.groupBy("column", "key", "count", "rank").agg(F.any_value("value").alias("value")).select(
-        "column", "value", "count", "rank"
-    )
+    able = counts.withColumn("rank", F.rank().over(by_start)).filter(F.col("rank") <= n).drop("rank")
+    texts = _cells(df).join(able, ["column", "key"])
+    texts = texts.groupBy("column", "key", "count").agg(F.any_value("value").alias("value"))
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    ranked = texts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select("column", "value", "count", "rank")
 
 
 def most_common(df: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def quality_report(df: DataFrame) -> DataFrame:
     nulls, and for text columns distinct values and the share of nulls. ``top_values`` has the
     most common values."""
     nulls = null_counts(df)
-    share = F.round(F.col("nulls") * 100.0 / F.col("rows"), 6)
+    share = F.round(F.try_divide(F.col("nulls") * F.lit(100.0), F.col("rows")), 6)
     text = F.col("column").isin(text_columns(df))
     per_column = nulls.select(
         "column",

@@ -100,14 +100,14 @@ def filter_results(
     results: DataFrame,
     status: str | None = None,
     category: str | None = None,
-    min_similarity: float = 0.0,
+    min_similarity: float | None = None,
 ) -> DataFrame:
-    """Chosen rows; ``All`` or None means no choice, the minimum is inclusive."""
+    """Chosen rows; ``All`` or None means no choice. A minimum is inclusive and drops rows without a match."""
     if status not in (None, "All"):
         results = results.filter(F.col("status") == status)
     if category not in (None, "All"):
         results = results.filter(F.col("category") == category)
-    return results.filter(F.col("similarity") >= min_similarity)
+    return results if min_similarity is None else results.filter(F.col("similarity") >= min_similarity)
 
 
 def filter_choices(results: DataFrame) -> DataFrame:

@@ -32,8 +32,6 @@ def match_values(
     cross_key: bool = True,
     distinct_inputs: bool = False,
     rules: ValueRules | None = None,
-    cross_key_sample: int | None = None,
-    semantic_sample: int | None = None,
 ) -> DataFrame:
     """Match every input row against the reference table; rows as in ``RESULT_SCHEMA``.
 
@@ -49,8 +47,7 @@ def match_values(
     ``profiled`` (per-key learned formats, see ``operators.profiles``). ``emit_unmatched`` adds a
     ``Not Found`` row for each input without a match. ``distinct_inputs`` drops repeated inputs.
     ``rules`` widens what counts as the same spelling (units, synonyms, abbreviations,
-    punctuation). The two sample sizes limit stages 3 and 4 to a seeded sample of the reference;
-    by default they see all of it.
+    punctuation); formats learned per key are those of plain values, so ``profiled`` takes none.
 
     The questions are asked once per distinct key and value; the answers, bounded arrays, join
     back to the inputs at the end, which is the one shuffle of the input table.
@@ -61,6 +58,8 @@ def match_values(
         first_stages = match_in_key
     else:
         raise ValueError(f"unknown profile: {profile}")
+    if rules is not None and profile == "profiled":
+        raise ValueError("rules change the formats that the profiled stages learn; use another profile")
     full, k = profile == "full", int(max_matches)
     inputs = C.prepare_inputs(inputs)
     if distinct_inputs:
@@ -75,10 +74,6 @@ def match_values(
     answers, ask, values = first_stages(inputs, reference, float(threshold), k, full)
     open_ = answers.filter("size(matches) = 0")
     if cross_key:
-        if cross_key_sample is not None:
-            values = M.first_rows(
-                M.sample_rows(reference, cross_key_sample), ANSWER_KEY, [PRESET_VALUE], k
-            )
         across = stage(match_across(open_, values, threshold, k, full), "across")
         answers = (
             answers.alias("a")
@@ -98,8 +93,7 @@ def match_values(
     found = inputs.join(answers, ask, "left" if emit_unmatched else "inner")
     if encoder is not None:
         asked = inputs.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
-        pool = reference if semantic_sample is None else M.sample_rows(reference, semantic_sample)
-        near = stage(match_vectors(asked, pool, encoder, threshold, k), "vectors")
+        near = stage(match_vectors(asked, reference, encoder, threshold, k), "vectors")
         found = (
             found.join(near.withColumnRenamed("matches", "near"), INPUT_VALUE, "left")
             .withColumn(

@@ -517,10 +517,7 @@ _FORMATS = r"""CASE WHEN bool_and(regexp_matches(v, '[0-9]+[a-zA-Z]+')) THEN 'nu
     WHEN bool_and(regexp_matches(v, '[a-zA-Z]') AND NOT regexp_matches(v, '[0-9]')) THEN 'text_only'
     ELSE 'mixed' END"""
 _VALUES = f"SELECT {_KEY}, row_id, preset_value AS v FROM ({REFERENCE})"
-SQL["typical_format"] = f"""
-  SELECT {_KEY}, {_FORMATS} AS typical_format FROM (
-    SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY row_id) AS place FROM ({_VALUES}))
-  WHERE place <= 10 GROUP BY {_KEY}"""
+SQL["typical_format"] = f"SELECT {_KEY}, {_FORMATS} AS typical_format FROM ({_VALUES}) GROUP BY {_KEY}"
 _SENSITIVE = f"""SELECT {_KEY}, len(list_distinct(flatten(list([v, lower(v), upper(v)])))) > count(DISTINCT v) AS case_sensitivity
   FROM ({_VALUES}) GROUP BY {_KEY}"""
 SQL["key_profile"] = rf"""

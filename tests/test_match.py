@@ -2,8 +2,10 @@ import random
 
 import fixtures as X
 import naive
+import numpy as np
 import pytest
 from attrlink import ValueRules, display_columns, hashed_trigrams, match_values
+from attrlink.functions import kernels
 from attrlink.operators import blocks
 from attrlink.schema import RESULT_HEADERS, RESULT_SCHEMA
 
@@ -164,14 +166,25 @@ def test_rules(spark):
     assert one.first().status == "Exact Match"
     strict = ValueRules(normalize_case=False)
     two = match_values(X.inputs(spark, [(1, *key, "ab")]), X.presets(spark, [(1, *key, "AB")]), rules=strict)
-    assert two.count() == 0
-
-
-def test_samples(spark):
-    inputs = X.inputs(spark, [(i, "x", "y", "z", "24V") for i in range(3)])
-    whole = match_values(inputs, X.presets(spark), max_matches=50)
-    assert match_values(inputs, X.presets(spark), max_matches=50, cross_key_sample=32).count() == whole.count()
-    assert match_values(inputs, X.presets(spark), max_matches=50, cross_key_sample=0).count() == 0
+    assert [(r.similarity, r.match_type) for r in two.collect()] == [(90.0, "pattern")]
+    with pytest.raises(ValueError):
+        match_values(X.inputs(spark), X.presets(spark), profile="profiled", rules=strict)
+
+
+@pytest.mark.parametrize("threshold", [40, 55, 75, 90, 95])
+@pytest.mark.parametrize("full", [False, True])
+def test_block_search_loses_nothing(threshold, full):
+    """Mixed case, punctuation and numbers: the block search against all pairs."""
+    rng = random.Random(threshold)
+    make = lambda: "".join(rng.choice(["ab", "AB", "a b", "1.5", "15", "2", ".", "-", "V", "mm", " "]) for _ in range(rng.randrange(1, 5)))
+    queries, presets = sorted({make() for _ in range(60)}), sorted({make() for _ in range(80)})
+    rank = np.arange(len(presets))
+    q, p, score, kind = kernels.best_in_block(queries, presets, rank, float(threshold), len(presets), full)
+    f = kernels.Features(queries + presets)
+    i, j = np.repeat(np.arange(len(queries)), len(presets)), np.tile(np.arange(len(presets)), len(queries))
+    best = np.max(kernels.score_pairs(f, i, len(queries) + j, full), axis=0)
+    want = {(int(a), int(b)) for a, b, s in zip(i, j, best) if s >= threshold}
+    assert set(zip(map(int, q), map(int, p))) == want
 
 
 def test_unknown_profile(spark):

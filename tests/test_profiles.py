@@ -45,7 +45,7 @@ def test_case_patterns_follow_python(spark):
         (["5", "6.5"], "number_only"),
         (["red", "blue"], "text_only"),
         (["red", "5"], "mixed"),
-        (["5V"] * 10 + ["red"], "number_unit"),
+        (["5V"] * 10 + ["red"], "mixed"),
     ],
 )
 def test_typical_format(spark, values, want):

@@ -36,6 +36,7 @@ def test_breakdowns(results):
 
 def test_filters(results):
     assert R.filter_results(results, "All", None, 0).count() == 13
+    assert R.filter_results(results).count() == results.count()
     assert R.filter_results(results, "Similar Match", "Connectors", 85).count() == 2
     assert R.filter_results(results, min_similarity=100).count() == 9
 
@@ -71,3 +72,21 @@ def test_quality(spark):
 def test_digest_tells_rows_apart(spark):
     df = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", None), (None, "a"), ("1:a", "")], "x string, y string")
     assert Q.duplicate_rows(df).first()[0] == 0
+
+
+def test_quality_of_odd_tables(spark):
+    numbers = spark.createDataFrame([(1, 2.0), (3, None)], "`a.b` int, c double")
+    found = {(r.column, r.metric): r.value for r in Q.quality_report(numbers).collect()}
+    assert found[("", "total_rows")] == "2" and found[("c", "null_count")] == "1"
+    assert Q.top_values(numbers).count() == 0
+    texts = spark.createDataFrame([("x",), (None,)], "`a.b` string")
+    shares = {(r.column, r.metric): r.value for r in Q.quality_report(texts).collect()}
+    assert shares[("a.b", "null_percentage")] == "50.0"
+    none = Q.quality_report(texts.limit(0)).collect()
+    assert {r.value for r in none if r.metric == "total_rows"} == {"0"}
+
+
+def test_ties_of_long_values_go_by_value(spark):
+    rows = [("s" * 64 + f"{i:02d}",) for i in range(12)]
+    got = Q.top_values(spark.createDataFrame(rows, "v string"), 5).orderBy("rank").collect()
+    assert [r.value[-2:] for r in got] == ["00", "01", "02", "03", "04"]

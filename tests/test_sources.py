@@ -21,6 +21,27 @@ def test_row_ids_follow_files_and_keep_gaps(spark, tmp_path):
     assert sorted(r.row_id for r in with_row_ids(rows).collect()) == list(range(20))
 
 
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_row_ids_do_not_depend_on_splits(spark, tmp_path, kind):
+    rows = spark.range(20_000).selectExpr("cast(id AS string) AS v", "repeat('x', 50) AS w").coalesce(1)
+    rows.write.option("parquet.block.size", 65536).format(kind).save(f"{tmp_path}/t")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[0], "20000000")
+        spark.conf.set(names[1], "2")
+        df = spark.read.schema("v string, w string").format(kind).load(f"{tmp_path}/t")
+        numbered = with_row_ids(df)
+        spark.conf.set(names[0], "100000")
+        spark.conf.set(names[1], "8")
+        got = {r.v: r.row_id for r in numbered.select("v", "row_id").collect()}
+        again = {r.v: r.row_id for r in with_row_ids(df).select("v", "row_id").collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert got == again == {str(i): i for i in range(20_000)}
+
+
 def test_reference_csv(spark, tmp_path):
     path = tmp_path / "ref.csv"
     path.write_text('Category,Sub-Category,Attribute Name,Preset values\nA,B,C,"EAO, 02"\n,,,lost\n A ,B,C,24.0\n', encoding="utf-8")
