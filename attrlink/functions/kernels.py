@@ -9,7 +9,6 @@ All scores are 0..100.  ``200.0 * lcs / (n + m)`` is the common form of the subs
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
@@ -863,15 +862,3 @@ def nearest_in_block(queries, presets, rank, threshold, k):
     value, kind = score[at_q, at_p], np.zeros(len(at_q), np.int64)
     pick = keep_best(at_q, at_p, value, kind, rank, k)
     return at_q[pick], at_p[pick], value[pick], kind[pick]
-
-
-def trigram_vectors(value: pd.Series, size: pd.Series) -> pd.Series:
-    """Counts of hashed character trigrams per text, scaled to unit length."""
-    out = []
-    for text, n in zip(value, size):
-        text = f" {text.lower()} "
-        grams = (text[p : p + 3] for p in range(max(len(text) - 2, 1)))
-        slots = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n for g in grams]
-        counts = np.bincount(slots, minlength=n).astype(np.float64)
-        out.append(counts / np.sqrt((counts**2).sum()))
-    return pd.Series(out)

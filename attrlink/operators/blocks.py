@@ -109,14 +109,16 @@ def block_hits(
     return left.cogroup(right).applyInArrow(meet, schema)
 
 
-def merge_hits(hits: DataFrame, by: list[str], k: int) -> DataFrame:
+def merge_hits(hits: DataFrame, by: list[str], k: int, held: DataFrame, on: list[str]) -> DataFrame:
     """The ``k`` best rows per query out of its block winners, as an ordered array ``matches``.
 
-    A winner is a distinct value with its first ``k`` rows (``rows``, in row order); any row among
-    the ``k`` best has its value among the ``k`` best values, so nothing is lost on the way.
+    A winner is a distinct value; its first ``k`` rows (``rows`` of ``held``, in row order) are fetched by
+    ``on`` for the winners only. Any row among the ``k`` best has its value among the ``k`` best values, so
+    nothing is lost on the way.
     """
     best = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("rank"))
     top = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    top = top.join(held, on)
     found = F.transform(
         "rows",
         lambda r: F.struct(

@@ -65,14 +65,15 @@ def fuzzy(
     presets = values.withColumnRenamed("normalized", "value")
     hits = block_hits(
         queries,
-        presets.select(*keys, "value", "rank", "rows"),
+        presets.select(*keys, "value", "rank"),
         keys,
         ["normalized"],
         ["value"],
         fuzzy_search(float(threshold), int(k), full),
-        ["rank", "rows"],
+        ["value", "rank"],
     )
-    return merge_hits(hits, [*keys, "normalized"], k)
+    on = [*keys, "value"]
+    return merge_hits(hits, [*keys, "normalized"], k, presets.select(*on, "rows"), on)
 
 
 # ------------------------------------------------------------------ vectors
@@ -81,8 +82,26 @@ def fuzzy(
 def hashed_trigrams(column, size: int = 256) -> Column:
     """Default text encoder: hashed character trigrams. Any column function that returns an
     array of doubles of one length can take its place."""
-    encode = F.pandas_udf(kernels.trigram_vectors, "array<double>")
-    return encode(X.text(column), F.lit(size))
+    padded = F.concat(F.lit(" "), F.lower(X.text(column)), F.lit(" "))
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(padded) - 2, F.lit(1)))
+    digest = lambda i: F.substring(F.md5(F.substring(padded, i, F.lit(3))), 1, 8)
+    slots = F.transform(places, lambda i: F.conv(digest(i), 16, 10).cast("long") % size)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+
+    def scaled(counts, table):
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c * c))
+        return _let(norm, lambda n: F.transform(every, lambda s: F.coalesce(F.try_element_at(table, s), F.lit(0.0)) / n))
+
+    def count(found, used):
+        counts = F.transform(used, lambda u: F.size(F.filter(found, lambda s: s == u)).cast("double"))
+        return _let(counts, lambda c: _let(F.map_from_arrays(used, c), lambda table: scaled(c, table)))
+
+    return _let(slots, lambda found: _let(F.array_distinct(found), lambda used: count(found, used)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def vector_search(k: int, threshold: float):
@@ -112,9 +131,10 @@ def nearest_vectors(
     Equal scores are ordered by ``rank``. Exact: every query block meets every preset block as
     one matrix product.
     """
-    payload = ["rank", "rows" if "rows" in presets.columns else preset_id]
+    keys = keys or []
+    bare = presets.select(*keys, preset_id, "rank", "vector")
     return block_hits(
-        queries, presets, keys or [], [query_id], [preset_id], vector_search(k, threshold), payload
+        queries, bare, keys, [query_id], [preset_id], vector_search(k, threshold), [preset_id, "rank"]
     )
 
 

@@ -170,7 +170,7 @@ def match_vectors(values, reference, encoder, threshold, k):
     presets = stage(rows.withColumn("vector", encoder("preset_value")), "preset-vectors")
     asked = stage(values.withColumn("vector", encoder(INPUT_VALUE)), "input-vectors")
     hits = M.nearest_vectors(asked, presets, INPUT_VALUE, "preset_value", k, threshold)
-    near = M.merge_hits(hits, [INPUT_VALUE], k)
+    near = M.merge_hits(hits, [INPUT_VALUE], k, presets.select("preset_value", "rows"), ["preset_value"])
     return near.select(
         INPUT_VALUE,
         F.transform(

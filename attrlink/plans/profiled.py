@@ -45,16 +45,18 @@ def match_profiled(inputs, reference, threshold, k, full):
     presets = M.first_rows(
         known, [*KEYS, "preset_value", "smart"], ["preset_value"], k
     ).withColumnRenamed("preset_value", "value")
+    presets = stage(presets, "presets")
     hits = block_hits(
         left.select(*ASK, "smart", "case_sensitivity"),
-        presets,
+        presets.drop("rows"),
         KEYS,
         [INPUT_VALUE],
         ["value"],
         profiled_search(threshold, k),
-        ["rank", "rows"],
+        ["value", "rank"],
     )
-    near = merge_hits(hits, ASK, k)
+    on = [*KEYS, "value"]
+    near = merge_hits(hits, ASK, k, presets.select(*on, "rows"), on)
 
     fuzzy = F.transform(
         F.coalesce("matches", F.array()),
