@@ -2,12 +2,14 @@
 
 1. ``fit``: words and their stems (first bytes) are counted per class. The log-odds with an
    informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) and their z value decide what enters
-   the lexicon. A word scores by its own entry, else by that of its stem; every other word costs a
+   the lexicon. Occurrences between the same two neighbours count once, so the words of a passage that
+   many labelled texts repeat prove nothing. A word scores by its own entry, else by that of its stem; every other word costs a
    small constant, so the mean score is negative.
 2. ``segments``: one linear scan (Ruzzo and Tompa 1999) finds every maximal-scoring passage.
 3. Karlin and Altschul's extreme-value law turns a passage score into one that is comparable over
    text lengths (``lambda * S - ln(K * n)``); the sum of the significant ones is mapped to 0..1 by a
-   logistic curve fitted on the labelled texts.
+   logistic curve fitted on the labelled texts that have one. Texts without any get the share of toxic
+   ones among the labelled texts without any.
 
 Null and empty texts hold no passage: they get the score of a text without evidence, which is below
 any threshold of 0.5 or more. Repeated rows get equal scores. Without labels of both classes nothing
@@ -22,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ LEXICON_WORDS = 200_000
 PRIOR_SHARE = 0.1
 #: z from which log-odds are taken as evidence.
 LEAST_Z = 2.5
+#: Evidence beyond this says no more about a text.
+MOST_RISE = 15.0
 #: Bytes of the stem that an unlisted word falls back to.
 STEM = 4
 #: Cost of a word without evidence.
@@ -50,6 +55,7 @@ class ToxicModel:
     k: float = 0.1
     a: float = 1.0
     b: float = -20.0
+    rest: float = 0.0
     known: bool = False
 
 
@@ -119,8 +125,10 @@ def _evidence(text: str | None, model: ToxicModel) -> tuple[float, list[tuple[in
 def _chance(rise: float, model: ToxicModel) -> float:
     if not model.known:
         return 0.0
-    x = model.a * rise + model.b
-    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    if rise <= 0:
+        return model.rest
+    x = model.a * min(rise, MOST_RISE) + model.b
+    return max(model.rest, 1 / (1 + math.exp(-max(x, -700.0))))
 
 
 def fit(labelled: DataFrame) -> ToxicModel:
@@ -157,15 +165,39 @@ def fit(labelled: DataFrame) -> ToxicModel:
 
     delta = odds("toxic", all_t) - odds("clean", all_c)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    rows = (
-        counts.select("word", delta.alias("delta"), z.alias("z"))
-        .where(F.abs("z") >= LEAST_Z)
-        .orderBy(F.abs("z").desc(), "word").limit(LEXICON_WORDS).collect()
+    able = counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(LEXICON_WORDS)
+    able = able.select("word").collect()
+    places = _neighbours(unique, {bytes(r["word"]) for r in able})
+    fewer = counts.join(F.broadcast(places), "word").select(
+        "word", F.least("clean", "clean_places").alias("clean"), F.least("toxic", "toxic_places").alias("toxic")
     )
+    rows = fewer.select("word", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).collect()
     model = ToxicModel({bytes(r["word"]): float(r["delta"]) for r in rows}, known=True)
     return _calibrate(unique, model)
 
 
+def _neighbours(unique: DataFrame, able: set[bytes]) -> DataFrame:
+    """(word, clean_places, toxic_places): how many different pairs of neighbours an entry has per class."""
+    send = unique.sparkSession.sparkContext.broadcast(able)  # at most LEXICON_WORDS
+
+    def run(batches):
+        wanted = send.value
+        for batch in batches:
+            found = set()
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                words = [b"", *words_of(text), b""]
+                for before, word, after in zip(words, words[1:], words[2:]):  # noqa: B905
+                    for entry in (word, _stem(word)):
+                        if entry in wanted:
+                            found.add((entry, int(toxic), xxhash.xxh3_64_intdigest(before + b"\0" + after) >> 1))
+            yield pd.DataFrame(list(found), columns=["word", "toxic", "place"])
+
+    places = unique.mapInPandas(run, "word binary, toxic int, place long").distinct()
+    return places.groupBy("word").agg(
+        F.count_if(F.col("toxic") == 0).alias("clean_places"), F.count_if(F.col("toxic") == 1).alias("toxic_places")
+    )
+
+
 def _calibrate(unique: DataFrame, model: ToxicModel) -> ToxicModel:
     """lambda and K of the chance law from clean texts, then the logistic curve over both classes."""
 
@@ -190,7 +222,10 @@ def _calibrate(unique: DataFrame, model: ToxicModel) -> ToxicModel:
             yield pd.DataFrame({"toxic": batch["toxic"], "rise": [_evidence(t, model)[0] for t in batch["text"]]})
 
     seen = unique.mapInPandas(rise, "toxic int, rise double").toPandas()
-    x, y = np.minimum(seen.rise.to_numpy(), 60.0), seen.toxic.to_numpy(dtype=float)
+    x, y = np.minimum(seen.rise.to_numpy(), MOST_RISE), seen.toxic.to_numpy(dtype=float)
+    none = x <= 0
+    model.rest = float(np.clip(y[none].mean(), 0.0, 0.5)) if none.any() else 0.0
+    x, y = np.append(x[~none], [0.0, MOST_RISE]), np.append(y[~none], [0.0, 1.0])  # two mild anchors
     w = np.zeros(2)
     design = np.column_stack([x, np.ones_like(x)])
     for _ in range(60):  # Newton steps with a small ridge
