@@ -39,7 +39,7 @@ def narrow(documents: DataFrame) -> DataFrame:
             (F.xxhash64(F.col("source")) / F.lit(2.0**64)).alias("d1"),
             (F.xxhash64(F.col("lang")) / F.lit(2.0**64)).alias("d2"),
             F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("d3"),
-            F.monotonically_increasing_id().alias("row"),
+            F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("node"),
         ),
         "shard-rows",
     )
@@ -102,7 +102,7 @@ def kd_tree(rows: DataFrame, leaves: int) -> DataFrame:
     """``rows`` (see ``narrow``) with their leaf number in ``shard``."""
     bounds = rows.agg(*[f(d).alias(f"{n}{d}") for d in DIMENSIONS for n, f in (("l", F.min), ("h", F.max))]).first()
     spans = {d: (float(bounds[f"l{d}"] or 0), float(bounds[f"h{d}"] or 0)) for d in DIMENSIONS}
-    placed = rows.withColumn("keys", F.array(*[_key(d, *spans[d]) for d in DIMENSIONS])).withColumn("node", F.lit(0).cast("long"))
+    placed = rows.withColumn("keys", F.array(*[_key(d, *spans[d]) for d in DIMENSIONS]))
     level = {0: leaves}  # the first leaf of each node, and its number of leaves
     while any(k > 1 for k in level.values()):
         stats = placed.groupBy("node").agg(
