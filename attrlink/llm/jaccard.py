@@ -14,7 +14,8 @@ never meet each other.
 3. First each point is compared with its nearest pivot, the one it shares most outer regions with. Points
    within the radius of one pivot are connected, and regions inside one component are settled: this is
    all that groups of copies need, at the cost of one comparison a point.
-4. The other regions are joined in full. Distances to a pivot settle most pairs: points within its radius
+4. The other regions first lose the points that can't link to any other one there, by a bound that needs
+   the first shingles only. What is left is joined in full. Distances to a pivot settle most pairs: points within its radius
    are connected, and points whose distances to it differ by more than the radius (the triangle
    inequality) can't be linked. What is left recurses with the next pivot. A region beyond one task's size
    is joined as pairs of blocks.
@@ -65,21 +66,22 @@ class Sets:
         codes, lens, words = word_codes(texts)
         hashes = word_hashes(words)[codes] if len(codes) else np.empty(0, np.uint64)
         starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(lens)), lens)
-        place = np.arange(len(hashes)) - starts[:-1][owner] if len(hashes) else np.empty(0, np.int64)
-        whole = np.flatnonzero(place + words_per <= lens[owner]) if len(hashes) else np.empty(0, np.int64)
-        grams = [ngram_hashes(hashes, words_per)[whole]]
-        owners = [owner[whole]]
+        # shingles of a text: one for each place that has all words, or one in all for a short text
+        count = np.where(lens >= words_per, lens - words_per + 1, (lens > 0).astype(np.int64))
+        first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(lens)), count)
+        place = starts[:-1][owner] + np.arange(first[-1]) - first[:-1][owner]
+        all_grams = ngram_hashes(hashes, words_per)
+        gram = np.zeros(first[-1], dtype=np.uint64)
+        full = lens[owner] >= words_per
+        gram[full] = all_grams[place[full]]
         for i in np.flatnonzero((lens > 0) & (lens < words_per)):
-            short = hashes[starts[i] : starts[i + 1]]
-            grams.append(ngram_hashes(short, len(short)))
-            owners.append(np.array([i]))
-        gram, own = np.concatenate(grams), np.concatenate(owners)
-        order = np.lexsort((gram, own))
-        gram, own = gram[order], own[order]
+            gram[first[i]] = ngram_hashes(hashes[starts[i] : starts[i + 1]], int(lens[i]))[0]
+        for x, y in zip(first[:-1], first[1:], strict=True):
+            gram[x:y].sort()
         keep = np.ones(len(gram), dtype=bool)
-        keep[1:] = (gram[1:] != gram[:-1]) | (own[1:] != own[:-1])
-        self.grams, self.owner = gram[keep], own[keep]
+        keep[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+        self.grams, self.owner = gram[keep], owner[keep]
         self.sizes = np.bincount(self.owner, minlength=len(lens)).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
@@ -154,7 +156,8 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
 def prefixes(sets: Sets, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, text, place) of the first shingles of each text, from rare to frequent."""
     rank = classes[_slots(sets.grams)]
-    order = np.lexsort((sets.grams, rank, sets.owner))
+    # texts and, inside, shingles are in order already; only the frequent ones move back
+    order = np.argsort(sets.owner * 256 + rank, kind="stable")
     place = np.arange(len(order)) - sets.starts[:-1][sets.owner]
     n = sets.sizes[sets.owner]
     first = place < n - (PERCENT * n + 99) // 100 + 1
@@ -166,20 +169,22 @@ class Entries:
 
     def __init__(self, sets: Sets, classes: np.ndarray):
         points = sets.points().view(np.int64)
-        self.points, once = np.unique(points, return_index=True)
-        self.sizes = sets.sizes[once]
+        _, once = np.unique(points, return_index=True)
+        once = once[np.lexsort((points[once], sets.sizes[once]))]  # numbered by size, then digest
+        self.points, self.sizes = points[once], sets.sizes[once]
         number = np.full(len(points), -1, dtype=np.int64)
         number[once] = np.arange(len(once))
         gram, owner, place = prefixes(sets, classes)
         mine = number[owner] >= 0
         gram, at, place = gram[mine], number[owner[mine]], place[mine]
-        order = np.lexsort((self.points[at], self.sizes[at], gram))  # the smallest point of a shingle first
+        order = np.argsort(gram)
         gram, self.at, self.place = gram[order], at[order], place[order]
         head = np.ones(len(gram), dtype=bool)
         head[1:] = gram[1:] != gram[:-1]
         self.heads = np.flatnonzero(head)
         self.grams = gram[self.heads]
         self.members = np.diff(np.append(self.heads, len(gram)))
+        self.first = np.minimum.reduceat(self.at, self.heads) if len(gram) else self.at
 
 
 SENT = (
@@ -201,7 +206,7 @@ def send(documents: DataFrame, classes: np.ndarray, bits: int) -> DataFrame:
             name = f"{task}-{number}"
             rows = [(name, -1, None, e.points.tobytes(), pack32(e.sizes), pack32(e.at), pack32(e.place), pack32(e.members))]
             rest = np.maximum.reduceat(e.sizes[e.at] - e.place, e.heads)
-            first = e.at[e.heads]
+            first = e.first
             borders = hash_borders(e.grams, bits)
             for r in range(1 << bits):
                 a, b = borders[r], borders[r + 1]
@@ -227,18 +232,20 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
     size = np.concatenate([unpack32(s)[unpack32(a)] for s, a in zip(frame["sizes"], frame["at"], strict=True)]).astype(np.int64)
     rest = np.concatenate([unpack32(x) for x in frame["places"]]).astype(np.int64)
     members = np.concatenate([unpack32(x) for x in frame["members"]]).astype(np.int64)
-    order = np.lexsort((point, size, gram))
+    order = np.argsort(gram)
     head = np.ones(len(order), dtype=bool)
     head[1:] = gram[order][1:] != gram[order][:-1]
     starts = np.flatnonzero(head)
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(head) - 1
+    least = np.minimum.reduceat(size[order], starts)
+    smallest = np.where(size == least[group], point, np.iinfo(np.int64).max)
+    firsts = np.minimum.reduceat(smallest[order], starts)
     # a point that several batches hold is one member
     other = np.maximum.reduceat(members[order], starts) > 1
-    firsts = point[order][starts]
-    other |= np.add.reduceat((point[order] != np.repeat(firsts, np.diff(np.append(starts, len(order))))).astype(np.int64), starts) > 0
+    other |= np.add.reduceat((point != firsts[group])[order].astype(np.int64), starts) > 0
     most = np.maximum.reduceat(rest[order], starts)
-    shared, pivot, least, most = other[group], firsts[group], size[order][starts][group], most[group]
+    shared, pivot, least, most = other[group], firsts[group], least[group], most[group]
     out, at = [], 0
     for end in ends:
         on = shared[at:end]
@@ -302,13 +309,17 @@ class Region:
             i = self.parent[i]
         return int(i)
 
-    def compare(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distances of all points to point i, and which of them link to it; links are noted."""
+    def overlaps(self, i: int) -> np.ndarray:
+        """How many members of set i each set has."""
         mine = self.codes[self.starts[i] : self.starts[i + 1]]
         uses = self.uses[mine]
         ends = np.cumsum(uses)
         at = np.arange(ends[-1]) + np.repeat(self.first[mine] - (ends - uses), uses)
-        overlap = np.bincount(self.holders[at], minlength=len(self.n))
+        return np.bincount(self.holders[at], minlength=len(self.n))
+
+    def compare(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all points to point i, and which of them link to it; links are noted."""
+        overlap = self.overlaps(i)
         union = self.n[i] + self.n - overlap
         linked = 100 * overlap >= PERCENT * union
         for j in np.flatnonzero(linked):
@@ -351,9 +362,13 @@ def row_id() -> Column:
 KEYS = ["pivot", "i", "j"]
 
 
-def ship(documents: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(pivot, i, j, point, n, grams): the sets of ``members`` (pivot, i, j, point), computed from the texts where
-    they lie and sent once per membership; sorted by region within partitions."""
+def ship(documents: DataFrame, rows: DataFrame, members: DataFrame, classes: np.ndarray | None = None) -> DataFrame:
+    """(pivot, i, j, point, n, last, grams): the sets of ``members`` (pivot, i, j, point), computed from the texts
+    where they lie and sent once per membership; sorted by region within partitions.
+
+    With ``classes`` only the first shingles in their order are sent, with 32 bits each, and the order's key
+    of the last of them: enough for an upper bound of what two sets share."""
+    table = documents.sparkSession.sparkContext.broadcast(classes)
     meets = members.groupBy("point").agg(F.collect_set(F.struct(*KEYS)).alias("meets"))
     chosen = rows.join(meets, "point").groupBy("point").agg(F.min("rid").alias("rid"), F.first("meets").alias("meets"))
     chosen = stage(chosen, "jaccard-chosen")
@@ -365,15 +380,30 @@ def ship(documents: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame
             lists = got.column("meets").combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             owner, flat = pc.list_parent_indices(lists), lists.flatten()
-            grams = pa.array([pack(sets.grams[a:b]) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)], pa.binary())
+            last = np.zeros(len(sets.sizes), dtype=np.int64)
+            if table.value is None:
+                blobs = [pack(sets.grams[a:b]) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)]
+            else:
+                gram, at, _ = prefixes(sets, table.value)
+                ends = np.searchsorted(at, np.arange(len(sets.sizes) + 1))
+                some = np.flatnonzero(np.diff(ends))
+                final = gram[ends[1:][some] - 1]
+                last[some] = _order_key(final, table.value)
+                blobs = [pack(np.sort(gram[a:b] >> np.uint64(32))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            grams = pa.array(blobs, pa.binary())
             columns = {k: flat.field(k) for k in KEYS}
-            columns |= {"point": got.column("point").take(owner).combine_chunks(), "n": pa.array(sets.sizes).take(owner), "grams": grams.take(owner)}
+            columns |= {"point": got.column("point").take(owner).combine_chunks(), "n": pa.array(sets.sizes).take(owner), "last": pa.array(last).take(owner), "grams": grams.take(owner)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    sent = texts.mapInArrow(run, "pivot long, i long, j long, point long, n long, grams binary")
+    sent = texts.mapInArrow(run, "pivot long, i long, j long, point long, n long, last long, grams binary")
     return sent.repartition(partitions(documents.sparkSession), *KEYS).sortWithinPartitions(*KEYS)
 
 
+def _order_key(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Place of shingles in the order of prefixes; equal for shingles that are too close to tell apart."""
+    return (classes[_slots(grams)].astype(np.int64) << 55) | (grams >> np.uint64(9)).astype(np.int64)
+
+
 def _by_region(shipped: DataFrame, settle) -> DataFrame:
     """(a, b) of all regions, by ``settle(frame of one region)``; a task reads its regions one after the other."""
 
@@ -421,6 +451,30 @@ def _whole(frame: pd.DataFrame) -> list[tuple[int, int]]:
     return [(int(points[i]), int(points[j])) for i, j in found]
 
 
+def _able(frame: pd.DataFrame) -> list[tuple[int, int]]:
+    """(pivot, point) of the points that may link to another one of the region.
+
+    Of two sets, let the prefix of A end first in the common order. What A shares with B is in both prefixes,
+    or in the rest of A. Hashes of 32 bits can only make the bound larger."""
+    frame = frame.drop_duplicates("point")
+    points, n, last = (frame[c].to_numpy() for c in ("point", "n", "last"))
+    if len(points) < 2:
+        return []
+    parts = [unpack(x) for x in frame["grams"]]
+    size = np.array([len(x) for x in parts])
+    region = Region([np.unique(x) for x in parts])
+    able = np.zeros(len(points), dtype=bool)
+    for i in range(len(points)):
+        shared = region.overlaps(i) + (size[i] - region.n[i])  # equal 32-bit hashes inside one set count as shared
+        rest = np.where(last[i] <= last, n[i] - size[i], n - size)
+        fits = shared + rest >= least_overlap(n[i], n)
+        fits &= (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n)
+        fits[i] = False
+        able |= fits
+        able[i] |= fits.any()
+    return [(int(frame["pivot"].iloc[0]), int(x)) for x in points[able]]
+
+
 def nearest_pivots(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     """(a, b): each point against the pivot that it shares the most outer regions with. A pivot with many
     points is sent to as many parts as they fill."""
@@ -432,15 +486,26 @@ def nearest_pivots(documents: DataFrame, rows: DataFrame, regions: DataFrame, li
     return stage(_by_region(ship(documents, rows, dealt.unionByName(pivots)), _star), "jaccard-links")
 
 
-def inner_regions(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """(a, b): links that connect all linked points of each region (pivot, point, n). Regions beyond ``limit``
-    are joined as pairs of blocks, each pair in a task of its own."""
+def _blocks(regions: DataFrame, limit: int) -> DataFrame:
+    """(pivot, i, j, point): regions as they are, or, beyond ``limit`` shingles, as all pairs of their blocks."""
     sizes = regions.groupBy("pivot").agg(F.sum("n").alias("weight"))
     sizes = sizes.select("pivot", F.when(F.col("weight") > limit, F.ceil(F.col("weight") * 2 / limit)).otherwise(1).alias("blocks"))
     placed = regions.join(small(sizes), "pivot").withColumn("mine", F.pmod(F.xxhash64("point"), "blocks"))
     meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    meets = meets.select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "point")
-    return stage(_by_region(ship(documents, rows, meets), _whole), "jaccard-links")
+    return meets.select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "point")
+
+
+def able_points(documents: DataFrame, rows: DataFrame, regions: DataFrame, classes: np.ndarray, limit: int = REGION_SHINGLES) -> DataFrame:
+    """The rows (pivot, point, n) of ``regions`` whose point may link to another of its region, by prefixes alone."""
+    found = _by_region(ship(documents, rows, _blocks(regions, 4 * limit), classes), _able).distinct()
+    found = stage(found.select(F.col("a").alias("pivot"), F.col("b").alias("point")), "jaccard-able")
+    return regions.join(small(found), ["pivot", "point"], "left_semi")
+
+
+def inner_regions(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """(a, b): links that connect all linked points of each region (pivot, point, n). Regions beyond ``limit``
+    are joined as pairs of blocks, each pair in a task of its own."""
+    return stage(_by_region(ship(documents, rows, _blocks(regions, limit)), _whole), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -468,7 +533,8 @@ def classify(documents: DataFrame) -> DataFrame:
     rows, counts = describe(documents)
     total = int(counts.sum())
     bits = max(0, math.ceil(math.log2(max(1.0, total / 4 * 8 / RANGE_BYTES))))
-    entries = send(documents, frequency_classes(counts), bits)
+    order = frequency_classes(counts)
+    entries = send(documents, order, bits)
     regions = stage(outer_regions(entries).distinct(), "jaccard-regions")
     links = nearest_pivots(documents, rows, regions)
     # what one component holds already is settled; the other regions are joined in full
@@ -479,7 +545,8 @@ def classify(documents: DataFrame) -> DataFrame:
     named = all_rows.join(small(labels), "point", "left").withColumn("component", F.coalesce("component", "point"))
     open_regions = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_regions = stage(open_regions.where("low != high").select("pivot"), "jaccard-open")
-    more = inner_regions(documents, rows, all_rows.join(small(open_regions), "pivot", "left_semi"))
+    left = able_points(documents, rows, all_rows.join(small(open_regions), "pivot", "left_semi"), order)
+    more = inner_regions(documents, rows, stage(left, "jaccard-left"))
     linked = components(links.unionByName(more))
     known = rows.join(small(linked), "point", "left").withColumn("component", F.coalesce("component", "point"))
     ids = known.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
