@@ -362,6 +362,12 @@ def result_filter(spark, folder):
     return scores_rounded(found.select("input_id", "match_rank", "similarity", "preset_row_id"))
 
 
+@query
+def result_filter_not_found(spark, folder):
+    found = R.filter_results(_results(spark, folder), "Not Found")
+    return found.select("input_id", "category", "original_input")
+
+
 @query
 def filter_choices(spark, folder):
     return R.filter_choices(_results(spark, folder))
@@ -400,6 +406,12 @@ def quality_report(spark, folder):
     return Q.quality_report(V.table(spark, folder, "customer"))
 
 
+@query
+def quality_numeric(spark, folder):
+    """A table without text columns."""
+    return Q.quality_report(V.table(spark, folder, "labels"))
+
+
 @query
 def data_summary(spark, folder):
     return Q.data_summary(V.table(spark, folder, "documents"))
@@ -476,6 +488,13 @@ def value_rules(spark, folder):
     return _sized(spark, folder).select("row_id", "preset_value", form)
 
 
+@query
+def match_case_kept(spark, folder):
+    """The cascade over values that keep their case."""
+    rules = U.ValueRules(normalize_case=False)
+    return scores_rounded(_cascade(spark, folder, rules=rules, max_matches=3))
+
+
 @query
 def match_rules(spark, folder):
     """The cascade with every spelling rule on."""
@@ -521,7 +540,9 @@ def snapshot_info(spark, folder):
     path = _folder(spark)
     snapshot.load_or_build(spark, path, lambda: V.raw_reference(spark, folder))
     info = snapshot.snapshot_info(spark, path)
-    return info.select("exists", (F.col("bytes") > 0).alias("has_bytes"), "modified").drop("modified")
+    rows = snapshot.read_snapshot(spark, path).agg(F.count("*").alias("n_rows"))
+    facts = info.select("exists", (F.col("bytes") > 0).alias("has_bytes"), F.lit(1).alias("one"))
+    return facts.join(rows.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 @query

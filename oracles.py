@@ -378,6 +378,11 @@ def ruled(x):
     return f"CASE WHEN {size} <> '' THEN concat({size}, ' 0 length') ELSE {plain} END"
 
 
+def cased(x):
+    return norm(x).replace("lower(", "(", 1)
+
+
+SQL["match_case_kept"] = cascade(INPUTS, REFERENCE, 75, 3, form=cased) + " SELECT * FROM results"
 SQL["match_rules"] = cascade(INPUTS, REFERENCE, 75, 3, form=ruled) + " SELECT * FROM results"
 SQL["unmatched"] = cascade(INPUTS, REFERENCE, 75, 5, unmatched=True) + """
   SELECT input_id, category, sub_category, attribute_name, original_input, status FROM results WHERE status = 'Not Found'"""
@@ -444,6 +449,8 @@ SQL["score_histogram"] = f"""{_R},
 SQL["result_filter"] = f"""{_R}
   SELECT input_id, match_rank, similarity, preset_row_id FROM results
   WHERE status = 'Similar Match' AND category = 'PROMO' AND similarity >= 80"""
+SQL["result_filter_not_found"] = f"""{_R}
+  SELECT input_id, category, original_input FROM results WHERE status = 'Not Found'"""
 SQL["filter_choices"] = f"""{_R}
   SELECT DISTINCT 'status' AS field, status AS value FROM results UNION SELECT DISTINCT 'category', category FROM results"""
 SQL["worst_categories"] = f"""{_R}
@@ -483,6 +490,16 @@ SQL["quality_report"] = " UNION ALL ".join(
         if t == "string"
     ]
 )
+_LABELS = [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")]
+SQL["quality_numeric"] = " UNION ALL ".join(
+    [
+        "SELECT '' AS \"column\", 'total_rows' AS metric, count(*)::VARCHAR AS value FROM labels",
+        "SELECT '', 'total_columns', '3'",
+        "SELECT '', 'duplicate_rows', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM labels)))::VARCHAR FROM labels",
+    ]
+    + [f"SELECT '{c}', 'data_type', '{t}'" for c, t in _LABELS]
+    + [f"SELECT '{c}', 'null_count', (count(*) - count({c}))::VARCHAR FROM labels" for c, _ in _LABELS]
+)
 SQL["data_summary"] = " UNION ALL ".join(
     [
         "SELECT '' AS \"column\", 'total_records' AS metric, count(*)::VARCHAR AS value FROM documents",
@@ -729,7 +746,8 @@ SQL["sample_data"] = "SELECT o_orderkey AS input_id, " + ", ".join(
     f"({pool})[1 + ('0x' || left(md5(o_orderkey || '|{name}|42'), 8))::BIGINT % {len(pool)}] AS {name}"
     for name, pool in _POOLS.items()
 ) + " FROM orders"
-SQL["snapshot_info"] = "SELECT true AS \"exists\", true AS has_bytes"
+SQL["snapshot_info"] = f"""
+  SELECT true AS "exists", true AS has_bytes, (SELECT count(*) FROM ({SQL['snapshot_roundtrip']})) AS n_rows"""
 
 
 def all_sql():
