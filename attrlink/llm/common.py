@@ -131,6 +131,7 @@ def text_batches(batches, size: int):
                 break
             held.append(batch.slice(start, stop - start))
             yield pa.Table.from_batches(held).combine_chunks()
+            pa.default_memory_pool().release_unused()
             held, held_bytes = [], 0
             total = total - total[stop - 1]
             start = stop

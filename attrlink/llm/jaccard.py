@@ -46,8 +46,8 @@ from .common import hash_borders, mix, ngram_hashes, pack, pack32, partitions, s
 WORDS = 5
 #: Similarity from which two texts link, in hundredths.
 PERCENT = 75
-BATCH_BYTES = 12 << 20
-RANGE_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
+RANGE_BYTES = 4 << 20
 #: Slots of the table of shingle counts (fixed, 4 MB).
 SLOTS_LOG = 20
 #: Shingles of an inner region that one task compares at once.
