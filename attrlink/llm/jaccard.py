@@ -39,6 +39,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import stage
 from .common import hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, text_batches, unpack, unpack32, word_codes, word_hashes
@@ -258,7 +259,7 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def outer_regions(entries: DataFrame) -> DataFrame:
-    """(pivot, point, n, shared), distinct per batch: which points meet at which pivot point, and in how many
+    """(pivot, point, n, pivot_n, shared), distinct per batch: which points meet at which pivot point, and in how many
     of the outer regions."""
     summaries = entries.where("part >= 0")
     answers = summaries.groupBy("part").applyInPandas(
@@ -267,7 +268,7 @@ def outer_regions(entries: DataFrame) -> DataFrame:
 
     def meet(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(answers):
-            return pd.DataFrame({"pivot": [], "point": [], "n": [], "shared": []}).astype("int64")
+            return pd.DataFrame({"pivot": [], "point": [], "n": [], "pivot_n": [], "shared": []}).astype("int64")
         row, answers = own.iloc[0], answers.sort_values("part")
         points, sizes = np.frombuffer(row["points"], np.int64), unpack32(row["sizes"]).astype(np.int64)
         at, place, members = unpack32(row["at"]), unpack32(row["places"]).astype(np.int64), unpack32(row["members"]).astype(np.int64)
@@ -280,12 +281,12 @@ def outer_regions(entries: DataFrame) -> DataFrame:
         at, place = at[here], place[here]
         n = sizes[at]
         able = (np.minimum(n - place, most) >= least_overlap(n, least)) & (points[at] != pivot)
-        rows = np.column_stack([pivot[able], points[at][able], n[able]])
+        rows = np.column_stack([pivot[able], points[at][able], n[able], least[able]])
         found, shared = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64))
-        return pd.DataFrame({"pivot": found[:, 0], "point": found[:, 1], "n": found[:, 2], "shared": shared})
+        return pd.DataFrame({"pivot": found[:, 0], "point": found[:, 1], "n": found[:, 2], "pivot_n": found[:, 3], "shared": shared})
 
     own = entries.where("part = -1").select("batch", "points", "sizes", "at", "places", "members")
-    return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(meet, "pivot long, point long, n long, shared long")
+    return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(meet, "pivot long, point long, n long, pivot_n long, shared long")
 
 
 class Region:
@@ -478,7 +479,8 @@ def _able(frame: pd.DataFrame) -> list[tuple[int, int]]:
 def nearest_pivots(documents: DataFrame, rows: DataFrame, regions: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     """(a, b): each point against the pivot that it shares the most outer regions with. A pivot with many
     points is sent to as many parts as they fill."""
-    best = regions.groupBy("point").agg(F.max(F.struct("shared", "pivot", "n")).alias("best"))
+    # the pivot is the smaller set; one below three quarters of the other's size can't link to it
+    best = regions.where("100 * pivot_n >= %d * n" % PERCENT).groupBy("point").agg(F.max(F.struct("shared", "pivot", "n")).alias("best"))
     best = stage(best.select("point", "best.pivot", "best.n"), "jaccard-nearest")
     parts = best.groupBy("pivot").agg(F.ceil(F.sum("n") / limit).alias("parts"))
     dealt = best.join(small(parts), "pivot").select("pivot", F.pmod(F.xxhash64("point"), "parts").alias("i"), F.lit(0).cast("long").alias("j"), "point")
@@ -495,6 +497,14 @@ def _blocks(regions: DataFrame, limit: int) -> DataFrame:
     return meets.select("pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "point")
 
 
+def _near_sizes(regions: DataFrame) -> DataFrame:
+    """The rows of ``regions`` that have another point of their region near enough in size to link."""
+    by_size = Window.partitionBy("pivot").orderBy("n")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = (100 * before >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * after)
+    return regions.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near")
+
+
 def able_points(documents: DataFrame, rows: DataFrame, regions: DataFrame, classes: np.ndarray, limit: int = REGION_SHINGLES) -> DataFrame:
     """The rows (pivot, point, n) of ``regions`` whose point may link to another of its region, by prefixes alone."""
     found = _by_region(ship(documents, rows, _blocks(regions, 4 * limit), classes), _able).distinct()
@@ -545,7 +555,8 @@ def classify(documents: DataFrame) -> DataFrame:
     named = all_rows.join(small(labels), "point", "left").withColumn("component", F.coalesce("component", "point"))
     open_regions = named.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_regions = stage(open_regions.where("low != high").select("pivot"), "jaccard-open")
-    left = able_points(documents, rows, all_rows.join(small(open_regions), "pivot", "left_semi"), order)
+    open_rows = stage(_near_sizes(all_rows.join(small(open_regions), "pivot", "left_semi")), "jaccard-open-rows")
+    left = able_points(documents, rows, open_rows, order)
     more = inner_regions(documents, rows, stage(left, "jaccard-left"))
     linked = components(links.unionByName(more))
     known = rows.join(small(linked), "point", "left").withColumn("component", F.coalesce("component", "point"))

@@ -80,7 +80,7 @@ def test_near_copies_in_large_regions(spark):
     found, _ = jaccard.describe(docs)
     frame = [(r.point, r.n) for r in found.select("point", "n").distinct().collect()]
     pivot = min(frame, key=lambda x: (x[1], x[0]))[0]
-    region = spark.createDataFrame([(pivot, p, n, 1) for p, n in frame], "pivot long, point long, n long, shared long")
+    region = spark.createDataFrame([(pivot, p, n, n, 1) for p, n in frame], "pivot long, point long, n long, pivot_n long, shared long")
     small = jaccard.inner_regions(docs, found, region, limit=10**9).collect()
     large = jaccard.inner_regions(docs, found, region, limit=700).collect()
     assert groups(small) == groups(large)
