@@ -66,33 +66,48 @@ def sheet_rows(content: bytes):
 def read_xlsx(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Rows of the first sheet of every workbook under ``path``, all columns as strings.
 
-    The header row of one workbook gives the columns unless they are named; the other files are
-    read by header name. Rows carry the row's place in its sheet as ``row_id`` when there is a
-    single workbook.
+    Unless columns are named, every header name of every workbook is a column, ordered by the first
+    workbook by path that has it and its place there; each workbook is read by header name, and a
+    column it doesn't have is null in its rows. Rows carry no id; ``with_row_ids`` numbers them.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     if columns is None:
-        head = files.orderBy("path").limit(1).mapInPandas(
-            lambda batches: _headers(batches), "name array<string>"
-        )
-        columns = head.first()["name"]
+        # one row per distinct name reaches the driver, as many as the table has columns
+        heads = files.mapInPandas(_headers, "path string, place int, name string")
+        first = heads.groupBy("name").agg(F.min(F.struct("path", "place")).alias("first"))
+        columns = [r["name"] for r in first.orderBy("first").collect()]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     wanted = list(columns)
     return files.mapInPandas(lambda batches: _rows(batches, wanted), schema)
 
 
+def column_names(header: list) -> list:
+    """Header cells as column names; a name that comes again in the same sheet gets a number."""
+    names, taken = [], {h for h in header if h is not None}
+    for i, name in enumerate(header):
+        if name is not None and name in header[:i]:
+            number = 1
+            while f"{name}_{number}" in taken:
+                number += 1
+            name = f"{name}_{number}"
+            taken.add(name)
+        names.append(name)
+    return names
+
+
 def _headers(batches):
     for batch in batches:
-        for content in batch["content"]:
-            header = next(sheet_rows(content), [])
-            yield pd.DataFrame({"name": [[h for h in header if h is not None]]})
+        for path, content in zip(batch["path"], batch["content"]):
+            header = column_names(next(sheet_rows(content), []))
+            found = [(path, i, name) for i, name in enumerate(header) if name is not None]
+            yield pd.DataFrame(found, columns=["path", "place", "name"])
 
 
 def _rows(batches, wanted):
     for batch in batches:
         for content in batch["content"]:
             rows = sheet_rows(content)
-            header = next(rows, [])
+            header = column_names(next(rows, []))
             at = [header.index(c) if c in header else None for c in wanted]
             held = []
             for row in rows:

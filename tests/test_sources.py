@@ -95,6 +95,23 @@ def test_xlsx(spark, tmp_path):
     assert [(r.row_id, r.preset_value) for r in one.orderBy("row_id").collect()] == [(0, "10kΩ"), (1, "24")]
 
 
+def test_xlsx_headers_that_differ(spark, tmp_path):
+    write_xlsx(tmp_path / "a.xlsx", [HEADERS, ["A", "B", "C", "10kΩ"]])
+    write_xlsx(tmp_path / "b.xlsx", [["Note", *HEADERS], ["odd", "A", "B", "C", "24"]])
+    write_xlsx(tmp_path / "c.xlsx", [["Note", "Note", "Maker"], ["one", "two", "EAO"]])
+    df = read_table(spark, f"{tmp_path}/*.xlsx", "xlsx")
+    assert df.columns == [*HEADERS, "Note", "Note_1", "Maker"]
+    assert {tuple(r) for r in df.collect()} == {
+        ("A", "B", "C", "10kΩ", None, None, None),
+        ("A", "B", "C", "24", "odd", None, None),
+        (None, None, None, None, "one", "two", "EAO"),
+    }
+    reference = load_reference(df).orderBy("preset_value").collect()
+    assert [(r.preset_value, r.Note) for r in reference] == [("10kΩ", None), ("24", "odd")]
+    named = read_table(spark, f"{tmp_path}/*.xlsx", "xlsx", columns=["Maker", "Category"])
+    assert {tuple(r) for r in named.collect()} == {(None, "A"), ("EAO", None)}
+
+
 def test_snapshot(spark, tmp_path):
     path = str(tmp_path / "snap")
     assert snapshot.read_snapshot(spark, path) is None
