@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-``fit`` learns a rotation on a bounded sample (iterative quantization, Gong and Lazebnik 2011) that turns
+``fit`` learns a rotation on a bounded sample of the distinct vectors (iterative quantization, Gong and Lazebnik 2011) that turns
 vectors into 64-bit codes. Largest inner product becomes smallest angle by one more coordinate,
 ``sqrt(M^2 - |x|^2)`` with M the largest norm. Codes are split into substrings (Norouzi, Punjani and
 Fleet 2012), and each substring is an index: rows are dealt to blocks by (substring, its value).
 Codes within Hamming radius ``m * (rho + 1) - 1`` agree in one of m substrings up to rho bits, so a
 query visits the blocks of the values within rho and meets each such code. What it meets within the
 radius is reranked by exact inner products in double precision. The radius is set on the sample so that
-it holds the wanted share of true neighbours; queries that end with too few rows are run again over
+it holds the wanted share of true neighbours; copies of the query itself are met by equality. Queries that end with too few rows are run again over
 all of the index.
 
 Equal vectors are one entry of the index with their k + 1 smallest ids, so a vector that a third of all
@@ -76,12 +76,14 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame, k: int, bits: int = BITS, rows: int = SAMPLE_ROWS) -> Codes | None:
-    """The rotation and the radius, from at most ``rows`` vectors."""
+    """The rotation and the radius, from at most ``rows`` distinct vectors with their number of ``copies``. The
+    sample goes by hash, so vectors that are not distinct would have all their copies in it or none; in the
+    radius, a neighbour counts as often as its copies stand among the k."""
     norm = vectors.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     if norm is None:
         return None
-    sample = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(rows).collect()
-    x = _matrix([r["embedding"] for r in sample])
+    sample = vectors.select("embedding", "copies").orderBy(F.xxhash64("embedding")).limit(rows).collect()
+    x, copies = _matrix([r["embedding"] for r in sample]), np.array([r["copies"] for r in sample])
     codes = Codes(np.zeros(0), np.zeros((0, 0)), float(norm), bits // 16, 0, 0)
     lifted = codes.lifted(x)
     rng = np.random.default_rng(11)
@@ -104,7 +106,14 @@ def fit(vectors: DataFrame, k: int, bits: int = BITS, rows: int = SAMPLE_ROWS) -
     best = np.argpartition(-product, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((len(asked), 0), int)
     mine, theirs = codes.of(np.column_stack([x[asked], np.zeros(len(asked))])), codes.of(lifted)
     far = _ONES[mine[:, None, :] ^ theirs[best]].sum(axis=2)
-    codes.radius = int(np.quantile(far, WANTED)) if far.size else bits
+    # of the k, what the copies of the vector itself and of nearer neighbours leave; its own entry is always met
+    by_score = np.argsort(-np.take_along_axis(product, best, axis=1), axis=1)
+    far, share = np.take_along_axis(far, by_score, axis=1), copies[np.take_along_axis(best, by_score, axis=1)]
+    left = k - (np.cumsum(share, axis=1) - share + copies[asked][:, None] - 1)
+    share = np.minimum(share, np.maximum(left, 0))
+    if share.sum() == 0:
+        share = np.ones_like(far)
+    codes.radius = int(np.quantile(np.repeat(far.ravel(), share.ravel()), WANTED)) if far.size else bits
     codes.rho = codes.radius // codes.substrings
     return codes
 
@@ -198,15 +207,15 @@ def nearest(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     spark = embeddings.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     plain = stage(usable(embeddings), "ann-vectors")
-    codes = fit(plain, k)
-    if codes is None:
-        return spark.createDataFrame([], schema)
     # -0.0 and 0.0 group as one; equal vectors keep their k + 1 smallest ids, cut before the shuffle
     some = Window.partitionBy("embedding").orderBy("vec_id")
     members = plain.distinct().withColumn("place", F.row_number().over(some)).where(F.col("place") <= k + 1)
     members = stage(members.withColumn("entry", F.xxhash64("embedding")).drop("place"), "ann-members")
-    entries = members.groupBy("entry").agg(F.first("embedding").alias("embedding"))
-    count = members.select("entry").distinct().count()
+    entries = stage(members.groupBy("entry").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies")), "ann-entries")
+    codes = fit(entries, k)
+    if codes is None:
+        return spark.createDataFrame([], schema)
+    count = entries.count()
     salts = max(1, -(-count // (GROUPS * BLOCK_ROWS)))
     index = stage(build_index(entries, codes, salts), "ann-index")
     queries = stage(plain.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding"), "ann-queries")
@@ -217,6 +226,10 @@ def nearest(embeddings: DataFrame, every: int, k: int) -> DataFrame:
     if not few.isEmpty():
         again = search(few, index, codes, k + 1, salts, whole=True)
         found = found.join(few.select("query_id"), "query_id", "left_anti").unionByName(again)
+    # the copies of a query need no radius; components are summed in the order of ``search``
+    own = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    own = queries.select("query_id", F.xxhash64("embedding").alias("entry"), own.alias("score"))
+    found = found.join(own.select("query_id", "entry"), ["query_id", "entry"], "left_anti").unionByName(own)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     pairs = found.join(members.select("entry", "vec_id"), "entry").where("vec_id != query_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

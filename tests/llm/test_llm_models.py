@@ -257,3 +257,17 @@ def test_nearest_of_few(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(table, 20, 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
     assert ann.nearest(table.where("vec_id < 0"), 20, 20).count() == 0
+
+
+def test_nearest_learns_from_distinct_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(rng.standard_normal((300, 8)))]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    hot = plain.orderBy(F.xxhash64("embedding")).first()  # the first of the sample
+    copies = spark.range(1000, 1300).select(F.col("id").alias("vec_id"), F.lit(hot.embedding).alias("embedding"), F.lit(0).alias("label"))
+    fit, learnt = ann.fit, []
+    monkeypatch.setattr(ann, "fit", lambda vectors, k: learnt.append(fit(vectors, k, rows=200)) or learnt[-1])
+    for table in (plain, plain.unionByName(copies)):
+        ann.nearest(table, 20, 5).count()
+    once, often = learnt
+    assert often.radius == once.radius and np.allclose(often.rotation, once.rotation)
