@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-``fit`` learns a rotation on a bounded sample of the distinct vectors (iterative quantization, Gong and Lazebnik 2011) that turns
-vectors into 64-bit codes. Largest inner product becomes smallest angle by one more coordinate,
-``sqrt(M^2 - |x|^2)`` with M the largest norm. Codes are split into substrings (Norouzi, Punjani and
-Fleet 2012), and each substring is an index: rows are dealt to blocks by (substring, its value).
-Codes within Hamming radius ``m * (rho + 1) - 1`` agree in one of m substrings up to rho bits, so a
-query visits the blocks of the values within rho and meets each such code. What it meets within the
-radius is reranked by exact inner products in double precision. The radius is set on the sample so that
-it holds the wanted share of true neighbours; copies of the query itself are met by equality. Queries that end with too few rows are run again over
-all of the index.
+``fit`` learns a rotation on a bounded sample of the distinct vectors (iterative quantization, Gong and
+Lazebnik 2011) that turns vectors into 64-bit codes. Largest inner product becomes smallest angle by one
+more coordinate, ``sqrt(M^2 - |x|^2)`` with M the largest norm. Codes are split into substrings (Norouzi,
+Punjani and Fleet 2012); rows are dealt to blocks by (substring, low four bits of its value). Codes within
+Hamming radius ``m * (rho + 1) - 1`` agree in one of m substrings up to rho bits, so a query visits the
+blocks that may hold values within rho and meets each such code. Within a block this is a scan: all inner
+products are computed and the codes then mask those beyond the radius. The queries that visit a block
+stand in one task; salts split the index rows only. What is left is reranked by exact inner products in
+double precision. The radius is set on the sample so that it holds the wanted share of true neighbours;
+copies of the query itself are met by equality. Queries that end with too few rows are run again over all
+of the index.
 
 Equal vectors are one entry of the index with their k + 1 smallest ids, so a vector that a third of all
 rows share is no hot bucket; blocks of frequent values are salted. Vectors that are null, empty, zero,
