@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, lm, secret_scan, sentencepiece_fst, sharding, toxicity, urlrules
-from .common import table
+from . import (
+    ann, chat, decontam, jaccard, lm, merkle, negatives, secret_scan, sentencepiece_fst, sharding, substrings, toxicity, urlrules,
+)
+from .common import ascii_lower, table
 from .sql import SQL
 
 
@@ -91,6 +93,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(extra))
 
 
+ANCHOR_EVERY, NOISE_EVERY, CLASSES = 100, 7, 10
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    noisy = F.when(F.col("vec_id") % NOISE_EVERY == 0, (F.col("label") + 1) % CLASSES).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", noisy), F.col("vec_id") % ANCHOR_EVERY == 0)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+#: Fixed value of the contract: the rows that are tampered with.
+TAMPERED_EVERY = 3
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % TAMPERED_EVERY == 0
+    lowered = [ascii_lower(F.col(x)) if x == "text" else F.col(x) for x in merkle.FIELDS]
+    return merkle.manifest(documents, F.when(hit, merkle.leaf(*lowered))).drop("copied")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_decontamination": op2_decontamination,
@@ -102,6 +132,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 __all__ = ["QUERIES", "SQL", "TOXIC_FROM", "learns_toxicity"]

@@ -126,6 +126,87 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, n.other AS negative_id, positive_score, n.score AS negative_score
+FROM p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WHITE}) AS words FROM documents),
+w AS (SELECT doc_id, s, md5(array_to_string(words[s : s + 49], ' ')) AS h
+      FROM (SELECT *, unnest(range(1, len(words) - 48)) AS s FROM d WHERE len(words) >= 50)),
+m AS (SELECT h, min(doc_id) AS least FROM w GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS place FROM w JOIN m USING (h) WHERE doc_id > least),
+g AS (SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d) t
+      WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = t.doc_id AND c.place = t.i)),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _digest(text: str) -> str:
+    return "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, start: str) -> str:
+    """Levels of a tree over ``start`` (g, pos, n, d), and each node's neighbours within its run."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS lvl, pos, n, d FROM {start}
+  UNION ALL
+  SELECT g, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, lvl, n, pos // 8),
+{name}_side AS (
+  SELECT g, lvl, pos, coalesce(string_agg(d, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE n > 1 WINDOW r AS (PARTITION BY g, lvl, pos // 8 ORDER BY pos))"""
+
+
+MERKLE = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_digest("text")} AS leaf,
+         CASE WHEN {crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_digest(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS d FROM base),
+{_tree("low", "leaves")},
+subs AS (SELECT g, d AS subroot FROM low WHERE n = 1),
+tops AS (SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, subroot AS d FROM subs),
+{_tree("high", "tops")},
+fold AS (
+  SELECT doc_id, leaf, g, 0 AS lvl, pos, n, coalesce(changed, leaf) AS cur, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.g, f.lvl + 1, f.pos // 8, (f.n + 7) // 8, sha256(s.l || f.cur || s.r), f.proof || s.l || s.r
+  FROM fold f JOIN low_side s ON s.g = f.g AND s.lvl = f.lvl AND s.pos = f.pos WHERE f.n > 1),
+fold2 AS (
+  SELECT f.doc_id, f.leaf, f.g, 0 AS lvl, t.pos, t.n, f.cur, f.proof FROM fold f JOIN tops t ON t.name = f.g WHERE f.n = 1
+  UNION ALL
+  SELECT f.doc_id, f.leaf, f.g, f.lvl + 1, f.pos // 8, (f.n + 7) // 8, sha256(s.l || f.cur || s.r), f.proof || s.l || s.r
+  FROM fold2 f JOIN high_side s ON s.lvl = f.lvl AND s.pos = f.pos WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM fold2 JOIN subs USING (g) CROSS JOIN (SELECT d AS root FROM high WHERE n = 1) WHERE fold2.n = 1
+"""
+
 SQL = {
     "op1_lm_score": LM,
     "op2_decontamination": DECONTAMINATION,
@@ -133,4 +214,7 @@ SQL = {
     "op7_secret_scan": SECRETS,
     "op9_jaccard_join": JACCARD,
     "op10_chat_format": CHAT,
+    "op11_hard_negatives": NEGATIVES,
+    "op12_substring_dedup": SUBSTRINGS,
+    "op13_merkle_manifest": MERKLE,
 }
