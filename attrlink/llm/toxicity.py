@@ -2,8 +2,8 @@
 
 1. ``fit``: words and their stems (first bytes) are counted per class. The log-odds with an
    informative Dirichlet prior (Monroe, Colaresi and Quinn 2008) and their z value decide what enters
-   the lexicon. Occurrences between the same two neighbours count once, so the words of a passage that
-   many labelled texts repeat prove nothing. A word scores by its own entry, else by that of its stem; every other word costs a
+   the lexicon. An entry counts no more often than it has different pairs of neighbours (estimated from a bitmap
+   that the same pass fills), so the words of a passage that many labelled texts repeat prove nothing. A word scores by its own entry, else by that of its stem; every other word costs a
    small constant, so the mean score is negative.
 2. ``segments``: one linear scan (Ruzzo and Tompa 1999) finds every maximal-scoring passage.
 3. Karlin and Altschul's extreme-value law turns a passage score into one that is comparable over
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .common import BROADCAST_ROWS
 
 #: Bound of the labelled sample that the lexicon and the curve are fitted on, by hash order of doc_id.
@@ -135,20 +136,8 @@ def fit(labelled: DataFrame) -> ToxicModel:
     """Learn from (text, toxic) rows; the caller passes at most SAMPLE_ROWS of them."""
     unique = labelled.where(F.col("toxic").isNotNull()).groupBy("text").agg(F.max("toxic").alias("toxic"))
 
-    def count(batches):
-        for batch in batches:
-            got: dict[bytes, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                found = set(words_of(text))
-                for w in found | {_stem(w) for w in found}:
-                    got.setdefault(w, [0, 0])[int(toxic)] += 1
-            yield pd.DataFrame({"word": list(got), "clean": [v[0] for v in got.values()], "toxic": [v[1] for v in got.values()]})
-
     unique = unique.withColumn("toxic", (F.col("toxic") == 1).cast("int"))
-    counts = (
-        unique.mapInPandas(count, "word binary, clean long, toxic long")
-        .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    )
+    counts = _counts(unique)
     classes = unique.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     n = {r["toxic"]: r["n"] for r in classes}
     if not n.get(0) or not n.get(1):
@@ -166,36 +155,61 @@ def fit(labelled: DataFrame) -> ToxicModel:
     delta = odds("toxic", all_t) - odds("clean", all_c)
     z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     able = counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(LEXICON_WORDS)
-    able = able.select("word").collect()
-    places = _neighbours(unique, {bytes(r["word"]) for r in able})
-    fewer = counts.join(F.broadcast(places), "word").select(
-        "word", F.least("clean", "clean_places").alias("clean"), F.least("toxic", "toxic_places").alias("toxic")
-    )
+    fewer = able.select("word", F.least("clean", _places("clean_bits")).alias("clean"), F.least("toxic", _places("toxic_bits")).alias("toxic"))
     rows = fewer.select("word", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= LEAST_Z).collect()
     model = ToxicModel({bytes(r["word"]): float(r["delta"]) for r in rows}, known=True)
     return _calibrate(unique, model)
 
 
-def _neighbours(unique: DataFrame, able: set[bytes]) -> DataFrame:
-    """(word, clean_places, toxic_places): how many different pairs of neighbours an entry has per class."""
-    send = unique.sparkSession.sparkContext.broadcast(able)  # at most LEXICON_WORDS
+#: Slots of the bitmap that estimates how many different neighbours an entry has.
+SLOTS = 64
+COUNTED = "word binary, clean long, toxic long, clean_bits long, toxic_bits long"
+
+
+def _counts(unique: DataFrame) -> DataFrame:
+    """(word, clean, toxic, clean_bits, toxic_bits) of all words and stems: texts per class, and a bitmap with a bit
+    for each pair of neighbours that the entry has there. One pass; a batch sends each entry once."""
+    schema = pa.schema([("word", pa.binary()), *((n, pa.int64()) for n in ("clean", "toxic", "clean_bits", "toxic_bits"))])
+
+    def tally(entry: np.ndarray, names: list[bytes], owner: np.ndarray, toxic: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        size = 2 * len(names)
+        texts = np.unique(owner * len(names) + entry)
+        seen = np.bincount(texts % len(names) * 2 + toxic[texts // len(names)], minlength=size).reshape(-1, 2)
+        bits = np.zeros(size, dtype=np.uint64)
+        marks = np.unique((entry * 2 + toxic[owner]) * SLOTS + place)
+        np.bitwise_or.at(bits, marks // SLOTS, np.uint64(1) << (marks % SLOTS).astype(np.uint64))
+        bits = bits.view(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(x) for x in (*seen.T, *bits.T))], schema=schema)
 
     def run(batches):
-        wanted = send.value
         for batch in batches:
-            found = set()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = [b"", *words_of(text), b""]
-                for before, word, after in zip(words, words[1:], words[2:]):  # noqa: B905
-                    for entry in (word, _stem(word)):
-                        if entry in wanted:
-                            found.add((entry, int(toxic), xxhash.xxh3_64_intdigest(before + b"\0" + after) >> 1))
-            yield pd.DataFrame(list(found), columns=["word", "toxic", "place"])
-
-    places = unique.mapInPandas(run, "word binary, toxic int, place long").distinct()
-    return places.groupBy("word").agg(
-        F.count_if(F.col("toxic") == 0).alias("clean_places"), F.count_if(F.col("toxic") == 1).alias("toxic_places")
+            lists = [words_of(t) for t in batch.column(0).to_pylist()]
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lens = np.array([len(x) for x in lists], dtype=np.int64)
+            coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+            if not len(coded):
+                continue
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            digest = np.array([xxhash.xxh3_64_intdigest(w) for w in [*names, b""]], dtype=np.uint64)
+            owner, ends = np.repeat(np.arange(len(lens)), lens), np.cumsum(lens)[lens > 0]
+            before, after = np.append(len(names), code[:-1]), np.append(code[1:], len(names))
+            before[ends - lens[lens > 0]] = len(names)
+            after[ends - 1] = len(names)
+            place = ((digest[before] ^ (digest[after] >> np.uint64(8))) % np.uint64(SLOTS)).astype(np.int64)
+            yield tally(code, names, owner, toxic, place)
+            stems = pa.array([_stem(w) for w in names], pa.binary()).dictionary_encode()
+            yield tally(stems.indices.to_numpy().astype(np.int64)[code], stems.dictionary.to_pylist(), owner, toxic, place)
+
+    counted = unique.select("text", "toxic").mapInArrow(run, COUNTED).groupBy("word").agg(
+        *(F.sum(c).alias(c) for c in ("clean", "toxic")), *(F.bit_or(c).alias(c) for c in ("clean_bits", "toxic_bits"))
     )
+    return stage(counted, "toxic-counts")
+
+
+def _places(bits: str) -> Column:
+    """Different neighbours by linear counting: as many as leave so many slots empty; a full bitmap sets no bound."""
+    free = SLOTS - F.bit_count(bits)
+    return F.when(free > 0, F.round(-SLOTS * F.log(free / SLOTS)).cast("long")).otherwise(F.lit((1 << 63) - 1))
 
 
 def _calibrate(unique: DataFrame, model: ToxicModel) -> ToxicModel:
@@ -259,19 +273,21 @@ def score(documents: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame
     """``keep`` columns, score, number of words and significant passages of each whole text."""
     send = documents.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_WORDS
 
+    names = documents.select(*keep).schema
+    passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
     def run(batches):
         m = send.value
         for batch in batches:
-            got = [_evidence(t, m) for t in batch["__text"]]
-            out = batch.drop(columns="__text")
-            out["score"] = [_chance(r, m) for r, _, _ in got]
-            out["n_words"] = [n for _, _, n in got]
-            out["passages"] = [[{"start": s, "end": e, "score": v} for s, e, v in p] for _, p, _ in got]
-            yield out
+            got = [_evidence(t, m) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            spans = [[{"start": s, "end": e, "score": v} for s, e, v in p] for _, p, _ in got]
+            columns = {"score": pa.array([_chance(r, m) for r, _, _ in got], pa.float64()), "n_words": pa.array([n for _, _, n in got], pa.int64()), "passages": pa.array(spans, passage)}
+            # the columns that stay go through untouched
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, *columns.values()], names=[*batch.schema.names[:-1], *columns])
 
-    names = documents.select(*keep).schema
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in names) + ", " + SCORED
-    return documents.select(*keep, F.col("text").alias("__text")).mapInPandas(run, schema)
+    return documents.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def keep_below(documents: DataFrame, model: ToxicModel, bar: float) -> DataFrame:
