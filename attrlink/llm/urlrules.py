@@ -18,8 +18,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +62,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     borders = sorted(set(borders))
     border_keys = [k.encode() for k, _ in borders]
 
+    keyed = [(k.encode(), i) for k, i in borders]
+
     def deal(batches):
-        keyed = [(k.encode(), i) for k, i in borders]
         for batch in batches:
-            ids = batch["page_id"].fillna(0)
-            batch["part"] = [bisect_right(keyed, (k.encode(), int(i))) for k, i in zip(batch["key"], ids, strict=True)]
-            yield batch
+            keys, ids = batch.column("key").to_pylist(), batch.column("page_id").to_pylist()
+            part = pa.array([bisect_right(keyed, (k.encode(), i or 0)) for k, i in zip(keys, ids, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, part], names=[*batch.schema.names, "part"])
 
     def deal_rules(batches):
         for batch in batches:
@@ -79,7 +80,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
                 out += [(p, low, verdict, host, path) for p in range(first, last + 1)]
             yield pd.DataFrame(out, columns=["part", "low", "verdict", "host", "path"])
 
-    left = urls.mapInPandas(deal, "page_id long, host string, path string, key string, part int")
+    left = urls.mapInArrow(deal, "page_id long, host string, path string, key string, part int")
     right = (
         rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != ""))
         .groupBy("host", "path").agg(F.max(F.when(F.col("verdict") == "block", "block").otherwise("allow")).alias("verdict"))
@@ -87,12 +88,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         .mapInPandas(deal_rules, "part int, low binary, verdict string, host string, path string")
     )
 
-    def sweep(urls: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
-        keys = np.array([k.encode() for k in urls["key"]], dtype=object)
-        order = np.argsort(keys, kind="stable")
-        pending = sorted((bytes(a), h, p, v) for a, v, h, p in rules[["low", "verdict", "host", "path"]].itertuples(index=False))
-        paths = urls["path"].to_numpy()
-        names, verdicts = [None] * len(urls), [default] * len(urls)
+    def sweep(urls: pa.Table, rules: pa.Table) -> pa.Table:
+        keys = [k.encode() for k in urls["key"].to_pylist()]
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        pending = sorted(zip(*(rules[c].to_pylist() for c in ("low", "host", "path", "verdict")), strict=True))
+        paths = urls["path"].to_pylist()
+        names, verdicts = [None] * len(keys), [default] * len(keys)
         stack: list[tuple[bytes, list[tuple[str, str, str]]]] = []
         at = 0
         for i in order:
@@ -116,10 +117,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
                             best = (size, host + path, verdict)
             if best:
                 names[i], verdicts[i] = best[1], best[2]
-        return pd.DataFrame(
-            {"page_id": urls["page_id"].astype("Int64"), "host": urls["host"], "path": urls["path"], "rule": names, "verdict": verdicts}
-        )
+        judged = {"rule": pa.array(names, pa.string()), "verdict": pa.array(verdicts, pa.string())}
+        return pa.table({**{c: urls[c] for c in ("page_id", "host", "path")}, **judged})
 
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(
         sweep, "page_id long, host string, path string, rule string, verdict string"
     )
