@@ -23,7 +23,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -319,17 +319,16 @@ class Reader:
             self.turn_hash.update(f"{unescape(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
 
 
-def _groups(batches: Iterator[pd.DataFrame]):
+def _groups(batches: Iterator[pa.RecordBatch]):
     """(conv_id, messages) of rows sorted by conversation; messages must be read before the next."""
-    rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     held = next(rows, None)
-    none = lambda x: x is None or x != x
     while held is not None:
-        key = None if none(held[0]) else int(held[0])
+        key = held[0]
 
         def messages(key=key):
             nonlocal held
-            while held is not None and (None if none(held[0]) else int(held[0])) == key:
+            while held is not None and held[0] == key:
                 yield held[1], held[2]
                 held = next(rows, None)
 
@@ -360,9 +359,10 @@ def render(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
                     spans.append({"start": at, "end": at + len(piece)})
                 pieces.append(piece)
                 at += len(piece)
-            yield pd.DataFrame({"conv_id": pd.array([key], "Int64"), "formatted": ["".join(pieces)], "loss_spans": [spans]})
+            columns = [pa.array([key], pa.int64()), pa.array(["".join(pieces)]), pa.array([spans], _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "loss_spans"])
 
-    return _ordered(conversations).mapInPandas(
+    return _ordered(conversations).mapInArrow(
         run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>"
     )
 
@@ -379,17 +379,21 @@ def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
                 r.feed(piece, masked)
             out.append((key, r.turns, r.turn_hash.hexdigest(), r.loss_chars, r.loss_hash.hexdigest(), r.chars))
             if len(out) >= 1000:
-                yield _frame(out)
+                yield _rows(out)
                 out = []
-        yield _frame(out)
+        yield _rows(out)
 
-    return _ordered(conversations).mapInPandas(
+    return _ordered(conversations).mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
 
 
-def _frame(rows) -> pd.DataFrame:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    frame = pd.DataFrame(rows, columns=names)
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_DIGESTS = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_DIGESTS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _DIGESTS.types, strict=True)], schema=_DIGESTS)
