@@ -195,33 +195,52 @@ def candidates(postings: DataFrame, rules: list[tuple[int, tuple]], grams: list[
     return stage(met.select("rid", mask.alias("mask")).where("mask > 0"), "secret-candidates")
 
 
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join, first: Column) -> Column:
+    """What ``join`` makes of ``first`` and all values up to each place; one more entry than ``values``.
+
+    Appending copies an array, so the values go in blocks: of n values about the root of n are appended at a time."""
+
+    def chain(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda done, x: F.concat(done, F.array(join(F.element_at(done, -1), x))))
+
+    def whole(xs: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), width)
+        blocks = F.transform(starts, lambda at: chain(F.slice(xs, at, width), first))
+        return _let(blocks, lambda b: _let(
+            chain(F.transform(b, lambda x: F.element_at(x, -1)), first),
+            lambda before: F.concat(F.array(first), F.flatten(
+                F.transform(b, lambda x, i: F.transform(F.slice(x, 2, F.size(x)), lambda v: join(F.get(before, i), v))))),
+        ))
+
+    return _let(values, whole)
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """array<struct<start, kind, end>> of the rule's matches in ``text``, leftmost, not overlapping."""
-    pattern = F.lit(rule.pattern)
-    text = F.col("text")
-    matches = F.regexp_extract_all(text, pattern, 0)
-    gaps = F.split(text, rule.pattern, -1)
-    lens = F.transform(F.sequence(F.lit(1), F.size(matches)), lambda i: F.struct(
-        F.char_length(F.element_at(gaps, i)).alias("gap"), F.char_length(F.element_at(matches, i)).alias("size"),
-        (F.char_length(F.element_at(F.regexp_extract_all(text, pattern, rule.group), i)) if rule.group else F.char_length(F.element_at(matches, i))).alias("judged"),
-    ))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    placed = F.aggregate(
-        lens,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).cast("long").alias("at"),
-            F.when(
-                x["judged"] >= rule.least,
-                F.concat(s["spans"], F.array(F.struct(
-                    (s["at"] + x["gap"]).cast("long").alias("start"), F.lit(number).alias("kind"),
-                    (s["at"] + x["gap"] + x["size"]).cast("long").alias("end"),
-                ))),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return F.when(F.regexp_like(text, F.lit(_shortcut(rule))), placed).otherwise(empty)
+    pattern, text = F.lit(rule.pattern), F.col("text")
+    lengths = lambda texts: F.transform(texts, lambda x: F.char_length(x).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def place(sizes: Column) -> Column:
+        judged = lengths(F.regexp_extract_all(text, pattern, rule.group)) if rule.group else sizes
+        gaps = F.slice(lengths(F.split(text, rule.pattern, -1)), 1, F.size(sizes))
+        steps = F.zip_with(gaps, sizes, lambda gap, size: gap + size)
+        starts = lambda ends: F.zip_with(F.slice(ends, 2, F.size(sizes)), F.arrays_zip(sizes.alias("size"), judged.alias("judged")), lambda end, x: F.struct(
+            (end - x["size"]).alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["judged"].alias("judged")))
+        kept = F.filter(starts(_running(steps, lambda a, b: a + b, zero)), lambda x: x["judged"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    placed = _let(lengths(F.regexp_extract_all(text, pattern, 0)), place)
+    return F.when(F.regexp_like(text, F.lit(_shortcut(rule))), placed).otherwise(F.array().cast(SPANS))
 
 
 def _shortcut(rule: Rule) -> str:
@@ -253,8 +272,8 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         spans = _spans(_narrowed(rule), i)
         if i in by_index:
             hit = F.coalesce(F.col("__mask"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
-            spans = F.when(hit, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
-        parts.append(F.coalesce(spans, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+            spans = F.when(hit, spans).otherwise(F.array().cast(SPANS))
+        parts.append(F.coalesce(spans, F.array().cast(SPANS)))
     return joined.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("__rid", "__mask")
 
 
@@ -269,15 +288,26 @@ def redact(documents: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[
     """``documents`` with each secret of ``text`` (overlapping ones merged) replaced by ``mark``."""
     names = documents.columns
     found = scan(documents, rules)
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
+    text = F.col("text")
+    part = lambda start, end: text.substr((start + 1).cast("int"), (end - start).cast("int"))
+    # ends so far: a span that starts before the last one is over belongs to the same mark
+    over = _running(F.transform("secrets", lambda x: x["end"]), F.greatest, F.lit(0).cast("long"))
 
-    def step(s, x):
-        skip = x["end"] <= s["at"]
-        head = F.when(x["start"] >= s["at"], F.concat(F.col("text").substr((s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.when(skip, s["text"]).otherwise(F.concat(s["text"], head)).alias("text"), F.greatest(s["at"], x["end"]).alias("at"))
+    count = F.size("secrets")
+    width = F.greatest(F.ceil(F.sqrt(count)).cast("int"), F.lit(1))
 
-    clean = F.aggregate(
-        F.col("secrets"), start, step,
-        lambda s: F.concat(s["text"], F.col("text").substr((s["at"] + 1).cast("int"), F.char_length("text"))),
-    )
+    def pieces(ends: Column) -> Column:
+        # a place in a text is found by walking up to it, so stretches of about the root of all marks are cut first
+        def stretch(s: Column) -> Column:
+            return _let(part(F.get(ends, s), F.get(ends, F.least(s + width, count))), lambda chunk: F.array_join(F.transform(
+                F.slice("secrets", s + 1, width), lambda x, i: head(chunk, x, F.get(ends, s), F.get(ends, s + i))), ""))
+
+        def head(chunk: Column, x: Column, base: Column, end: Column) -> Column:
+            before = chunk.substr((end - base + 1).cast("int"), (x["start"] - end).cast("int"))
+            return F.when((x["start"] >= end) & (x["end"] > end), F.concat(before, F.lit(mark))).otherwise("")
+
+        heads = F.transform(F.sequence(F.lit(0), count - 1, width), stretch)
+        return F.concat(F.array_join(heads, ""), part(F.element_at(ends, -1), F.char_length(text).cast("long")))
+
+    clean = _let(over, pieces)
     return found.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text"))).select(*names)
