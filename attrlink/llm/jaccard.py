@@ -42,15 +42,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage
-from .common import hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, text_batches, unpack, unpack32, word_codes, word_hashes
+from .common import (
+    expand, hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, squeeze, text_batches, unpack, unpack32, word_codes, word_hashes,
+)
 
 WORDS = 5
 #: Similarity from which two texts link, in hundredths.
 PERCENT = 75
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 RANGE_BYTES = 4 << 20
-#: Slots of the table of shingle counts (fixed, 4 MB).
-SLOTS_LOG = 20
+#: Slots of the table of shingle counts (fixed; one byte of each is broadcast).
+SLOTS_LOG = 22
+#: Parts that the table is added up in.
+CHUNKS = 16
 #: Shingles of an inner region that one task compares at once.
 REGION_SHINGLES = 3_000_000
 
@@ -66,18 +70,20 @@ class Sets:
     def __init__(self, texts: pa.Array, words_per: int = WORDS):
         codes, lens, words = word_codes(texts)
         hashes = word_hashes(words)[codes] if len(codes) else np.empty(0, np.uint64)
+        del codes, words
         starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
         # shingles of a text: one for each place that has all words, or one in all for a short text
         count = np.where(lens >= words_per, lens - words_per + 1, (lens > 0).astype(np.int64))
         first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(lens)), count)
-        place = starts[:-1][owner] + np.arange(first[-1]) - first[:-1][owner]
-        all_grams = ngram_hashes(hashes, words_per)
+        owner = np.repeat(np.arange(len(lens), dtype=np.int32), count)
         gram = np.zeros(first[-1], dtype=np.uint64)
-        full = lens[owner] >= words_per
-        gram[full] = all_grams[place[full]]
+        full = (lens >= words_per)[owner]
+        place = np.flatnonzero(full) + (starts[:-1] - first[:-1])[owner[full]]
+        gram[full] = ngram_hashes(hashes, words_per)[place]
+        del full, place
         for i in np.flatnonzero((lens > 0) & (lens < words_per)):
             gram[first[i]] = ngram_hashes(hashes[starts[i] : starts[i + 1]], int(lens[i]))[0]
+        del hashes
         for x, y in zip(first[:-1], first[1:], strict=True):
             gram[x:y].sort()
         keep = np.ones(len(gram), dtype=bool)
@@ -105,45 +111,40 @@ def _slots(grams: np.ndarray) -> np.ndarray:
 def describe(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(rid, doc_id, point, n) of each text, and the table of shingle counts."""
 
+    width = (1 << SLOTS_LOG) // CHUNKS
+
     def run(batches):
-        counts = np.zeros(1 << SLOTS_LOG, dtype=np.int64)
+        counts = np.zeros(1 << SLOTS_LOG, dtype=np.uint32)
         for got in text_batches(batches, BATCH_BYTES):
             sets = Sets(got.column("text"))
-            counts += np.bincount(_slots(sets.grams), minlength=1 << SLOTS_LOG)
+            np.add.at(counts, _slots(sets.grams), np.uint32(1))
             yield pa.RecordBatch.from_pydict(
                 {"rid": got.column("rid").combine_chunks(), "doc_id": got.column("doc_id").combine_chunks(), "point": pa.array(sets.points().view(np.int64)), "n": pa.array(sets.sizes),
                  "chunk": pa.nulls(got.num_rows, pa.int32()), "counts": pa.nulls(got.num_rows, pa.binary())}
             )
-        width = 1 << (SLOTS_LOG - 4)
-        for c in range(16):
+        for c in range(CHUNKS):
             part = counts[c * width : (c + 1) * width]
             yield pa.RecordBatch.from_pydict(
                 {"rid": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "point": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()),
-                 "chunk": pa.array([c], pa.int32()), "counts": [np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8).T).tobytes()]}
+                 "chunk": pa.array([c], pa.int32()), "counts": [squeeze(part)]}
             )
 
     rows = stage(
         documents.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(run, "rid long, doc_id long, point long, n long, chunk int, counts binary"), "jaccard-points"
     )
 
+    # groups of one chunk and a few dozen senders: the table is of fixed size, the partial sums come in rounds
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for b in frame["counts"])
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [total.tobytes()]})
+        total = np.zeros(width, dtype=np.int64)
+        for blob in frame["counts"]:
+            total += expand(blob)
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [squeeze(total)]})
 
-    # groups of one chunk and a few dozen senders: the table is of fixed size, the partial sums come in rounds
     parts = rows.where(F.col("chunk").isNotNull()).select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("round"))
-
-    def add_some(frame: pd.DataFrame) -> pd.DataFrame:
-        done = add(frame)
-        planes = np.frombuffer(done["counts"].iloc[0], np.int64).view(np.uint8).reshape(-1, 8).T
-        done["counts"] = [np.ascontiguousarray(planes).tobytes()]
-        return done
-
-    some = parts.groupBy("chunk", "round").applyInPandas(add_some, "chunk int, counts binary")
+    some = parts.groupBy("chunk", "round").applyInPandas(add, "chunk int, counts binary")
     table = np.zeros(1 << SLOTS_LOG, dtype=np.int64)
-    width = 1 << (SLOTS_LOG - 4)
-    for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # 16 rows
-        table[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
+    for row in some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # CHUNKS rows
+        table[row["chunk"] * width : (row["chunk"] + 1) * width] = expand(row["counts"])
     return rows.where(F.col("chunk").isNull()).select("rid", "doc_id", "point", "n"), table
 
 
@@ -151,18 +152,21 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     """0 for slots of ordinary counts, then one class for each doubling above; any choice gives exact results."""
     mean = max(1.0, float(counts.mean()))
     ordinary = mean + 5 * math.sqrt(mean)
-    return np.where(counts > ordinary, 1 + np.log2(np.maximum(counts / ordinary, 1)), 0).astype(np.uint8)
+    classes = np.zeros(len(counts), dtype=np.uint8)
+    frequent = np.flatnonzero(counts > ordinary)
+    classes[frequent] = 1 + np.log2(counts[frequent] / ordinary)
+    return classes
 
 
 def prefixes(sets: Sets, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, text, place) of the first shingles of each text, from rare to frequent."""
     rank = classes[_slots(sets.grams)]
     # texts and, inside, shingles are in order already; only the frequent ones move back
-    order = np.argsort(sets.owner * 256 + rank, kind="stable")
-    place = np.arange(len(order)) - sets.starts[:-1][sets.owner]
-    n = sets.sizes[sets.owner]
-    first = place < n - (PERCENT * n + 99) // 100 + 1
-    return sets.grams[order][first], sets.owner[first], place[first]
+    order = np.argsort(sets.owner.astype(np.int64) << 8 | rank, kind="stable")
+    length = sets.sizes - (PERCENT * sets.sizes + 99) // 100 + 1
+    place = (np.arange(len(order)) - sets.starts[:-1][sets.owner]).astype(np.int32)
+    first = place < length[sets.owner]
+    return sets.grams[order[first]], sets.owner[first], place[first]
 
 
 class Entries:
@@ -281,9 +285,13 @@ def outer_regions(entries: DataFrame) -> DataFrame:
         at, place = at[here], place[here]
         n = sizes[at]
         able = (np.minimum(n - place, most) >= least_overlap(n, least)) & (points[at] != pivot)
-        rows = np.column_stack([pivot[able], points[at][able], n[able], least[able]])
-        found, shared = np.unique(rows, axis=0, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64))
-        return pd.DataFrame({"pivot": found[:, 0], "point": found[:, 1], "n": found[:, 2], "pivot_n": found[:, 3], "shared": shared})
+        # pivots by number: a pivot has one size, so pivot and point make the key
+        names, which = np.unique(pivot[able], return_inverse=True)
+        size = np.zeros(len(names), dtype=np.int64)
+        size[which] = least[able]
+        found, shared = np.unique(which * len(points) + at[able], return_counts=True)
+        pivot, point = np.divmod(found, max(1, len(points)))
+        return pd.DataFrame({"pivot": names[pivot], "point": points[point], "n": sizes[point], "pivot_n": size[pivot], "shared": shared})
 
     own = entries.where("part = -1").select("batch", "points", "sizes", "at", "places", "members")
     return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(meet, "pivot long, point long, n long, pivot_n long, shared long")
@@ -295,12 +303,16 @@ class Region:
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(x) for x in sets], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.n)])
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        self.codes = codes
-        order = np.argsort(codes, kind="stable")
-        self.holders = np.repeat(np.arange(len(sets)), self.n)[order]
-        uses = np.bincount(codes)
-        self.uses, self.first = uses, np.concatenate([[0], np.cumsum(uses)[:-1]])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        head = np.ones(len(every), dtype=bool)
+        head[1:] = every[1:] != every[:-1]
+        self.codes = np.empty(len(order), dtype=np.int32)
+        self.codes[order] = np.cumsum(head) - 1
+        self.holders = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[order]
+        self.first = np.flatnonzero(head)
+        self.uses = np.diff(np.append(self.first, len(every)))
         self.parent = np.arange(len(sets))
         self.links: list[tuple[int, int]] = []
 
@@ -315,7 +327,7 @@ class Region:
         mine = self.codes[self.starts[i] : self.starts[i + 1]]
         uses = self.uses[mine]
         ends = np.cumsum(uses)
-        at = np.arange(ends[-1]) + np.repeat(self.first[mine] - (ends - uses), uses)
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((self.first[mine] - (ends - uses)).astype(np.int32), uses)
         return np.bincount(self.holders[at], minlength=len(self.n))
 
     def compare(self, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +385,8 @@ def ship(documents: DataFrame, rows: DataFrame, members: DataFrame, classes: np.
     meets = members.groupBy("point").agg(F.collect_set(F.struct(*KEYS)).alias("meets"))
     chosen = rows.join(meets, "point").groupBy("point").agg(F.min("rid").alias("rid"), F.first("meets").alias("meets"))
     chosen = stage(chosen, "jaccard-chosen")
-    texts = documents.select(row_id().alias("rid"), "text").join(small(chosen), "rid").select("point", "meets", "text")
+    listed = chosen.agg(F.sum(F.size("meets"))).first()[0] or 0  # the lists are what grows, so their entries are counted
+    texts = documents.select(row_id().alias("rid"), "text").join(small(chosen, listed), "rid").select("point", "meets", "text")
 
     def run(batches):
         for got in text_batches(batches, BATCH_BYTES):
@@ -498,11 +511,14 @@ def _blocks(regions: DataFrame, limit: int) -> DataFrame:
 
 
 def _near_sizes(regions: DataFrame) -> DataFrame:
-    """The rows of ``regions`` that have another point of their region near enough in size to link."""
+    """The rows of ``regions`` that have another point of their region near enough in size to link. Sizes are
+    counted first, so what is sorted of a pivot are its distinct sizes and not its points."""
+    sizes = regions.groupBy("pivot", "n").agg(F.count("*").alias("points"))
     by_size = Window.partitionBy("pivot").orderBy("n")
     before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    near = (100 * before >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * after)
-    return regions.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near")
+    near = (F.col("points") > 1) | (100 * before >= PERCENT * F.col("n")) | (100 * F.col("n") >= PERCENT * after)
+    kept = sizes.withColumn("near", F.coalesce(near, F.lit(False))).where("near").select("pivot", "n")
+    return regions.join(kept, ["pivot", "n"], "left_semi").select(*regions.columns)
 
 
 def able_points(documents: DataFrame, rows: DataFrame, regions: DataFrame, classes: np.ndarray, limit: int = REGION_SHINGLES) -> DataFrame:
