@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: Rows that may be broadcast; anything larger is left to a shuffle join.
 BROADCAST_ROWS = 500_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -21,10 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint, but only if it has been counted and found small."""
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint, but only if it has been counted and found small; ``most``: rows that may be sent,
+    fewer where a row is wide."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= most else df
+
+
+#: Bytes of the batches that tasks hand to Python. Spark counts rows only, and ten thousand long texts are a lot.
+ARROW_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def stage_in_small_batches(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` with batches of ARROW_BYTES for the steps that it runs; the session's own setting comes back after."""
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH_SETTING, None)
+    conf.set(_BATCH_SETTING, str(ARROW_BYTES))
+    try:
+        return stage(df, name)
+    finally:
+        if before is None:
+            conf.unset(_BATCH_SETTING)
+        else:
+            conf.set(_BATCH_SETTING, before)
 
 
 def ascii_lower(text: Column) -> Column:

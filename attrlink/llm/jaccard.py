@@ -41,10 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import stage
 from .common import (
     expand, hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, squeeze, text_batches, unpack, unpack32, word_codes, word_hashes,
 )
+from .common import stage_in_small_batches as stage
+
 
 WORDS = 5
 #: Similarity from which two texts link, in hundredths.
@@ -53,10 +54,13 @@ BATCH_BYTES = 3 << 20
 RANGE_BYTES = 4 << 20
 #: Slots of the table of shingle counts (fixed; one byte of each is broadcast).
 SLOTS_LOG = 22
+#: Bits of a shingle's hash that stay behind when whole sets travel: two sets of a hundred thousand shingles take two
+#: different ones for equal with a chance of one in ten thousand.
+SPARED = 16
 #: Parts that the table is added up in.
 CHUNKS = 16
 #: Shingles of an inner region that one task compares at once.
-REGION_SHINGLES = 3_000_000
+REGION_SHINGLES = 2_000_000
 
 
 def least_overlap(a, b):
@@ -396,7 +400,7 @@ def ship(documents: DataFrame, rows: DataFrame, members: DataFrame, classes: np.
             owner, flat = pc.list_parent_indices(lists), lists.flatten()
             last = np.zeros(len(sets.sizes), dtype=np.int64)
             if table.value is None:
-                blobs = [pack(sets.grams[a:b]) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)]
+                blobs = [pack(sets.grams[a:b] >> np.uint64(SPARED)) for a, b in zip(sets.starts[:-1], sets.starts[1:], strict=True)]
             else:
                 gram, at, _ = prefixes(sets, table.value)
                 ends = np.searchsorted(at, np.arange(len(sets.sizes) + 1))

@@ -33,6 +33,8 @@ from .common import partitions, small
 #: Children of a node, and layers of nodes inside a block.
 FAN, LEVELS = 8, 4
 SPAN = FAN**LEVELS
+#: Rows with paths that may be broadcast; one has a few kilobytes.
+WIDE_ROWS = 5_000
 #: Fixed values of the contract: the hashed columns, in order.
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
@@ -201,7 +203,7 @@ def manifest(documents: DataFrame, tampered: Column | None = None) -> DataFrame:
     final = packed(last.withColumn("changed", F.lit(None).cast("binary")).withColumn("doc_id", F.lit(None).cast("long")), "merkle-root")
     whole = paths(final)
     ends = _ends(final, whole, last)
-    rows = blocks.join(small(up), ["g", "block"]).join(small(ends), "g")
+    rows = blocks.join(small(up, most=WIDE_ROWS), ["g", "block"]).join(small(ends, most=WIDE_ROWS), "g")
     types = [pa.int64(), *[pa.string()] * 5, pa.bool_(), pa.list_(pa.string())]
     schema = pa.schema(list(zip([x.split()[0] for x in MANIFEST.split(", ")], types, strict=True)))
 
