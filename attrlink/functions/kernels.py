@@ -394,9 +394,15 @@ class Features:
         self.number = np.full((n, max(int(self.number_count[fits].max(initial=0)), 1)), np.nan)
         for row in np.nonzero(fits & (self.number_count > 0))[0]:
             self.number[row, : len(numbers[row])] = self.numbers[row]
-        self.bare = _ids(re.sub(r"[^\w\s]", "", v).lower() for v in values)
-        self.digits = _ids(re.sub(r"[^\d.]", "", v) for v in values)
-        self.same = _ids(v.lower() for v in values)
+        self.bare, self.digits, self.same = (_ids(self.spelling(x)) for x in ("bare", "digits", "same"))
+
+    def spelling(self, kind):
+        """What must be equal for two values to score as equal in this respect."""
+        if kind == "bare":
+            return (re.sub(r"[^\w\s]", "", v).lower() for v in self.value)
+        if kind == "digits":
+            return (re.sub(r"[^\d.]", "", v) for v in self.value)
+        return (v.lower() for v in self.value)
 
 
 def _ids(strings):
@@ -684,7 +690,8 @@ def keep_best(q, p, score, kind, rank, k):
 
 
 def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 17):
-    """The ``k`` best presets per query of one bounded block: (query, preset, score, kind)."""
+    """The ``k`` best presets per query of one bounded block: (query, preset, score, kind). ``threshold`` is a
+    number, or one for each query."""
     f = Features(list(queries) + list(presets))
     nq = len(queries)
 
@@ -788,7 +795,7 @@ def _best_by_tiles(nq, npre, rank, threshold, k, ceiling_of, scores_of, tile):
     for q0 in range(0, nq, tall):
         q = np.arange(q0, min(q0 + tall, nq))
         kept = _no_hits()
-        need = np.full(len(q), float(threshold))
+        need = np.array(np.broadcast_to(threshold, nq)[q], dtype=float)
         for p0 in range(0, npre, wide):
             p = np.arange(p0, min(p0 + wide, npre))
             ceiling = ceiling_of(q[:, None], p[None, :])
@@ -854,7 +861,7 @@ def matrix(column):
 def nearest_in_block(queries, presets, rank, threshold, k):
     """The ``k`` largest dot products (times 100) per query of one bounded block."""
     score = np.round(queries @ presets.T * 100.0, 6)
-    cut = np.full(len(queries), threshold, dtype=float)
+    cut = np.array(np.broadcast_to(threshold, len(queries)), dtype=float)
     if score.shape[1] > k:
         at = score.shape[1] - k
         cut = np.maximum(cut, np.partition(score, at, axis=1)[:, at])

@@ -12,6 +12,7 @@ from ..functions import kernels
 from ..functions import text as X
 from ..schema import KEYS
 from .blocks import block_hits, merge_hits
+from .pruning import few_blocks, pruned_hits, text_arrangement, vector_arrangement
 
 
 def first_rows(reference: DataFrame, by: list[str], columns: list[str], k: int) -> DataFrame:
@@ -40,12 +41,12 @@ def exact_in_key(queries: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def fuzzy_search(threshold: float, k: int, full: bool):
-    def search(q: pa.Table, p: pa.Table):
+    def search(q: pa.Table, p: pa.Table, need=threshold):
         return kernels.best_in_block(
             q.column("normalized").to_pylist(),
             p.column("value").to_pylist(),
             p.column("rank").to_numpy(),
-            threshold,
+            need,
             k,
             full,
         )
@@ -61,17 +62,17 @@ def fuzzy(
     k: int,
     full: bool = False,
 ) -> DataFrame:
-    """Best ``k`` rows per query by the largest of the pair scores, at least ``threshold``."""
+    """Best ``k`` rows per query by the largest of the pair scores, at least ``threshold``.
+
+    Within keys every block of a key meets every other; without keys blocks are ordered and pruned."""
     presets = values.withColumnRenamed("normalized", "value")
-    hits = block_hits(
-        queries,
-        presets.select(*keys, "value", "rank"),
-        keys,
-        ["normalized"],
-        ["value"],
-        fuzzy_search(float(threshold), int(k), full),
-        ["value", "rank"],
-    )
+    bare, search = presets.select(*keys, "value", "rank"), fuzzy_search(float(threshold), int(k), full)
+    if keys or few_blocks(queries, bare):
+        hits = block_hits(queries, bare, keys, ["normalized"], ["value"], search, ["value", "rank"])
+    else:
+        hits = pruned_hits(
+            queries, bare, "normalized", "value", ["value", "rank"], search, text_arrangement(full), int(k), float(threshold)
+        ).hits
     on = [*keys, "value"]
     return merge_hits(hits, [*keys, "normalized"], k, presets.select(*on, "rows"), on)
 
@@ -105,12 +106,12 @@ def _let(value: Column, body) -> Column:
 
 
 def vector_search(k: int, threshold: float):
-    def search(q: pa.Table, p: pa.Table):
+    def search(q: pa.Table, p: pa.Table, need=threshold):
         return kernels.nearest_in_block(
             kernels.matrix(q.column("vector")),
             kernels.matrix(p.column("vector")),
             p.column("rank").to_numpy(),
-            threshold,
+            need,
             k,
         )
 
@@ -128,11 +129,18 @@ def nearest_vectors(
 ) -> DataFrame:
     """Best ``k`` presets per query by the dot product of their ``vector`` columns, times 100.
 
-    Equal scores are ordered by ``rank``. Exact: every query block meets every preset block as
-    one matrix product.
+    Equal scores are ordered by ``rank``. Exact: within keys every query block meets every preset block
+    as one matrix product; without keys blocks of near vectors are met best first, and those that can't hold
+    any of the ``k`` best are left out.
     """
     keys = keys or []
     bare = presets.select(*keys, preset_id, "rank", "vector")
+    if not keys and not few_blocks(queries, bare):
+        found = pruned_hits(
+            queries.select(query_id, "vector"), bare, query_id, preset_id, [preset_id, "rank"], vector_search(k, threshold),
+            vector_arrangement(bare), k, threshold,
+        )
+        return found.hits
     return block_hits(
         queries, bare, keys, [query_id], [preset_id], vector_search(k, threshold), [preset_id, "rank"]
     )

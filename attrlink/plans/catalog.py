@@ -233,6 +233,13 @@ def match_profiled(spark, folder):
 
 @query
 def match_semantic(spark, folder):
+    """All four stages: the nearest encoded values answer what the scores leave open."""
+    options = {"threshold": 60.0, "max_matches": 3}
+    return scores_rounded(_cascade(spark, folder, encoder=M.hashed_trigrams, **options))
+
+
+@query
+def match_semantic_in_key(spark, folder):
     """What the key leaves open goes straight to the nearest encoded values."""
     options = {"threshold": 60.0, "max_matches": 3, "cross_key": False}
     return scores_rounded(_cascade(spark, folder, encoder=M.hashed_trigrams, **options))
@@ -241,7 +248,7 @@ def match_semantic(spark, folder):
 @query
 def match_low_threshold(spark, folder):
     """At 55 every text is similar to every text of its key; the best rows still come first."""
-    return scores_rounded(_cascade(spark, folder, threshold=55.0, max_matches=3, cross_key=False))
+    return scores_rounded(_cascade(spark, folder, threshold=55.0, max_matches=3))
 
 
 @query
@@ -253,9 +260,7 @@ def unmatched(spark, folder):
 @query
 def match_accounts(spark, folder):
     """A reference whose distinct values grow with the data: account names per order."""
-    found = match_values(
-        V.account_inputs(spark, folder), V.accounts(spark, folder), max_matches=3, cross_key=False
-    )
+    found = match_values(V.account_inputs(spark, folder), V.accounts(spark, folder), max_matches=3)
     return scores_rounded(found)
 
 

@@ -370,7 +370,7 @@ SQL["cross_key"] = f"""{_asked("1 AS one")}
 
 SQL["match_cascade"] = cascade(INPUTS, REFERENCE, 75, 5) + " SELECT * FROM results"
 SQL["match_cascade_full"] = cascade(INPUTS, REFERENCE, 85, 3, full=True) + " SELECT * FROM results"
-SQL["match_low_threshold"] = cascade(INPUTS, REFERENCE, 55, 3, cross=False) + " SELECT * FROM results"
+SQL["match_low_threshold"] = cascade(INPUTS, REFERENCE, 55, 3) + " SELECT * FROM results"
 def ruled(x):
     """All spelling rules, as far as these values go: sizes in millimetres, else words without punctuation."""
     size = rf"regexp_extract({x}, '^([0-9]+) ?(?i:mm)$', 1)"
@@ -396,6 +396,7 @@ ACCOUNT_INPUTS = """
       WHEN 1 THEN concat('Cust. ', lpad(o_custkey::VARCHAR, 9, '0'))
       ELSE concat('Customer#', lpad(o_custkey::VARCHAR, 9, '0')) END AS input_value
   FROM orders JOIN customer ON c_custkey = o_custkey"""
+# Every account has a near value in its key, so the stage across keys has nothing left to ask.
 SQL["match_accounts"] = cascade(ACCOUNT_INPUTS, ACCOUNTS, 75, 3, cross=False) + " SELECT * FROM results"
 
 
@@ -407,7 +408,8 @@ def _vectors(rows, column):
     return f"SELECT v, slot, n / sqrt(sum(n * n) OVER (PARTITION BY v)) AS w FROM ({slots})"
 
 
-SQL["match_semantic"] = cascade(INPUTS, REFERENCE, 60, 3, cross=False, unmatched=True) + f""",
+def _semantic(cross):
+    return cascade(INPUTS, REFERENCE, 60, 3, cross=cross, unmatched=True) + f""",
   lost AS (SELECT input_id, original_input AS v FROM results WHERE status = 'Not Found'),
   left_vectors AS ({_vectors('lost', 'v')}), right_vectors AS ({_vectors('refs', 'preset_value')}),
   near AS (SELECT l.v, r.v AS p, round(100 * sum(l.w * r.w), 6) AS score FROM left_vectors l JOIN right_vectors r USING (slot) GROUP BY ALL),
@@ -417,6 +419,9 @@ SQL["match_semantic"] = cascade(INPUTS, REFERENCE, 60, 3, cross=False, unmatched
   SELECT input_id, place, lost.v, preset_value, score, 'Semantic similarity match', preset_value, 'Similar Match',
     category, sub_category, attribute_name, row_id, 'semantic'
   FROM lost JOIN semantic s ON s.v = lost.v WHERE score >= 60"""
+
+
+SQL["match_semantic"], SQL["match_semantic_in_key"] = _semantic(True), _semantic(False)
 SQL["semantic_topk"] = """
   SELECT q.vec_id, p.vec_id AS match_id,
     round(100 * list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS s,
