@@ -14,8 +14,9 @@ from ..operators import matching as M
 from ..operators.terms import ValueRules
 from ..schema import EXACT, INPUT_VALUE, KEYS, NOT_FOUND, PRESET_VALUE, RESULT_SCHEMA, SIMILAR
 from ..session import stage
+from .prepared import VALUE_KEY, PreparedReference, cut, normalized_reference
 
-ANSWER_KEY = [*KEYS, "normalized"]
+ANSWER_KEY = VALUE_KEY
 EXACT_COMMENT = "Exact match found"
 CROSS_COMMENT = "Cross-category match: "
 SEMANTIC_COMMENT = "Semantic similarity match"
@@ -23,7 +24,7 @@ SEMANTIC_COMMENT = "Semantic similarity match"
 
 def match_values(
     inputs: DataFrame,
-    reference: DataFrame,
+    reference: DataFrame | PreparedReference,
     threshold: float = 75.0,
     max_matches: int = 5,
     profile: str = "observed",
@@ -36,7 +37,7 @@ def match_values(
     """Match every input row against the reference table; rows as in ``RESULT_SCHEMA``.
 
     ``inputs`` needs ``input_id`` and the input columns, ``reference`` needs ``row_id`` and the
-    reference columns. A stage sees only what the stages before it left unmatched:
+    reference columns, or is what ``prepare_reference`` made of such a table. A stage sees only what the stages before it left unmatched:
 
     1. equal normalized value in the same key (first row only),
     2. best pair score in the same key,
@@ -52,6 +53,11 @@ def match_values(
     The questions are asked once per distinct key and value; the answers, bounded arrays, join
     back to the inputs at the end, which is the one shuffle of the input table.
     """
+    prepared = reference if isinstance(reference, PreparedReference) else None
+    values = None
+    if prepared:
+        reference = prepared.reference
+        values = None if profile == "profiled" else cut(prepared, int(max_matches), rules)
     if profile == "profiled":
         from .profiled import match_profiled as first_stages
     elif profile in ("observed", "full"):
@@ -66,12 +72,12 @@ def match_values(
         inputs = inputs.dropDuplicates([*KEYS, INPUT_VALUE])
     if rules is None:
         inputs = inputs.withColumn("normalized", X.normalize(INPUT_VALUE))
-        reference = C.add_computed_columns(reference)
     else:
         inputs = inputs.withColumn("normalized", rules.apply(INPUT_VALUE, "attribute_name"))
-        reference = reference.withColumn("normalized", rules.apply(PRESET_VALUE, "attribute_name"))
+    if not prepared:
+        reference = normalized_reference(reference, rules)
 
-    answers, ask, values = first_stages(inputs, reference, float(threshold), k, full)
+    answers, ask, values = first_stages(inputs, reference, float(threshold), k, full, values)
     open_ = answers.filter("size(matches) = 0")
     if cross_key:
         across = stage(match_across(open_, values, threshold, k, full), "across")
@@ -107,11 +113,13 @@ def match_values(
     return result_rows(found, emit_unmatched)
 
 
-def match_in_key(inputs, reference, threshold, k, full):
+def match_in_key(inputs, reference, threshold, k, full, values=None):
     """Answers of the first two stages per distinct (key, normalized value); staged, with the
-    question columns and the reduced reference table, which all later steps read."""
+    question columns and the reduced reference table, which all later steps read. ``values``: that
+    table, if it was prepared before."""
     ask = ANSWER_KEY
-    values = stage(M.first_rows(reference, ask, [PRESET_VALUE], k), "values")
+    if values is None:
+        values = stage(M.first_rows(reference, ask, [PRESET_VALUE], k), "values")
     asked = stage(M.exact_in_key(M.distinct_queries(inputs, ask), values), "exact")
     left = asked.filter("exact IS NULL").select(*ask)
     near = M.fuzzy(left, values, KEYS, threshold, k, full)

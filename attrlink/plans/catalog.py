@@ -21,6 +21,7 @@ from ..session import stage, stage_folder
 from ..sources import sample, sinks, snapshot, tables
 from . import views as V
 from .cascade import match_values
+from .prepared import prepare_reference
 
 QUERIES = {}
 
@@ -238,6 +239,16 @@ def match_semantic(spark, folder):
     return scores_rounded(_cascade(spark, folder, encoder=M.hashed_trigrams, **options))
 
 
+@query
+def match_prepared(spark, folder):
+    """The reference reduced once and kept in buckets; two sets of inputs are matched against it."""
+    inputs = V.inputs(spark, folder)
+    with prepare_reference(V.reference(spark, folder)) as prepared:
+        halves = [match_values(inputs.where(F.col("input_id") % 2 == i), prepared) for i in (0, 1)]
+        found = stage(halves[0].unionByName(halves[1]), "matched")
+    return scores_rounded(found)
+
+
 @query
 def match_semantic_in_key(spark, folder):
     """What the key leaves open goes straight to the nearest encoded values."""

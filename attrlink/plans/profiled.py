@@ -17,7 +17,7 @@ ASK = [*KEYS, INPUT_VALUE]
 FORMATTED = 'Exact match found (formatted from "'
 
 
-def match_profiled(inputs, reference, threshold, k, full):
+def match_profiled(inputs, reference, threshold, k, full, values=None):
     """Answers per distinct (key, input value): exact after smart normalization of both sides,
     exact after reformatting, then fuzzy with the profile's scores."""
     learned = P.profile_keys(reference).select(*KEYS, "typical_format", "case_sensitivity")

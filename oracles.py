@@ -370,6 +370,7 @@ SQL["cross_key"] = f"""{_asked("1 AS one")}
 
 SQL["match_cascade"] = cascade(INPUTS, REFERENCE, 75, 5) + " SELECT * FROM results"
 SQL["match_cascade_full"] = cascade(INPUTS, REFERENCE, 85, 3, full=True) + " SELECT * FROM results"
+SQL["match_prepared"] = SQL["match_cascade"]
 SQL["match_low_threshold"] = cascade(INPUTS, REFERENCE, 55, 3) + " SELECT * FROM results"
 def ruled(x):
     """All spelling rules, as far as these values go: sizes in millimetres, else words without punctuation."""
