@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import compute_partitions
-from . import kernels
+from . import kernels, native_scores
 from .text import DIGIT, SPACE, _col, numbers
 
 cloudpickle.register_pickle_by_value(kernels)
@@ -71,6 +71,13 @@ def score_pairs(df: DataFrame, a: str, b: str, full: bool = False) -> DataFrame:
     return df.join(scored, [a, b])
 
 
+def score_natively(df: DataFrame, a: str, b: str, names: list[str]) -> DataFrame:
+    """The named scores of every row's pair as columns, by expressions alone; each distinct pair is scored once."""
+    n = compute_partitions(df.sparkSession)
+    pairs = df.select(a, b).distinct().repartition(n, a, b)
+    return df.join(pairs.select(a, b, *(NATIVE[name](a, b).alias(name) for name in names)), [a, b])
+
+
 # ------------------------------------------------------------------ native parts
 
 
@@ -117,3 +124,7 @@ def levenshtein_score(a, b) -> Column:
     return F.when(longest == 0, 100.0).otherwise(
         (1.0 - F.levenshtein(_col(a), _col(b)) / longest) * 100.0
     )
+
+
+#: Scores that need no Python.
+NATIVE = {**native_scores.NATIVE, "levenshtein": levenshtein_score, "pattern": pattern_score}
