@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.text import DIGIT, SPACE
 from ..schema import KEYS
+from ..session import stage
 
 # Multiplier letters, separators, letters of a unit, and the patterns that name the
 # typical format of a key.
@@ -77,11 +78,37 @@ def case_sensitivity(reference: DataFrame) -> DataFrame:
     return known.groupBy(*KEYS).agg(F.bool_or(~F.col("known")).alias("case_sensitivity"))
 
 
-def profile_keys(reference: DataFrame) -> DataFrame:
+#: Units, combinations and decimals that a key's profile lists at most, the most used ones; ``key_items`` has all.
+MOST_ITEMS = 1000
+
+
+def key_items(reference: DataFrame, most: int | None = None) -> DataFrame:
+    """(key, kind, item, uses, place): units, unit combinations and decimals of each key as a child table.
+
+    ``uses`` counts occurrences; places go by uses, then item. With ``most`` only so many of a kind are kept, and
+    what is sorted of a key are its distinct items, counted before the shuffle.
+    """
+    v = F.col("preset_value")
+
+    def token(kind, items):
+        return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("item")))
+
+    tokens = F.concat(
+        token("unit", extract_units(v)),
+        token("combination", F.filter(extract_units(v, True), lambda u: F.char_length(u) >= 2)),
+        token("decimals", decimal_places(v)),
+    )
+    counted = reference.select(*KEYS, F.inline(tokens)).groupBy(*KEYS, "kind", "item").agg(F.count("*").alias("uses"))
+    by_use = Window.partitionBy(*KEYS, "kind").orderBy(F.desc("uses"), "item")
+    placed = counted.withColumn("place", F.row_number().over(by_use))
+    return placed if most is None else placed.where(F.col("place") <= most)
+
+
+def profile_keys(reference: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
     """One row of learned formats per key.
 
     Each part is a plain aggregation with map-side combine: counters and flags in one pass,
-    distinct units and decimals from exploded tokens, typical format and case from their own
+    the most used units and decimals from their counts, typical format and case from their own
     small groupings. Nothing holds all values of a key.
     """
     v = F.col("preset_value")
@@ -102,21 +129,12 @@ def profile_keys(reference: DataFrame) -> DataFrame:
         F.max(F.array_max(figures)).alias("max_value"),
     )
 
-    def token(kind, items):
-        return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("item")))
-
-    tokens = F.concat(
-        token("unit", extract_units(v)),
-        token("combination", F.filter(extract_units(v, True), lambda u: F.char_length(u) >= 2)),
-        token("decimals", decimal_places(v)),
-    )
-    seen = reference.select(*KEYS, F.inline(tokens)).distinct()
+    found = key_items(reference, most)
 
     def items(kind, as_type="string"):
-        held = F.collect_set(F.when(F.col("kind") == kind, F.col("item").cast(as_type)))
-        return F.sort_array(held)
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("item").cast(as_type))))
 
-    sets = seen.groupBy(*KEYS).agg(
+    sets = found.groupBy(*KEYS).agg(
         items("unit").alias("common_units"),
         items("combination").alias("unit_combinations"),
         items("decimals", "int").alias("decimal_places"),
@@ -134,13 +152,23 @@ def profile_keys(reference: DataFrame) -> DataFrame:
 
 
 def key_index(reference: DataFrame) -> DataFrame:
-    """Reference rows laid out by key, then row id: each key's ordered list of values.
+    """Reference rows laid out by key, then row id: each key's ordered list of values, numbered by ``place``.
 
-    Range partitions follow key and row, so a large key spans several of them.
+    Range partitions follow key and row, so a large key spans several of them. Places come from the row's place in its
+    partition and the counts of the partitions before it; no task sorts a whole key.
     """
     entry = ["row_id", "preset_value", "normalized", "has_units", "has_numbers", "has_commas"]
-    laid = reference.select(*KEYS, *entry).repartitionByRange(*KEYS, "row_id")
-    return laid.sortWithinPartitions(*KEYS, "row_id")
+    laid = reference.select(*KEYS, *entry).repartitionByRange(*KEYS, "row_id").sortWithinPartitions(*KEYS, "row_id")
+    # partition number and place inside it; written, so both are fixed
+    laid = stage(laid.withColumn("at", F.monotonically_increasing_id()), "key-index")
+    part = F.shiftright("at", 33).alias("part")
+    runs = laid.groupBy(*(F.col(c) for c in KEYS), part).agg(F.count("*").alias("rows"), F.min("at").alias("first"))
+    before = Window.partitionBy(*KEYS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1
+    runs = runs.select(*(F.col(c).alias(f"run_{c}") for c in KEYS), "part", shift.alias("shift"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"run_{c}")) for c in KEYS))
+    placed = laid.withColumn("part_of", F.shiftright("at", 33)).join(runs, same & (F.col("part_of") == F.col("part")))
+    return placed.select(*KEYS, (F.col("at") + F.col("shift")).alias("place"), *entry)
 
 
 # ------------------------------------------------------------------ value functions

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import profiles as P
 from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import terms as U
-from ..schema import INPUT_COLUMNS, KEYS, REFERENCE_COLUMNS
+from ..schema import INPUT_COLUMNS, KEYS, REFERENCE_COLUMNS, STATUSES
 from ..session import stage, stage_folder
 from ..sources import sample, sinks, snapshot, tables
 from . import views as V
@@ -82,6 +83,46 @@ def positional_inputs(spark, folder):
     return C.clean_inputs(raw)
 
 
+@query
+def positional_three(spark, folder):
+    """Three columns hold no value; with ``compat_positional`` the category stands in for it."""
+    raw = V.inputs(spark, folder).drop("input_value").toDF("input_id", "first", "second", "third")
+    both = [C.clean_inputs(raw, compat).withColumn("compat", F.lit(compat)) for compat in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+@query
+def structure_report(spark, folder):
+    """What each table lacks as a reference and as inputs, beside its rows."""
+    shapes = {
+        "reference": V.reference(spark, folder), "inputs": V.inputs(spark, folder), "accounts": V.accounts(spark, folder),
+        "raw": V.raw_reference(spark, folder), "keyless": V.inputs(spark, folder).drop("sub_category", "input_value"),
+    }
+    rows = [
+        df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("shape"), F.lit(",".join(C.missing_columns(df, REFERENCE_COLUMNS))).alias("reference_lacks"),
+            F.lit(",".join(C.missing_columns(df, INPUT_COLUMNS))).alias("inputs_lack"),
+            F.lit(C.has_structure(df)).alias("is_reference"), F.lit(C.has_structure(df, "input")).alias("is_input"), "n_rows",
+        )
+        for name, df in shapes.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def blank_inputs(spark, folder):
+    """Null, empty and blank values leave the inputs before they are matched."""
+    blank = F.expr("CASE input_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' \t ' ELSE input_value END")
+    return C.prepare_inputs(V.inputs(spark, folder).withColumn("input_value", blank))
+
+
+@query
+def computed_if_absent(spark, folder):
+    """Columns that a table brings stay as they are; the others are computed."""
+    own = V.reference(spark, folder).withColumns({"normalized": F.upper("preset_value"), "has_units": F.lit(False)})
+    return C.add_computed_columns(own)
+
+
 @query
 def row_positions(spark, folder):
     placed = tables.with_row_ids(V.table(spark, folder, "customer").select("c_custkey"))
@@ -303,12 +344,18 @@ def key_profile(spark, folder):
         "max_value", *(F.concat_ws("/", F.col(c).cast("array<string>")).alias(c) for c in lists),
         *(F.col(f"case_patterns.{c}").alias(c) for c in P.CASES),
         *(
-            F.try_element_at("multipliers", F.lit(m)).alias(n)
-            for m, n in (("m", "has_m"), ("g", "has_g"), ("t", "has_t"), ("G", "has_upper_g"))
+            F.try_element_at("multipliers", F.lit(m)).alias(f"has_{m}" if m.islower() else f"has_upper_{m.lower()}")
+            for m in P.MULTIPLIERS
         ),
     )
 
 
+@query
+def key_units(spark, folder):
+    """Units, unit combinations and decimals of each key, one row each, the most used first."""
+    return P.key_items(V.reference(spark, folder))
+
+
 @query
 def typical_format(spark, folder):
     return P.typical_formats(V.reference(spark, folder))
@@ -570,8 +617,21 @@ def csv_roundtrip(spark, folder):
     return tables.read_table(spark, path, "csv")
 
 
+_DISPLAYED = ["Category", "Sub-Category", "Attribute Name"]
+
+
 @query
 def report_parts(spark, folder):
     path = _folder(spark)
-    sinks.write_report(_results(spark, folder), path, "parquet", "2024-01-01 00:00:00")
-    return spark.read.parquet(f"{path}/summary")
+    parts = sinks.write_report(_results(spark, folder), path, "parquet", "2024-01-01 00:00:00")
+    read = {part: spark.read.parquet(f"{path}/{part}") for part in parts}
+    line = lambda name, *columns: F.concat_ws("|", *(F.col(f"`{c}`").cast("string") for c in columns)).alias(name)
+    none = F.lit(None).cast("double").alias("score")
+    shape = {
+        "comparison_results": [line("name", "Preset Row ID"), line("detail", "Original Input", "Matched Preset Value", "Comment", "Suggested Value", "Status", *_DISPLAYED), rounded("`Similarity %`").alias("score")],
+        "summary": [line("name", "metric"), line("detail", "value"), none],
+        "status_breakdown": [line("name", "status"), line("detail", "count"), none],
+        "category_analysis": [line("name", "category"), line("detail", *STATUSES), none],
+    }
+    found = [read[part].select(F.lit(part).alias("part"), *shape[part]) for part in parts]
+    return reduce(DataFrame.unionByName, found)

@@ -107,6 +107,24 @@ PAIRS = f"""
   FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1"""
 SQL["alias_inputs"] = f"SELECT input_id, category, sub_category, attribute_name, input_value FROM ({INPUTS})"
 SQL["positional_inputs"] = SQL["alias_inputs"]
+SQL["positional_three"] = f"""
+  SELECT input_id, category, sub_category, attribute_name, CASE WHEN compat THEN category ELSE '' END AS input_value, compat
+  FROM ({INPUTS}), (VALUES (false), (true)) AS t(compat)"""
+SQL["structure_report"] = f"""
+  SELECT 'reference' AS shape, '' AS reference_lacks, 'input_value' AS inputs_lack, true AS is_reference, false AS is_input,
+    (SELECT count(*) FROM ({REFERENCE})) AS n_rows
+  UNION ALL SELECT 'inputs', 'preset_value', '', false, true, (SELECT count(*) FROM ({INPUTS}))
+  UNION ALL SELECT 'accounts', '', 'input_value', true, false, (SELECT count(*) FROM customer)
+  UNION ALL SELECT 'raw', 'category,sub_category,attribute_name,preset_value', 'category,sub_category,attribute_name,input_value', false, false,
+    (SELECT count(*) FROM part)
+  UNION ALL SELECT 'keyless', 'sub_category,preset_value', 'sub_category,input_value', false, false, (SELECT count(*) FROM ({INPUTS}))"""
+SQL["blank_inputs"] = f"""
+  SELECT input_id, category, sub_category, attribute_name, input_value FROM ({INPUTS})
+  WHERE input_id % 5 NOT IN (0, 1, 2) AND trim(input_value) <> ''"""
+SQL["computed_if_absent"] = f"""
+  SELECT row_id, category, sub_category, attribute_name, preset_value, upper(preset_value) AS normalized, false AS has_units,
+    concat_ws('|', category, sub_category, attribute_name) AS composite_key, {has_numbers('preset_value')} AS has_numbers,
+    contains(preset_value, ',') AS has_commas FROM ({REFERENCE})"""
 
 # ------------------------------------------------------------------ pair scores
 
@@ -441,11 +459,16 @@ SQL["result_summary"] = f"""{_R},
       'Average Similarity Score', 'Highest Similarity Score', 'Lowest Similarity Score', 'Export Date']) AS metric,
     unnest([n::VARCHAR, e::VARCHAR, s::VARCHAR, f::VARCHAR, format('{{:.2f}}%', mean), format('{{:.2f}}%', top),
       format('{{:.2f}}%', low), '2024-01-01 00:00:00']) AS value FROM totals"""
-SQL["report_parts"] = f"SELECT metric, value FROM ({SQL['result_summary']})"
 SQL["status_breakdown"] = f'{_R} SELECT status, count(*) AS "count" FROM results GROUP BY status'
 SQL["category_pivot"] = f"""{_R}
   SELECT category, count(*) FILTER (status = 'Exact Match') AS exact, count(*) FILTER (status = 'Similar Match') AS similar,
     count(*) FILTER (status = 'Not Found') AS not_found FROM results GROUP BY category"""
+SQL["report_parts"] = f"""
+  SELECT 'comparison_results' AS part, coalesce(preset_row_id::VARCHAR, '') AS name, concat_ws('|', original_input, matched_value, comment,
+      suggested_value, status, category, sub_category, attribute_name) AS detail, round(similarity, 6) AS score FROM ({_R} SELECT * FROM results)
+  UNION ALL SELECT 'summary', metric, value, NULL FROM ({SQL['result_summary']})
+  UNION ALL SELECT 'status_breakdown', status, "count"::VARCHAR, NULL FROM ({SQL['status_breakdown']})
+  UNION ALL SELECT 'category_analysis', category, concat_ws('|', exact, "similar", not_found), NULL FROM ({SQL['category_pivot']})"""
 SQL["score_histogram"] = f"""{_R},
   edge AS (SELECT min(similarity) AS lo, max(similarity) AS hi FROM results),
   bins AS (SELECT unnest(range(20)) AS bin),
@@ -559,10 +582,17 @@ SQL["key_profile"] = rf"""
       lambda x: length(split_part(x, '.', 2))))), '/') AS decimal_places,
     count(*) FILTER ({_ALL_CASES} = 'all_uppercase') AS all_uppercase, count(*) FILTER ({_ALL_CASES} = 'all_lowercase') AS all_lowercase,
     count(*) FILTER ({_ALL_CASES} = 'title_case') AS title_case, count(*) FILTER ({_ALL_CASES} = 'mixed_case') AS mixed_case,
-    count(*) FILTER (contains(v, 'm')) AS has_m, count(*) FILTER (contains(v, 'g')) AS has_g,
-    count(*) FILTER (contains(v, 't')) AS has_t, count(*) FILTER (contains(v, 'G')) AS has_upper_g
+    {', '.join(f"count(*) FILTER (contains(v, '{m}')) AS has_{'' if m.islower() else 'upper_'}{m.lower()}" for m in 'mknupfMKNUPFGTgt')}
   FROM vals JOIN ({SQL['typical_format']}) USING ({_KEY}) JOIN ({_SENSITIVE}) USING ({_KEY})
   GROUP BY {_KEY}"""
+SQL["key_units"] = rf"""
+  WITH vals AS (SELECT *, regexp_extract_all(v, '[0-9]+\.?[0-9]*') AS nums FROM ({_VALUES})),
+  items AS (
+    SELECT {_KEY}, 'unit' AS kind, unnest(regexp_extract_all(v, '[0-9]+\s*([a-zA-Z°]+)', 1)) AS item FROM vals
+    UNION ALL SELECT {_KEY}, 'combination', unnest(list_filter(regexp_extract_all(v, '[0-9]+\.?[0-9]*\s*([a-zA-Z°]+)', 1), lambda u: length(u) >= 2)) FROM vals
+    UNION ALL SELECT {_KEY}, 'decimals', unnest(list_transform(list_filter(nums, lambda x: contains(x, '.')), lambda x: length(split_part(x, '.', 2))::VARCHAR)) FROM vals)
+  SELECT *, row_number() OVER (PARTITION BY {_KEY}, kind ORDER BY uses DESC, item) AS place
+  FROM (SELECT {_KEY}, kind, item, count(*) AS uses FROM items GROUP BY ALL)"""
 _PART = r"([0-9]+\.?[0-9]*)\s*([mknupfMKNUPFGTgt]?)\s*([a-zA-Z°]*)"
 SQL["value_parts"] = f"""
   SELECT p_partkey, b, array_to_string(list_transform(regexp_extract_all(b, '{_PART}', 1)::DOUBLE[],
@@ -725,7 +755,7 @@ SQL["value_rules"] = rf"""
   SELECT row_id, preset_value, array_to_string({words(f"regexp_replace({norm('expanded')}, '[^a-z0-9_ ]', ' ', 'g')")}, ' ') AS form
   FROM ({SQL['abbrev_expand']})"""
 SQL["key_index"] = f"""
-  SELECT category, sub_category, attribute_name, row_id, preset_value, {norm('preset_value')} AS normalized,
+  SELECT category, sub_category, attribute_name, row_number() OVER (PARTITION BY {_KEY} ORDER BY row_id) AS place, row_id, preset_value, {norm('preset_value')} AS normalized,
     {has_units('preset_value')} AS has_units, {has_numbers('preset_value')} AS has_numbers,
     contains(preset_value, ',') AS has_commas FROM ({REFERENCE})"""
 SQL["preview"] = f"SELECT * FROM ({REFERENCE}) ORDER BY row_id LIMIT 20"
