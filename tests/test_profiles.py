@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from attrlink import match_values
 from attrlink.functions import kernels as K
+from attrlink.operators import clean as C
 from attrlink.operators import profiles as P
 from pyspark.sql import functions as F
 
@@ -145,3 +146,24 @@ def test_profiled_search_is_exact():
                 best.append((-max(all_), p, int(np.argmax(all_))))
             want = sorted(b for b in best if -b[0] >= threshold)[:3]
             assert {k: v for k, v in got.items() if k[0] == q} == {(q, p): (round(-s, 9), kind) for s, p, kind in want}
+
+
+def test_items_of_a_key_are_counted_and_bounded(spark):
+    """A child table of all units, the most used first; the profile lists as many as asked for."""
+    rows = [(i, "a", "b", "c", f"{i} u{'x' * (i % 7)}") for i in range(1, 50)] + [(99, "a", "b", "d", "no number")]
+    df = spark.createDataFrame(rows, "row_id long, category string, sub_category string, attribute_name string, preset_value string")
+    items = [(r["item"], r.uses, r.place) for r in P.key_items(df).where("kind = 'unit'").orderBy("place").collect()]
+    want = sorted((("u" + "x" * k, 7) for k in range(7)), key=lambda x: (-x[1], x[0]))
+    assert items == [(u, n, p + 1) for p, (u, n) in enumerate(want)]
+    few = {r.attribute_name: r.common_units for r in P.profile_keys(df, most=2).collect()}
+    assert few == {"c": ["u", "ux"], "d": []}
+
+
+def test_key_index_numbers_rows_across_partitions(spark):
+    rows = [(i, "a", None if i % 3 else "b", "c", f"v{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, category string, sub_category string, attribute_name string, preset_value string")
+    got = P.key_index(C.add_computed_columns(df)).collect()
+    for sub in (None, "b"):
+        ids = [r.row_id for r in sorted((r for r in got if r.sub_category == sub), key=lambda r: r.place)]
+        assert ids == [r[0] for r in rows if r[2] == sub]
+        assert sorted(r.place for r in got if r.sub_category == sub) == list(range(1, len(ids) + 1))
