@@ -51,32 +51,31 @@ def position_masks(chars: Column) -> Column:
 
 def common_characters(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two arrays of characters."""
+    return _let(position_masks(a), lambda masks: _common(masks, F.size(a), b))
 
-    def fold(masks: Column) -> Column:
-        words = F.greatest(F.ceil(F.size(a) / WORD).cast("int"), F.lit(1))
-        start = F.array_repeat(F.lit(_FULL), words)
 
-        def step(state: Column, char: Column) -> Column:
-            return _let(F.try_element_at(masks, char), lambda mask: F.when(mask.isNull(), state).otherwise(added(state, mask)))
+def _common(masks: Column, size: Column, b: Column) -> Column:
+    """The same, from the masks of the first array and its ``size``."""
+    words = F.greatest(F.ceil(size / WORD).cast("int"), F.lit(1))
 
-        def added(state: Column, mask: Column) -> Column:
-            none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("words"))
+    def step(state: Column, char: Column) -> Column:
+        return _let(F.try_element_at(masks, char), lambda mask: F.when(mask.isNull(), state).otherwise(added(state, mask)))
 
-            def word(done: Column, pair: Column) -> Column:
-                kept = pair["v"].bitwiseAND(F.bitwise_not(pair["m"]))
-                total = pair["v"] + pair["v"].bitwiseAND(pair["m"]) + done["carry"]
-                new = total.bitwiseAND(F.lit(_FULL)).bitwiseOR(kept)
-                return F.struct(F.shiftright(total, WORD).alias("carry"), F.concat(done["words"], F.array(new)).alias("words"))
+    def added(state: Column, mask: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("words"))
 
-            pairs = F.arrays_zip(state.alias("v"), mask.alias("m"))
-            return F.aggregate(pairs, none, word, lambda done: done["words"])
+        def word(done: Column, pair: Column) -> Column:
+            kept = pair["v"].bitwiseAND(F.bitwise_not(pair["m"]))
+            total = pair["v"] + pair["v"].bitwiseAND(pair["m"]) + done["carry"]
+            new = total.bitwiseAND(F.lit(_FULL)).bitwiseOR(kept)
+            return F.struct(F.shiftright(total, WORD).alias("carry"), F.concat(done["words"], F.array(new)).alias("words"))
 
-        # a position of a that no longer has its bit is used
-        final = F.aggregate(b, start, step)
-        open_bits = F.transform(final, lambda v, w: F.bit_count(v.bitwiseAND(low_bits(F.size(a) - w * WORD))))
-        return F.size(a) - F.aggregate(open_bits, F.lit(0), lambda total, n: total + n)
+        return F.aggregate(F.arrays_zip(state.alias("v"), mask.alias("m")), none, word, lambda done: done["words"])
 
-    return _let(position_masks(a), fold)
+    # a position of a that no longer has its bit is used
+    final = F.aggregate(b, F.array_repeat(F.lit(_FULL), words), step)
+    open_bits = F.transform(final, lambda v, w: F.bit_count(v.bitwiseAND(low_bits(size - w * WORD))))
+    return size - F.aggregate(open_bits, F.lit(0), lambda total, n: total + n)
 
 
 def low_bits(count: Column) -> Column:
@@ -94,6 +93,39 @@ def ratio(a, b) -> Column:
     return _let2(characters(X._col(a)), characters(X._col(b)), _ratio)
 
 
+def _best_window(needle: Column, text: Column) -> Column:
+    """Best ratio of ``needle`` against the windows of ``text`` of its length, also those that either end cuts."""
+    n, m = F.size(needle), F.size(text)
+
+    def search(masks: Column) -> Column:
+        def step(best: Column, start: Column) -> Column:
+            first = F.greatest(start, F.lit(1))
+            width = F.least(start + n - 1, m) - first + 1
+            # a later window that starts with a foreign character is never better than the next one
+            foreign = (start > 1) & F.try_element_at(masks, F.get(text, first - 1)).isNull()
+            hopeless = 200.0 * F.least(n, width) / (n + width) <= best
+            found = 200.0 * _common(masks, n, F.slice(text, first, width)) / (n + width)
+            return F.when(foreign | hopeless, best).otherwise(F.greatest(best, found))
+
+        return F.aggregate(F.sequence(2 - n, m), F.lit(0.0), step)
+
+    return _let(position_masks(needle), search)
+
+
+def partial_ratio(a, b) -> Column:
+    """Best ratio of the shorter value against the windows of the longer; either way round for equal lengths."""
+
+    def compare(x: Column, y: Column) -> Column:
+        n, m = F.size(x), F.size(y)
+        return (
+            F.when((n == 0) & (m == 0), 100.0).when((n == 0) | (m == 0), 0.0)
+            .when(n < m, _best_window(x, y)).when(n > m, _best_window(y, x))
+            .otherwise(F.greatest(_best_window(x, y), _best_window(y, x)))
+        )
+
+    return _let2(characters(X._col(a)), characters(X._col(b)), compare)
+
+
 def token_sort_ratio(a, b) -> Column:
     """The ratio of the values with their words in order."""
     return ratio(X.sorted_tokens(a), X.sorted_tokens(b))
@@ -178,4 +210,4 @@ def jaro_winkler(a, b) -> Column:
     return _let2(characters(X._col(a)), characters(X._col(b)), compare)
 
 
-NATIVE = {"ratio": ratio, "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio, "jaro_winkler": jaro_winkler}
+NATIVE = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio, "token_set_ratio": token_set_ratio, "jaro_winkler": jaro_winkler}
