@@ -153,3 +153,26 @@ def quality_report(df: DataFrame) -> DataFrame:
         F.lit("").alias("column"), F.inline(_metrics(duplicate_rows=F.col("duplicate_rows")))
     )
     return reduce(DataFrame.unionByName, [total, repeated, per_column, unique])
+
+
+# ------------------------------------------------------------------ distinct counts of large tables
+
+#: Size of a sketch: 2**14 slots, a relative standard error of 0.65 %.
+SKETCH_SLOTS_LOG = 14
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], version: str) -> DataFrame:
+    """(version, column, rows, sketch): one small mergeable sketch of the distinct values of each column.
+
+    Nulls are not counted. Sketches of several versions of a table are merged without reading its rows again."""
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_SLOTS_LOG)) for c in columns]
+    parts = F.array(*(F.struct(F.lit(c).alias("column"), s.alias("sketch")) for c, s in zip(columns, sketches, strict=True)))
+    made = df.agg(F.count("*").alias("rows"), parts.alias("parts")).select("rows", F.inline("parts"))
+    return made.select(F.lit(version).alias("version"), "column", "rows", "sketch")
+
+
+def distinct_estimates(sketches: DataFrame) -> DataFrame:
+    """(column, rows, estimate) over all versions whose sketches are given."""
+    return sketches.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")
+    )

@@ -600,6 +600,20 @@ def snapshot_roundtrip(spark, folder):
     return snapshot.refresh(snapshot.load_or_build(spark, path, build), path)
 
 
+@query
+def distinct_over_versions(spark, folder):
+    """Distinct values over two versions of the orders, from their sketches alone, beside the exact counts."""
+    orders = V.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    path = _folder(spark)
+    for version, rows in enumerate((orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 2 = 0"))):
+        Q.distinct_sketches(rows, orders.columns, f"v{version}").write.mode("append").parquet(path)
+    estimates = Q.distinct_estimates(spark.read.parquet(path))
+    seen = orders.where("o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+    exact = seen.agg(*(F.count_distinct(c).alias(c) for c in orders.columns)).unpivot([], orders.columns, "column", "exact")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.lit(1), 0.03 * F.col("exact"))
+    return estimates.join(exact, "column").select("column", "rows", "exact", near.alias("within_three_percent"))
+
+
 @query
 def snapshot_info(spark, folder):
     path = _folder(spark)

@@ -762,6 +762,12 @@ SQL["preview"] = f"SELECT * FROM ({REFERENCE}) ORDER BY row_id LIMIT 20"
 
 # ------------------------------------------------------------------ sources and sinks
 
+SQL["distinct_over_versions"] = """
+  WITH seen AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0),
+  n AS (SELECT count(*) FILTER (o_orderkey % 3 <> 0) + count(*) FILTER (o_orderkey % 2 = 0) AS rows FROM orders)
+  SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderpriority']) AS "column", n.rows AS "rows",
+    unnest([count(DISTINCT o_orderkey), count(DISTINCT o_custkey), count(DISTINCT o_orderpriority)]) AS exact, true AS within_three_percent
+  FROM seen, n GROUP BY n.rows"""
 SQL["upsert_reference"] = f"""
   WITH refs AS ({REFERENCE}), edits AS (SELECT CASE WHEN row_id % 2 = 1 THEN row_id ELSE -1 - row_id END AS row_id,
       preset_value || ' new' AS preset_value FROM refs),

@@ -90,3 +90,15 @@ def test_ties_of_long_values_go_by_value(spark):
     rows = [("s" * 64 + f"{i:02d}",) for i in range(12)]
     got = Q.top_values(spark.createDataFrame(rows, "v string"), 5).orderBy("rank").collect()
     assert [r.value[-2:] for r in got] == ["00", "01", "02", "03", "04"]
+
+
+def test_sketches_of_versions_merge(spark):
+    from attrlink.operators import quality as Q
+
+    first = spark.createDataFrame([(i, str(i % 7) if i % 5 else None) for i in range(3000)], "a int, b string")
+    second = spark.createDataFrame([(i, "x") for i in range(2000, 5000)], "a int, b string")
+    sketches = Q.distinct_sketches(first, ["a", "b"], "one").union(Q.distinct_sketches(second, ["a", "b"], "two"))
+    got = {r.column: (r.rows, r.estimate) for r in Q.distinct_estimates(sketches).collect()}
+    assert got["a"][0] == 6000 and abs(got["a"][1] - 5000) <= 150 and got["b"] == (6000, 8)
+    none = Q.distinct_estimates(Q.distinct_sketches(first.limit(0), ["a"], "none")).first()
+    assert (none.rows, none.estimate) == (0, 0)
