@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, text_batches
 
 #: Bound of the labelled sample that the lexicon and the curve are fitted on, by hash order of doc_id.
 SAMPLE_ROWS = 40_000
@@ -163,6 +163,8 @@ def fit(labelled: DataFrame) -> ToxicModel:
 
 #: Slots of the bitmap that estimates how many different neighbours an entry has.
 SLOTS = 64
+#: Bytes of text whose words are held at once while counting, and texts that are scored at once.
+COUNTED_BYTES, SCORED_TEXTS = 2 << 20, 256
 COUNTED = "word binary, clean long, toxic long, clean_bits long, toxic_bits long"
 
 
@@ -182,9 +184,9 @@ def _counts(unique: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(x) for x in (*seen.T, *bits.T))], schema=schema)
 
     def run(batches):
-        for batch in batches:
-            lists = [words_of(t) for t in batch.column(0).to_pylist()]
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in text_batches(batches, COUNTED_BYTES):
+            lists = [words_of(t) for t in batch.column(1).to_pylist()]
+            toxic = batch.column(0).to_numpy().astype(np.int64)
             lens = np.array([len(x) for x in lists], dtype=np.int64)
             coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
             if not len(coded):
@@ -200,7 +202,7 @@ def _counts(unique: DataFrame) -> DataFrame:
             stems = pa.array([_stem(w) for w in names], pa.binary()).dictionary_encode()
             yield tally(stems.indices.to_numpy().astype(np.int64)[code], stems.dictionary.to_pylist(), owner, toxic, place)
 
-    counted = unique.select("text", "toxic").mapInArrow(run, COUNTED).groupBy("word").agg(
+    counted = unique.select("toxic", "text").mapInArrow(run, COUNTED).groupBy("word").agg(
         *(F.sum(c).alias(c) for c in ("clean", "toxic")), *(F.bit_or(c).alias(c) for c in ("clean_bits", "toxic_bits"))
     )
     return stage(counted, "toxic-counts")
@@ -296,8 +298,10 @@ def keep_below(documents: DataFrame, model: ToxicModel, bar: float) -> DataFrame
 
     def run(batches):
         m = send.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([_chance(_evidence(t, m)[0], m) < bar for t in texts], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCORED_TEXTS):
+                batch = whole.slice(start, SCORED_TEXTS)
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([_chance(_evidence(t, m)[0], m) < bar for t in texts], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
