@@ -47,8 +47,8 @@ QUOTIENT_RANGE = (0.1, 10.0)
 NUMBER_TOLERANCE = 0.001
 # Bounds are single precision; this much is added so that rounding never drops a pair.
 ROUNDING = 0.001
-# Promising pairs per query that are scored first, to learn how good its best matches are.
-SEEDS = 24
+# Promising pairs per query that are scored first, to learn how good its best matches are: so many, or a share of all.
+SEEDS, SEED_SHARE = 24, 32
 
 
 # ------------------------------------------------------------------ encoding
@@ -364,6 +364,7 @@ class Features:
         self.sorted = [" ".join(sorted(t)) for t in tokens]
         distinct = [sorted(set(t)) for t in tokens]
         self.distinct = [" ".join(t) for t in distinct]
+        self.repeats = np.fromiter((s != d for s, d in zip(self.sorted, self.distinct)), bool, n)
         self.tokens = [frozenset(t) for t in distinct]
         self.size = np.fromiter((len(v) for v in values), np.int64, n)
         self.distinct_size = np.fromiter((len(v) for v in self.distinct), np.int64, n)
@@ -483,10 +484,11 @@ def pattern_score(f, i, j, guarded=False):
     return np.minimum(score, 100).astype(float)
 
 
-def token_set_ratio(f, i, j, floor, common):
+def token_set_ratio(f, i, j, floor, common, above_sorted=False):
     """Token-set ratio; exact wherever the result exceeds ``floor`` (an array).
 
-    ``common`` bounds the characters the two values share. Shared tokens use up their own
+    ``above_sorted``: no floor is below the token-sort ratio, which is the same for values that neither share nor
+    repeat a token. ``common`` bounds the characters the two values share. Shared tokens use up their own
     characters of that bound, so what is left bounds the subsequence of the differing tokens.
     """
     out = np.zeros(len(i))
@@ -524,7 +526,10 @@ def token_set_ratio(f, i, j, floor, common):
         left = np.minimum(np.minimum(ab, ba), np.maximum(common[live] - sect - gap, 0))
         bound = 100.0 * (total - (ab + ba - 2 * left)) / total
     best[contained] = 100.0
-    open_ = np.nonzero(~contained & (bound > np.maximum(best, floor[live])))[0]
+    open_ = ~contained & (bound > np.maximum(best, floor[live]))
+    if above_sorted:
+        open_ &= (gap > 0) | f.repeats[i] | f.repeats[j]
+    open_ = np.nonzero(open_)[0]
     if len(open_):
         diff_a, diff_b = [], []
         for a, b, g in zip(i[open_].tolist(), j[open_].tolist(), gap[open_].tolist()):
@@ -563,12 +568,13 @@ def lcs_of(left, right):
 # ------------------------------------------------------------------ pair scores
 
 
-def score_pairs(f, i, j, full=False, floor=None):
+def score_pairs(f, i, j, full=False, floor=None, narrow=None):
     """Scores of the pairs ``(i, j)`` of one batch of values, one row per name in ``SCORES``.
 
     ``floor`` is a function of the scores that are cheap to get (ratio and token-sort ratio); it
     returns, per pair, the score below which the caller has no use for a result. Best scores that
-    reach it are exact, others may be reported lower. ``full`` adds the two edit measures and
+    reach it are exact, others may be reported lower. ``narrow`` bounds, per pair, what windows that are narrower than
+    the shorter value score. ``full`` adds the two edit measures and
     needs numbers on both sides for the number rules.
     """
     n = len(i)
@@ -597,8 +603,12 @@ def score_pairs(f, i, j, full=False, floor=None):
     # no window beats the bound given by shared characters; a tie with ratio changes nothing
     bound = common_bound(f, f, i, j)
     needle = np.minimum(f.size[i], f.size[j])
+    # a window has no longer common subsequence than the whole text
+    most = np.minimum(bound, np.rint(out[0] * (f.size[i] + f.size[j]) / 200.0))
     with np.errstate(divide="ignore", invalid="ignore"):
-        ceiling = np.where(needle > 0, 200.0 * bound / (needle + bound), 100.0)
+        ceiling = np.where(needle > 0, 200.0 * most / (needle + most), 100.0) + 1e-9
+        if narrow is not None:
+            ceiling = np.where(needle > 0, np.minimum(ceiling, np.maximum(100.0 * most / needle + 1e-9, narrow)), ceiling)
     wanted = (ceiling >= least) & (ceiling > out[0]) if floor is not None else np.ones(n, bool)
     if len(short):
         pick = np.nonzero(wanted[short])[0]
@@ -610,7 +620,7 @@ def score_pairs(f, i, j, full=False, floor=None):
         out[1, p] = long_partial(f.value[i[p]], f.value[j[p]], low)
     if floor is not None:
         least = np.maximum(out[:3].max(axis=0), least)
-    out[3, short] = token_set_ratio(f, i[short], j[short], least[short], bound[short])
+    out[3, short] = token_set_ratio(f, i[short], j[short], least[short], bound[short], floor is not None)
     for p in long_:
         out[3, p] = long_token_set(f.tokens[i[p]], f.tokens[j[p]])
     if full:
@@ -645,19 +655,25 @@ def pattern_ceiling(f, i, j):
     )
 
 
-def ceilings(f, i, j, full=False, pattern=None):
+def ceilings(f, i, j, full=False, pattern=None, common=None, apart=False):
     """Upper bound of the best score of each pair, from lengths and bit sets alone.
 
+    ``common``: characters that the values share at most, if known better; ``apart``: the bound of the ratio and its
+    windows by itself, beside that of all other scores.
+
     Subsequence ratios are bounded by the characters both values can share. A token-set ratio is
     that, or one token set lies within the other (its bits do too), or it compares the shared
     tokens with one side, which then lacks at least one token on either side.
     """
     bound = common_bound(f, f, i, j).astype(np.float32)
+    if common is not None:
+        bound = np.minimum(bound, common)
     a, b = f.size[i], f.size[j]
     da, db = f.distinct_size[i], f.distinct_size[j]
     with np.errstate(divide="ignore", invalid="ignore"):
-        over = np.minimum(np.minimum(a, b) + bound, (da + db).astype(np.float32))
-        best = np.where(over > 0, 200 * bound / over, 0)
+        over = np.minimum(a, b) + bound
+        windows = np.where(over > 0, 200 * bound / over, 0)
+        best = np.where(da + db > 0, 200 * bound / (da + db).astype(np.float32), 0)
         x, y = f.token_bits[i], f.token_bits[j]
         shared = (x & y) != 0
         within = shared & (((x & ~y) == 0) | ((y & ~x) == 0))
@@ -672,7 +688,90 @@ def ceilings(f, i, j, full=False, pattern=None):
     best[within | ((da == 0) & (db == 0))] = 100
     if pattern is None:
         pattern = pattern_ceiling(f, i, j)
-    return np.maximum(best, np.asarray(pattern, dtype=np.float32)) + np.float32(ROUNDING)
+    best = np.maximum(best, np.asarray(pattern, dtype=np.float32)) + np.float32(ROUNDING)
+    windows = windows + np.float32(ROUNDING)
+    return (best, windows) if apart else np.maximum(best, windows)
+
+
+_SPACE = re.compile(r"\s")
+
+
+class SharedCharacters:
+    """Characters that queries and presets have in common, counted for whole blocks by matrix products.
+
+    A value is a row of marks, one for each (character, occurrence). The product of two rows is what the values share
+    with repetitions, in any order, which no common subsequence exceeds. Marks beyond SLOTS are folded, so that a
+    product can only grow. White space counts as one character, as in joined tokens."""
+
+    SLOTS = 512
+
+    def __init__(self, queries, presets):
+        slots = {}
+        self.size = [np.fromiter((len(v) for v in side), np.int64, len(side)) for side in (queries, presets)]
+        #: For both sides, from the left and from the right: the mark of each place.
+        self.marks = [[self._marks(side, slots, step) for step in (1, -1)] for side in (queries, presets)]
+        self.width = max(1, min(len(slots), self.SLOTS))
+        self.whole = [self._rows(m[0], np.arange(len(m[0])), WORD) for m in self.marks]
+
+    def _marks(self, values, slots, step):
+        out = np.full((len(values), WORD), -1, dtype=np.int32)
+        for row, value in enumerate(values):
+            if len(value) <= WORD:
+                seen = {}
+                found = []
+                for c in " ".join(_SPACE.split(value))[::step]:
+                    k = seen[c] = seen.get(c, 0) + 1
+                    found.append(slots.setdefault((c, k), len(slots)) % self.SLOTS)
+                out[row, : len(found)] = found
+        return out
+
+    def _rows(self, marks, at, width):
+        """Marks of the first ``width`` places."""
+        rows = np.zeros((len(at), self.width), dtype=np.float32)
+        for place in range(width):
+            live = np.nonzero(marks[at, place] >= 0)[0]
+            if not len(live):
+                break
+            rows[live, marks[at[live], place]] += 1
+        return rows
+
+    def common(self, q, p):
+        """Shared characters of all pairs; no bound where a value is longer than a word."""
+        found = self.whole[0][q] @ self.whole[1][p].T
+        found[self.size[0][q] > WORD] = np.inf
+        found[:, self.size[1][p] > WORD] = np.inf
+        return found
+
+    def windows(self, q, p, common, need):
+        """Upper bounds of the ratio and all its windows, and of narrow windows; below ``need`` they may be too low.
+
+        A window is as wide as the shorter value, or a start or end of the longer one that is narrower."""
+        out = np.full((len(q), len(p)), np.inf, dtype=np.float32)
+        narrow = out.copy()
+        sizes = [self.size[0][q], self.size[1][p]]
+        for a in np.unique(sizes[0][sizes[0] <= WORD]):
+            rows = np.nonzero(sizes[0] == a)[0]
+            low = float(need[rows].min())
+            for b in np.unique(sizes[1][sizes[1] <= WORD]):
+                cols = np.nonzero(sizes[1] == b)[0]
+                short = int(min(a, b))
+                best = np.zeros((len(rows), len(cols)), dtype=np.float32)
+                first = max(1, int(np.ceil(low * short / max(200 - low, 1e-9) - 1e-6)))
+                for side, at, size in ((0, q[rows], a), (1, p[cols], b)):
+                    if size == max(a, b):
+                        self._narrow(best, side, at, (p[cols], q[rows])[side], short, first)
+                narrow[np.ix_(rows, cols)] = best
+                out[np.ix_(rows, cols)] = np.maximum(best, common[np.ix_(rows, cols)] * np.float32(100 / max(short, 1)))
+        return out + np.float32(ROUNDING), narrow + np.float32(ROUNDING)
+
+    def _narrow(self, best, side, text, needle, short, first):
+        whole = self.whole[1 - side][needle]
+        for marks in self.marks[side]:
+            part = self._rows(marks, text, first - 1)
+            for width in range(first, short):
+                part[np.arange(len(text)), marks[text, width - 1]] += 1
+                shared = whole @ part.T if side else part @ whole.T
+                np.maximum(best, np.minimum(shared, width) * np.float32(200 / (short + width)), out=best)
 
 
 def candidates(f, i, j, threshold, full=False):
@@ -692,16 +791,31 @@ def keep_best(q, p, score, kind, rank, k):
 def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 17):
     """The ``k`` best presets per query of one bounded block: (query, preset, score, kind). ``threshold`` is a
     number, or one for each query."""
-    f = Features(list(queries) + list(presets))
-    nq = len(queries)
+    queries, presets = list(queries), list(presets)
+    order = np.argsort(np.fromiter((len(v) for v in queries), np.int64, len(queries)), kind="stable")
+    queries, threshold = [queries[at] for at in order], np.broadcast_to(threshold, len(order))[order]
+    f = Features(queries + presets)
+    nq, shared, tile_of = len(queries), SharedCharacters(queries, presets), {}
 
     def ceiling(i, j):
-        return ceilings(f, i, nq + j, full)
+        q, p = i[:, 0], j[0]
+        common = shared.common(q, p)
+        rest, windows = ceilings(f, i, nq + j, full, common=common, apart=True)
+        tile_of.update(last=(q, p, common, rest), narrow=None)
+        return np.maximum(rest, windows)
+
+    def tighter(need):
+        q, p, common, rest = tile_of["last"]
+        windows, tile_of["narrow"] = shared.windows(q, p, common, need)
+        return np.maximum(rest, windows)
 
     def score(i, j, floor):
-        return score_pairs(f, i, nq + j, full, floor)
+        q, p, _, _ = tile_of["last"]
+        narrow = tile_of["narrow"]
+        return score_pairs(f, i, nq + j, full, floor, None if narrow is None else narrow[i - q[0], j - p[0]])
 
-    return _best_by_tiles(nq, len(presets), rank, threshold, k, ceiling, score, tile)
+    found = _best_by_tiles(nq, len(presets), rank, threshold, k, ceiling, score, tile, tighter)
+    return [order[found[0]], *found[1:]]
 
 
 def best_profiled_in_block(
@@ -783,11 +897,11 @@ class Parts:
         return (self.multiplier_ceiling(i, j) - both * lost).astype(float)
 
 
-def _best_by_tiles(nq, npre, rank, threshold, k, ceiling_of, scores_of, tile):
+def _best_by_tiles(nq, npre, rank, threshold, k, ceiling_of, scores_of, tile, tighter=None):
     """Visit the block tile by tile: bound all pairs, score the survivors, keep ``k`` per query.
 
     The most promising pairs of each query come first. Once a query has ``k`` hits, the worst of
-    them is what any further pair has to reach.
+    them is what any further pair has to reach. ``tighter`` bounds the last tile anew for what is needed by then.
     """
     held = _no_hits()
     wide = min(max(npre, 1), 4096)
@@ -800,11 +914,14 @@ def _best_by_tiles(nq, npre, rank, threshold, k, ceiling_of, scores_of, tile):
             p = np.arange(p0, min(p0 + wide, npre))
             ceiling = ceiling_of(q[:, None], p[None, :])
             if len(p) > 4 * SEEDS:
-                seeds = np.argpartition(ceiling, len(p) - SEEDS, axis=1)[:, len(p) - SEEDS :]
-                at_q, at_p = np.repeat(np.arange(len(q)), SEEDS), seeds.ravel()
+                first = max(SEEDS, len(p) // SEED_SHARE)
+                seeds = np.argpartition(ceiling, len(p) - first, axis=1)[:, len(p) - first :]
+                at_q, at_p = np.repeat(np.arange(len(q)), first), seeds.ravel()
                 ok = ceiling[at_q, at_p] >= need[at_q]
                 kept = _score_into(kept, q, p, at_q[ok], at_p[ok], need, rank, k, scores_of)
                 ceiling[at_q, at_p] = -1
+            if tighter is not None and np.count_nonzero(ceiling >= need[:, None]) > ceiling.size // 100:
+                ceiling = np.minimum(ceiling, tighter(need))
             at_q, at_p = np.nonzero(ceiling >= need[:, None])
             kept = _score_into(kept, q, p, at_q, at_p, need, rank, k, scores_of)
         held = [np.concatenate([old, new]) for old, new in zip(held, kept)]
