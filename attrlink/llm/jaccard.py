@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import (
-    expand, hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, squeeze, text_batches, unpack, unpack32, word_codes, word_hashes,
+    expand, give_back, hash_borders, mix, ngram_hashes, pack, pack32, partitions, small, squeeze, text_batches, unpack, unpack32, word_codes, word_hashes,
 )
 from .common import stage_in_small_batches as stage
 
@@ -237,32 +237,41 @@ def _answers(frame: pd.DataFrame) -> pd.DataFrame:
     grams = [unpack(x) for x in frame["grams"]]
     ends = np.cumsum([len(g) for g in grams])
     gram = np.concatenate(grams)
-    point = np.concatenate([np.frombuffer(p, np.int64)[unpack32(a)] for p, a in zip(frame["points"], frame["at"], strict=True)])
-    size = np.concatenate([unpack32(s)[unpack32(a)] for s, a in zip(frame["sizes"], frame["at"], strict=True)]).astype(np.int64)
-    rest = np.concatenate([unpack32(x) for x in frame["places"]]).astype(np.int64)
-    members = np.concatenate([unpack32(x) for x in frame["members"]]).astype(np.int64)
-    order = np.argsort(gram)
+    del grams
+    order = np.argsort(gram).astype(np.int32)
+    gram = gram[order]
     head = np.ones(len(order), dtype=bool)
-    head[1:] = gram[order][1:] != gram[order][:-1]
-    starts = np.flatnonzero(head)
-    group = np.empty(len(order), dtype=np.int64)
-    group[order] = np.cumsum(head) - 1
+    head[1:] = gram[1:] != gram[:-1]
+    del gram
+    starts = np.flatnonzero(head).astype(np.int32)
+    group = np.empty(len(order), dtype=np.int32)
+    group[order] = np.cumsum(head, dtype=np.int32) - 1
+    del head
+    size = np.concatenate([unpack32(s)[unpack32(a)] for s, a in zip(frame["sizes"], frame["at"], strict=True)])
     least = np.minimum.reduceat(size[order], starts)
+    point = np.concatenate([np.frombuffer(p, np.int64)[unpack32(a)] for p, a in zip(frame["points"], frame["at"], strict=True)])
     smallest = np.where(size == least[group], point, np.iinfo(np.int64).max)
     firsts = np.minimum.reduceat(smallest[order], starts)
+    del size, smallest
     # a point that several batches hold is one member
+    members = np.concatenate([unpack32(x) for x in frame["members"]])
     other = np.maximum.reduceat(members[order], starts) > 1
-    other |= np.add.reduceat((point != firsts[group])[order].astype(np.int64), starts) > 0
+    other |= np.logical_or.reduceat((point != firsts[group])[order], starts)
+    del members, point
+    rest = np.concatenate([unpack32(x) for x in frame["places"]])
     most = np.maximum.reduceat(rest[order], starts)
-    shared, pivot, least, most = other[group], firsts[group], least[group], most[group]
+    del rest, order
     out, at = [], 0
     for end in ends:
-        on = shared[at:end]
-        out.append((np.packbits(on).tobytes(), pivot[at:end][on].tobytes(), pack32(least[at:end][on]), pack32(most[at:end][on]), end - at))
+        mine = group[at:end]
+        on = other[mine]
+        mine = mine[on]
+        out.append((np.packbits(on).tobytes(), firsts[mine].tobytes(), pack32(least[mine]), pack32(most[mine]), end - at))
         at = end
     answer = frame[["batch", "part"]].copy()
     for i, name in enumerate(("shared", "pivots", "least", "most", "count")):
         answer[name] = [x[i] for x in out]
+    give_back()
     return answer
 
 
@@ -441,6 +450,7 @@ def _by_region(shipped: DataFrame, settle) -> DataFrame:
                     held = []
                 held.append(frame.iloc[start:end])
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            give_back()
         if held:
             yield pd.DataFrame(settle(pd.concat(held)), columns=["a", "b"]).astype("int64")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import BROADCAST_ROWS, text_batches
+from .common import BROADCAST_ROWS, give_back, text_batches
 
 #: Bound of the labelled sample that the lexicon and the curve are fitted on, by hash order of doc_id.
 SAMPLE_ROWS = 40_000
@@ -303,5 +303,6 @@ def keep_below(documents: DataFrame, model: ToxicModel, bar: float) -> DataFrame
                 batch = whole.slice(start, SCORED_TEXTS)
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([_chance(_evidence(t, m)[0], m) < bar for t in texts], pa.bool_()))
+            give_back()
 
     return documents.mapInArrow(run, documents.schema)
