@@ -13,9 +13,10 @@ from ..operators import clean as C
 from ..operators import matching as M
 from ..operators.terms import ValueRules
 from ..schema import EXACT, INPUT_VALUE, KEYS, NOT_FOUND, PRESET_VALUE, RESULT_SCHEMA, SIMILAR
-from ..session import stage
-from .prepared import VALUE_KEY, PreparedReference, cut, normalized_reference
+from ..session import compute_partitions, stage
+from .prepared import VALUE_KEY, PreparedReference, cut, normalized_reference, reduced_reference
 
+RAW_KEY = [*KEYS, INPUT_VALUE]
 ANSWER_KEY = VALUE_KEY
 EXACT_COMMENT = "Exact match found"
 CROSS_COMMENT = "Cross-category match: "
@@ -33,6 +34,7 @@ def match_values(
     cross_key: bool = True,
     distinct_inputs: bool = False,
     rules: ValueRules | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Match every input row against the reference table; rows as in ``RESULT_SCHEMA``.
 
@@ -50,8 +52,11 @@ def match_values(
     ``rules`` widens what counts as the same spelling (units, synonyms, abbreviations,
     punctuation); formats learned per key are those of plain values, so ``profiled`` takes none.
 
-    The questions are asked once per distinct key and value; the answers, bounded arrays, join
-    back to the inputs at the end, which is the one shuffle of the input table.
+    ``digits`` rounds the scores shown, once per answer; which rows are found and their order stay as they are.
+
+    Values are normalized once per distinct key and raw value, and the questions are asked once per distinct key and
+    normalized value; the answers, bounded arrays, join back to the inputs by key and raw value at the end, which is
+    the one shuffle of the input table.
     """
     prepared = reference if isinstance(reference, PreparedReference) else None
     values = None
@@ -70,14 +75,19 @@ def match_values(
     inputs = C.prepare_inputs(inputs)
     if distinct_inputs:
         inputs = inputs.dropDuplicates([*KEYS, INPUT_VALUE])
+    questions = M.distinct_queries(inputs, RAW_KEY)
     if rules is None:
-        inputs = inputs.withColumn("normalized", X.normalize(INPUT_VALUE))
-    else:
-        inputs = inputs.withColumn("normalized", rules.apply(INPUT_VALUE, "attribute_name"))
+        questions = questions.withColumn("normalized", X.normalize(INPUT_VALUE))
+    else:  # few bytes, much work
+        questions = questions.repartition(compute_partitions(inputs.sparkSession), *RAW_KEY)
+        questions = questions.withColumn("normalized", rules.apply(INPUT_VALUE, "attribute_name"))
+    questions = stage(questions, "questions")
     if not prepared:
+        if profile != "profiled":
+            values = stage(reduced_reference(reference, k, rules), "values")
         reference = normalized_reference(reference, rules)
 
-    answers, ask, values = first_stages(inputs, reference, float(threshold), k, full, values)
+    answers, ask, values = first_stages(questions, reference, float(threshold), k, full, values)
     open_ = answers.filter("size(matches) = 0")
     if cross_key:
         across = stage(match_across(open_, values, threshold, k, full), "across")
@@ -95,11 +105,13 @@ def match_values(
         if encoder is not None:
             answers = stage(answers, "answers")
             open_ = answers.filter("size(matches) = 0")
-    answers = answers.select(*ask, "matches")
-    found = inputs.join(answers, ask, "left" if emit_unmatched else "inner")
+    answers = with_rounded_scores(answers.select(*ask, "matches"), digits)
+    if ask != RAW_KEY:
+        answers = questions.join(answers, ask).select(*RAW_KEY, "matches")
+    found = inputs.join(answers, RAW_KEY, "left" if emit_unmatched else "inner")
     if encoder is not None:
-        asked = inputs.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
-        near = stage(match_vectors(asked, reference, encoder, threshold, k), "vectors")
+        asked = questions.join(open_.select(*ask), ask, "left_semi").select(INPUT_VALUE).distinct()
+        near = stage(with_rounded_scores(match_vectors(asked, reference, encoder, threshold, k), digits), "vectors")
         found = (
             found.join(near.withColumnRenamed("matches", "near"), INPUT_VALUE, "left")
             .withColumn(
@@ -113,13 +125,10 @@ def match_values(
     return result_rows(found, emit_unmatched)
 
 
-def match_in_key(inputs, reference, threshold, k, full, values=None):
+def match_in_key(inputs, reference, threshold, k, full, values):
     """Answers of the first two stages per distinct (key, normalized value); staged, with the
-    question columns and the reduced reference table, which all later steps read. ``values``: that
-    table, if it was prepared before."""
+    question columns and the reduced reference table ``values``, which all later steps read."""
     ask = ANSWER_KEY
-    if values is None:
-        values = stage(M.first_rows(reference, ask, [PRESET_VALUE], k), "values")
     asked = stage(M.exact_in_key(M.distinct_queries(inputs, ask), values), "exact")
     left = asked.filter("exact IS NULL").select(*ask)
     near = M.fuzzy(left, values, KEYS, threshold, k, full)
@@ -206,6 +215,13 @@ def answer(row_id, value, score, match_type, comment, key=None) -> Column:
     return F.struct(*fields, F.struct(*shown).alias("key"))
 
 
+def with_rounded_scores(answers: DataFrame, digits: int | None) -> DataFrame:
+    if digits is None:
+        return answers
+    shown = F.transform("matches", lambda m: m.withField("score", F.round(m["score"], digits)))
+    return answers.withColumn("matches", shown)
+
+
 def result_rows(found: DataFrame, emit_unmatched: bool) -> DataFrame:
     """One row per input and match, in the fixed schema."""
     spread = F.posexplode_outer if emit_unmatched else F.posexplode

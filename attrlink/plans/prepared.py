@@ -25,6 +25,21 @@ def normalized_reference(reference: DataFrame, rules: ValueRules | None) -> Data
     return reference.withColumn("normalized", rules.apply(PRESET_VALUE, "attribute_name"))
 
 
+def reduced_reference(reference: DataFrame, k: int, rules: ValueRules | None) -> DataFrame:
+    """Per key and normalized value the first ``k`` rows, as ``first_rows`` gives them.
+
+    They are among the first ``k`` rows of their key and raw value, so the table is reduced by raw values before any
+    value is normalized: rules cost much more than the reduction, and values repeat."""
+    if rules is None and "normalized" in reference.columns:
+        return M.first_rows(reference, VALUE_KEY, [PRESET_VALUE], k)
+    raw = [*KEYS, PRESET_VALUE]
+    rows = M.first_rows(reference.select("row_id", *raw), raw, [], k).select(*raw, F.col("rows.row_id").alias("ids"))
+    if rules is not None:  # few bytes, much work
+        rows = rows.repartition(compute_partitions(reference.sparkSession), *raw)
+    spelled = normalized_reference(rows, rules).select(*raw, "normalized", F.explode("ids").alias("row_id"))
+    return M.first_rows(spelled, VALUE_KEY, [PRESET_VALUE], k)
+
+
 @dataclass(frozen=True)
 class PreparedReference:
     """A reference with its reduced form: per key and value the first ``max_matches`` rows.
@@ -64,8 +79,8 @@ def prepare_reference(
     spark = reference.sparkSession
     buckets = buckets or compute_partitions(spark)
     table = table or f"prepared_{uuid.uuid4().hex}"
+    values = reduced_reference(reference, int(max_matches), rules)
     reference = normalized_reference(reference, rules)
-    values = M.first_rows(reference, VALUE_KEY, [PRESET_VALUE], int(max_matches))
     # rows come together by bucket before they are written, so a bucket is one file and stays sorted
     dealt = values.repartition(buckets, *VALUE_KEY)
     path = f"{stage_folder(spark)}/{table}"
