@@ -287,9 +287,9 @@ def match_prepared(spark, folder):
     """The reference reduced once and kept in buckets; two sets of inputs are matched against it."""
     inputs = V.inputs(spark, folder)
     with prepare_reference(V.reference(spark, folder)) as prepared:
-        halves = [match_values(inputs.where(F.col("input_id") % 2 == i), prepared) for i in (0, 1)]
-        found = stage(halves[0].unionByName(halves[1]), "matched")
-    return scores_rounded(found)
+        halves = [match_values(inputs.where(F.col("input_id") % 2 == i), prepared, digits=6) for i in (0, 1)]
+    # the answers are staged, so the rows read no prepared table and need not be written here
+    return halves[0].unionByName(halves[1])
 
 
 @query
@@ -557,14 +557,14 @@ def value_rules(spark, folder):
 def match_case_kept(spark, folder):
     """The cascade over values that keep their case."""
     rules = U.ValueRules(normalize_case=False)
-    return scores_rounded(_cascade(spark, folder, rules=rules, max_matches=3))
+    return _cascade(spark, folder, rules=rules, max_matches=3, digits=6)
 
 
 @query
 def match_rules(spark, folder):
     """The cascade with every spelling rule on."""
     rules = U.ValueRules(True, True, True, True, True)
-    return scores_rounded(_cascade(spark, folder, rules=rules, max_matches=3))
+    return _cascade(spark, folder, rules=rules, max_matches=3, digits=6)
 
 
 # ------------------------------------------------------------------ sources and sinks
