@@ -92,9 +92,13 @@ def of_vectors(x: np.ndarray) -> bytes:
 def vector_bounds(blobs_a: list[bytes], blobs_b: list[bytes]) -> np.ndarray:
     """Upper bounds of the dot product (times 100) of any two members of two balls."""
     a, b = unpacked(blobs_a), unpacked(blobs_b)
-    norm_a, norm_b = np.linalg.norm(a["center"], axis=1), np.linalg.norm(b["center"], axis=1)
-    reach = np.outer(norm_a, b["radius"]) + np.outer(a["radius"], norm_b) + np.outer(a["radius"], b["radius"])
-    best = a["center"] @ b["center"].T + reach
+    return ball_bounds(a["center"], a["radius"], b["center"], b["radius"])
+
+
+def ball_bounds(centers_a: np.ndarray, radii_a: np.ndarray, centers_b: np.ndarray, radii_b: np.ndarray) -> np.ndarray:
+    norm_a, norm_b = np.linalg.norm(centers_a, axis=1), np.linalg.norm(centers_b, axis=1)
+    reach = np.outer(norm_a, radii_b) + np.outer(radii_a, norm_b) + np.outer(radii_a, radii_b)
+    best = centers_a @ centers_b.T + reach
     return 100 * best + 1e-5 + 1e-9 * np.abs(best)
 
 
@@ -103,3 +107,10 @@ def nearest_center(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.n
     far = (x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None, :]
     best = far.argmin(axis=1)
     return best, far[np.arange(len(x)), best]
+
+
+def packed_block(row: dict) -> tuple[np.ndarray, ...]:
+    """Vectors, ends of the runs, their centers and radii of a packed row."""
+    ends, radii = np.frombuffer(row["ends"], np.int64), np.frombuffer(row["radii"])
+    n, runs = int(ends[-1]), len(ends)
+    return np.frombuffer(row["vectors"]).reshape(n, -1), ends, np.frombuffer(row["centers"]).reshape(runs, -1), radii

@@ -986,3 +986,19 @@ def nearest_in_block(queries, presets, rank, threshold, k):
     value, kind = score[at_q, at_p], np.zeros(len(at_q), np.int64)
     pick = keep_best(at_q, at_p, value, kind, rank, k)
     return at_q[pick], at_p[pick], value[pick], kind[pick]
+
+
+def better_in_block(queries, presets, rank, need, k):
+    """As ``nearest_in_block`` where ``need``, one for each query, is known to rule out most pairs: only those that
+    may reach it are rounded and compared."""
+    score = queries @ presets.T
+    score *= 100.0
+    at_q, at_p = np.nonzero(score >= (need - 1e-6)[:, None])
+    if len(at_q) > 8 * k * len(queries):
+        return nearest_in_block(queries, presets, rank, need, k)
+    value = np.round(score[at_q, at_p], 6)
+    good = value >= need[at_q]
+    at_q, at_p, value = at_q[good], at_p[good], value[good]
+    kind = np.zeros(len(at_q), np.int64)
+    pick = keep_best(at_q, at_p, value, kind, rank, k)
+    return at_q[pick], at_p[pick], value[pick], kind[pick]

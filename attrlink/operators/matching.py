@@ -12,7 +12,7 @@ from ..functions import kernels
 from ..functions import text as X
 from ..schema import KEYS
 from .blocks import block_hits, merge_hits
-from .pruning import few_blocks, pruned_hits, text_arrangement, vector_arrangement
+from .pruning import few_blocks, pruned_hits, streamed_vector_hits, text_arrangement, vector_arrangement
 
 
 def first_rows(reference: DataFrame, by: list[str], columns: list[str], k: int) -> DataFrame:
@@ -130,17 +130,14 @@ def nearest_vectors(
     """Best ``k`` presets per query by the dot product of their ``vector`` columns, times 100.
 
     Equal scores are ordered by ``rank``. Exact: within keys every query block meets every preset block
-    as one matrix product; without keys blocks of near vectors are met best first, and those that can't hold
-    any of the ``k`` best are left out.
+    as one matrix product; without keys packed blocks of near vectors are read where they lie, and those that can't
+    hold any of the ``k`` best are left out.
     """
     keys = keys or []
     bare = presets.select(*keys, preset_id, "rank", "vector")
     if not keys and not few_blocks(queries, bare):
-        found = pruned_hits(
-            queries.select(query_id, "vector"), bare, query_id, preset_id, [preset_id, "rank"], vector_search(k, threshold),
-            vector_arrangement(bare), k, threshold,
-        )
-        return found.hits
+        asked = queries.select(query_id, "vector")
+        return streamed_vector_hits(asked, bare, query_id, preset_id, vector_arrangement(bare), int(k), float(threshold))
     return block_hits(
         queries, bare, keys, [query_id], [preset_id], vector_search(k, threshold), [preset_id, "rank"]
     )

@@ -195,3 +195,110 @@ def vector_arrangement(sample: DataFrame, per_center: int = BLOCK // 2) -> Arran
         return envelopes.of_vectors(kernels.matrix(table["vector"]))
 
     return Arrangement(order, envelope, envelopes.vector_bounds)
+
+
+#: Rows that a packed query row and a packed preset row hold, and rows of a file of them.
+PACKED, FILE_ROWS = (4096, 1024), 1 << 16
+#: Files that presets are dealt to at least, so that few queries make enough tasks.
+PRESET_FILES = 8
+
+
+def _packed(rows: DataFrame, arrangement: Arrangement, by: str, carried: list[str], size: int, files: int, name: str) -> DataFrame:
+    """``rows`` in order, up to ``size`` of them packed into one: lists of ``carried``, the vectors, and the balls of
+    its runs of one group."""
+    types = {c: rows.schema[c].dataType.simpleString() for c in carried}
+    schema = ", ".join(f"`{c}` array<{t}>" for c, t in types.items()) + ", vectors binary, ends binary, centers binary, radii binary"
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        x = kernels.matrix(table["vector"])
+        group = table["__group"].to_numpy()
+        ends = np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))
+        runs = np.split(x, ends[:-1])
+        centers = np.stack([r.mean(axis=0) for r in runs])
+        radii = np.array([np.linalg.norm(r - c, axis=1).max() for r, c in zip(runs, centers, strict=True)])
+        lists = [pa.ListArray.from_arrays([0, len(x)], table[c].combine_chunks()) for c in carried]
+        blobs = [pa.array([a.tobytes()], pa.binary()) for a in (x, ends.astype(np.int64), centers, radii)]
+        return pa.RecordBatch.from_arrays([*lists, *blobs], [*carried, "vectors", "ends", "centers", "radii"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            while held.num_rows >= size:
+                yield pack(held.slice(0, size).combine_chunks())
+                held = held.slice(size)
+        if held is not None and held.num_rows:
+            yield pack(held.combine_chunks())
+
+    ordered = arrangement.order(rows, by).repartitionByRange(files, "__order").sortWithinPartitions("__order")
+    return stage(ordered.select(*carried, "vector", "__group").mapInArrow(run, schema), name)
+
+
+def streamed_vector_hits(queries: DataFrame, presets: DataFrame, by_query: str, by_preset: str, arrangement: Arrangement, k: int, threshold: float) -> DataFrame:
+    """The ``k`` best presets of each query by the dot product of ``vector`` (times 100), file by file of presets.
+
+    Both sides are packed in order. Every packed query row meets the packed preset rows one after the other, which are
+    read where they lie: no vector is shuffled for a meeting. The k-th score so far and the balls of the runs leave out
+    what can't be among the best. A query leaves each file of presets with ``k`` hits, so the hits grow as the queries
+    until the presets need more than PRESET_FILES files."""
+    spark = queries.sparkSession
+    payload = [by_preset, "rank"]
+    counts = queries.count(), presets.count()
+    files = [max(least, -(-n // FILE_ROWS)) for n, least in zip(counts, (min(compute_partitions(spark), -(-counts[0] // PACKED[0])), min(PRESET_FILES, -(-counts[1] // PACKED[1]))), strict=True)]
+    left = _packed(queries, arrangement, by_query, [by_query], PACKED[0], max(1, files[0]), "packed-queries")
+    right = _packed(presets, arrangement, by_preset, payload, PACKED[1], max(1, files[1]), "packed-presets")
+    left = left.select(F.monotonically_increasing_id().alias("block"), *(F.col(c).alias(f"q_{i}") for i, c in enumerate(left.columns)))
+    right = right.select(*(F.col(c).alias(f"p_{i}") for i, c in enumerate(right.columns)))
+    packed = ["vectors", "ends", "centers", "radii"]
+    names = {f"q_{i}": ("q", c) for i, c in enumerate([by_query, *packed])} | {f"p_{i}": ("p", c) for i, c in enumerate([*payload, *packed])}
+    fields = [queries.schema[by_query], *(presets.schema[c] for c in payload)]
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("kind", T.IntegerType())])
+
+    def meet(batches):
+        now, x, state = None, None, None
+
+        def leave():
+            at, ids, rank, score = state
+            arrays = [x[0].take(pa.array(at)), ids, pa.array(rank), pa.array(score), pa.array(np.zeros(len(at), np.int32))]
+            return pa.RecordBatch.from_arrays(arrays, names=[*schema.names])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {"q": {}, "p": {}}
+                for name, (side, column) in names.items():
+                    value = batch.column(batch.schema.get_field_index(name))[i]
+                    row[side][column] = value.values if isinstance(value, pa.ListScalar) else value.as_buffer()
+                block = batch.column(0)[i].as_py()
+                if block != now:
+                    if now is not None:
+                        yield leave()
+                    now, x = block, (row["q"][by_query], *envelopes.packed_block(row["q"]))
+                    need = np.full(len(x[1]), threshold)
+                    state = (np.empty(0, np.int64), row["p"][by_preset].slice(0, 0), np.empty(0, np.int64), np.empty(0))
+                y, ends, centers, radii = envelopes.packed_block(row["p"])
+                low = np.minimum.reduceat(need, np.append(0, x[2][:-1]))
+                close = envelopes.ball_bounds(x[3], x[4], centers, radii) >= low[:, None]
+                if not close.any():
+                    continue
+                run_rows = lambda which, stops: np.nonzero(np.repeat(which, np.diff(stops, prepend=0)))[0]
+                ours, theirs = run_rows(close.any(axis=1), x[2]), run_rows(close.any(axis=0), ends)
+                rank = row["p"]["rank"].to_numpy()
+                search = kernels.better_in_block if np.isfinite(need).all() else kernels.nearest_in_block
+                qi, pi, score, _ = search(x[1][ours], y[theirs], rank[theirs], need[ours], k)
+                if not len(qi):
+                    continue
+                qi, pi = ours[qi], theirs[pi]
+                at, ranks, scores = np.append(state[0], qi), np.append(state[2], rank[pi]), np.append(state[3], score)
+                ids = pa.concat_arrays([state[1], row["p"][by_preset].take(pa.array(pi))])
+                pick = kernels.keep_best(at, np.arange(len(at)), scores, None, ranks, k)
+                at, ranks, scores = at[pick], ranks[pick], scores[pick]
+                state = (at, ids.take(pa.array(pick)), ranks, scores)
+                full = np.bincount(at, minlength=len(need)) >= k
+                kth = np.full(len(need), np.inf)
+                np.minimum.at(kth, at, scores)
+                need = np.where(full, np.maximum(kth, threshold), threshold)
+        if now is not None:
+            yield leave()
+
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(meet, schema)
