@@ -56,7 +56,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(sentencepiece_fst.default_model(), "rb") as file:
-        return sentencepiece_fst.encode(docs, file.read(), ["doc_id"])
+        return sentencepiece_fst.encode(docs, file.read(), ["doc_id"], forget=True)
 
 
 STAGES = [

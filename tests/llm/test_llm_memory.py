@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+import corpus_pipeline
 from attrlink.llm import jaccard, sentencepiece_fst
 from attrlink.llm.common import pack, pack32
 
@@ -33,6 +34,20 @@ def test_ids_leave_in_small_batches(spark):
     assert [x for b in out for x in b.column("ids").to_pylist()] == [model.encode(t) for t in texts]
 
 
+def test_pipeline_leaves_no_solved_chunks_in_its_workers(spark):
+    run_of = _Session(spark)
+    corpus_pipeline.encode(spark, run_of, "")
+    with open(sentencepiece_fst.default_model(), "rb") as file:
+        data = file.read()
+    texts = [f"word{i * 7919} of{i}" for i in range(3_000)]
+    out = list(run_of.run([pa.RecordBatch.from_pydict({"doc_id": range(3_000), "__text": texts})]))
+    model = sentencepiece_fst.compile_model(data)
+    assert not model.solved and not model.older and not model.fits.cache_info().currsize  # before: all of them stayed
+    plain = sentencepiece_fst.Model(data)
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [plain.encode(t) for t in texts]
+    assert plain.solved and plain.fits.cache_info().currsize
+
+
 def test_answers_name_the_smallest_set_of_each_shingle():
     def row(batch, grams, points, sizes, rest, members):
         grams = np.array(grams, dtype=np.uint64)
