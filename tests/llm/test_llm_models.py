@@ -107,6 +107,38 @@ def test_pieces_equal_the_public_library():
         assert mine.decode(ids) == text.replace("▁", " ")
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze, fallback", [(True, True), (True, False), (False, False)])
+def test_normalising_models_equal_the_public_library(rule, squeeze, fallback):
+    import io
+
+    import sentencepiece
+
+    rng, file = random.Random(4), io.BytesIO()
+    words = ["".join(rng.choice("theinorsab") for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter([" ".join(words)] * 3), model_writer=file, model_type="bpe", vocab_size=400 if fallback else 140, byte_fallback=fallback,
+        normalization_rule_name=rule, remove_extra_whitespaces=squeeze, hard_vocab_limit=False, minloglevel=2,
+    )
+    public, mine = sentencepiece.SentencePieceProcessor(model_proto=file.getvalue()), sentencepiece_fst.Model(file.getvalue())
+    alphabet = " \t\n  ab theino \u3000\xa0éè\u0301ﬁ½①Ａｂ中文αβ한ㅎ.!?03▁🙂\u200b\xad\x01ﷺ"
+    texts = ["", " ", "  ", "▁", " ▁ ", "a  b ", "e\u0301", "ﬁn", "ﷺ x", "a ﷺ"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for text in texts:
+        ids, exact = mine.encode_exact(text)
+        assert ids == public.encode(text), text
+        assert mine.decode(ids) == public.decode(ids) and exact == (public.decode(ids) == text)
+
+
+def test_exact_comes_from_decoding(spark):
+    docs = cases.documents(spark, [(1, "same text"), (2, "other words"), (3, None)])
+    data = model_bytes()
+    model = sentencepiece_fst.Model(data)
+    broken = model.encode("other words")[0]
+    model.raw_of[broken] = b"x"  # a piece that decodes to something else
+    assert [model.encode_exact(t)[1] for t in ("same text", "other words", None)] == [True, False, True]
+    assert sentencepiece_fst.encode(docs, data, ["doc_id"]).where("exact").count() == 3
+
+
 def test_unigram_path_is_the_cheapest():
     model = sentencepiece_fst.compile_model(model_bytes())
     rng = random.Random(2)
