@@ -15,6 +15,8 @@ import zlib
 import numpy as np
 import pandas as pd
 
+from . import trees
+
 WORD = 64
 ONE = np.uint64(1)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -47,6 +49,13 @@ QUOTIENT_RANGE = (0.1, 10.0)
 NUMBER_TOLERANCE = 0.001
 # Bounds are single precision; this much is added so that rounding never drops a pair.
 ROUNDING = 0.001
+# Presets from which on trees look for the pairs worth scoring; queries and presets that are compared without them at once.
+TREES_FROM, PART = 512, (1024, 4096)
+# What trees ask for first, and by how much they ask for less while a query has too few hits; no pattern score is above
+# LEAST_ASKED unless spellings are equal.
+ASKED_FIRST, ASKED_STEP, LEAST_ASKED = 96.0, 3.0, 55.0
+# Nodes that trees may look at for one time of asking, as a share of all pairs.
+TREE_SHARE = 1.0
 # Promising pairs per query that are scored first, to learn how good its best matches are: so many, or a share of all.
 SEEDS, SEED_SHARE = 24, 32
 
@@ -790,8 +799,114 @@ def keep_best(q, p, score, kind, rank, k):
 
 def best_in_block(queries, presets, rank, threshold, k, full=False, tile=1 << 17):
     """The ``k`` best presets per query of one bounded block: (query, preset, score, kind). ``threshold`` is a
-    number, or one for each query."""
-    queries, presets = list(queries), list(presets)
+    number, or one for each query.
+
+    Trees find the pairs that may matter (see ``trees``). What they are not made for is compared pair by pair: values
+    longer than a word or without tokens, small blocks, and queries that find too little for trees to pay."""
+    queries, presets, rank = list(queries), list(presets), np.asarray(rank)
+    need = np.array(np.broadcast_to(threshold, len(queries)), dtype=float)
+    if full or len(presets) < TREES_FROM or not queries:
+        return _best_by_parts(queries, presets, rank, need, k, full, tile)
+    plain = [np.array([0 < len(v) <= WORD and not v.isspace() for v in side], dtype=bool) for side in (queries, presets)]
+    asked, offered = plain[0] & (need > LEAST_ASKED), np.nonzero(plain[1])[0]
+    found, left = _best_by_trees(queries, presets, rank, need, k, np.nonzero(asked)[0], offered)
+    parts = [found]
+    closed = asked.copy()
+    closed[left] = False
+    others = np.nonzero(~plain[1])[0]
+    for q, p in ((np.nonzero(~closed)[0], np.arange(len(presets))), (np.nonzero(closed)[0], others)):
+        if len(q) and len(p):
+            got = _best_by_parts([queries[at] for at in q], [presets[at] for at in p], rank[p], need[q], k, full, tile)
+            parts.append([q[got[0]], p[got[1]], *got[2:]])
+    found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    pick = keep_best(*found, rank, k)
+    return [x[pick] for x in found]
+
+
+def _best_by_parts(queries, presets, rank, need, k, full, tile):
+    """Parts of presets one after the other; what a part has found raises what the next ones have to reach."""
+    held = _no_hits()
+    for q0 in range(0, len(queries), PART[0]):
+        some, low = queries[q0 : q0 + PART[0]], need[q0 : q0 + PART[0]].copy()
+        kept = _no_hits()
+        for p0 in range(0, len(presets), PART[1]):
+            got = _best_by_bounds(some, presets[p0 : p0 + PART[1]], rank[p0 : p0 + PART[1]], low, k, full, tile)
+            kept = [np.concatenate([x, y]) for x, y in zip(kept, [got[0], got[1] + p0, *got[2:]], strict=True)]
+            if p0 or p0 + PART[1] < len(presets):
+                pick = keep_best(*kept, rank, k)
+                kept = [x[pick] for x in kept]
+                low = np.maximum(low, _kth_held(kept[0], kept[2], len(some), k))
+        held = [np.concatenate([x, y]) for x, y in zip(held, [kept[0] + q0, *kept[1:]], strict=True)]
+    return held
+
+
+def _kth_held(q, score, nq, k):
+    """Per query the least of its scores if it has ``k`` of them, else -1."""
+    worst = np.full(nq, np.inf)
+    np.minimum.at(worst, q, score)
+    return np.where(np.bincount(q, minlength=nq) >= k, worst, -1.0)
+
+
+def _best_by_trees(queries, presets, rank, need, k, asked, offered):
+    """Hits of the queries ``asked`` among the presets ``offered``, and the queries that are left to other ways.
+
+    High scores are asked for first: a query with ``k`` hits that reach them is done, and the others ask for less."""
+    nq, held = len(queries), _no_hits()
+    if len(offered) < TREES_FROM or not len(asked):
+        return held, asked
+    f = Features(queries + presets)
+    try:
+        index = trees.Index(f, nq, asked, offered, TREE_SHARE / 8)
+    except trees.TooMany:
+        return held, asked
+
+    def ceiling(q, p):
+        return ceilings(f, q, nq + p)
+
+    open_, want = np.arange(len(asked)), ASKED_FIRST
+    while len(open_):
+        still = []
+        for start in range(0, len(open_), trees.QUERIES):
+            which = open_[start : start + trees.QUERIES]
+            low = np.maximum(need[asked[which]], want)
+            try:
+                q, p, _ = index.pairs(which, low, int(len(which) * len(offered) * TREE_SHARE), ceiling)
+            except trees.TooMany:
+                return held, asked[np.concatenate([*still, open_[start:]])]
+            least = np.full(nq, np.inf)
+            least[asked[which]] = low
+            got = _score_listed(f, nq, asked[q], p, least, rank, k)
+            done = (low <= need[asked[which]]) | (np.bincount(got[0], minlength=nq)[asked[which]] >= k)
+            keep = np.isin(got[0], asked[which[done]])
+            held = [np.concatenate([x, y[keep]]) for x, y in zip(held, got, strict=True)]
+            still.append(which[~done])
+        open_, want = np.concatenate(still), want - ASKED_STEP
+    return held, asked[:0]
+
+
+def _score_listed(f, nq, q, p, least, rank, k, batch=1 << 17):
+    """The ``k`` best of the listed pairs (in the order of queries) per query, none below ``least``."""
+    kept = _no_hits()
+    for start in range(0, len(q), batch):
+        at_q, at_p = q[start : start + batch], p[start : start + batch]
+
+        def floor(cheap, at_q=at_q):
+            order = np.lexsort((-cheap, at_q))
+            place = np.arange(len(order)) - np.searchsorted(at_q[order], at_q[order])
+            kth = np.full(nq, -1.0)
+            kth[at_q[order][place == k - 1]] = cheap[order][place == k - 1]
+            return np.maximum(least, kth)[at_q]
+
+        scores = score_pairs(f, at_q, nq + at_p, False, floor)
+        kind, best = scores.argmax(axis=0), scores.max(axis=0)
+        ok = best >= least[at_q]
+        kept = [np.concatenate([x, y[ok]]) for x, y in zip(kept, (at_q, at_p, best, kind), strict=True)]
+    pick = keep_best(*kept, rank, k)
+    return [x[pick] for x in kept]
+
+
+def _best_by_bounds(queries, presets, rank, threshold, k, full, tile):
+    """``best_in_block`` by bounds of all pairs."""
     order = np.argsort(np.fromiter((len(v) for v in queries), np.int64, len(queries)), kind="stable")
     queries, threshold = [queries[at] for at in order], np.broadcast_to(threshold, len(order))[order]
     f = Features(queries + presets)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import compute_partitions
-from . import kernels, native_scores
+from . import kernels, native_scores, trees
 from .text import DIGIT, SPACE, _col, numbers
 
 cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(trees)
 
 # Weights of the weighted score.
 WEIGHTS = {

@@ -17,22 +17,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import kernels, trees
 from ..session import compute_partitions, stage
 
 # executors need no copy of this package: the numpy helpers travel with the task
 cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(trees)
 
 QUERY_BLOCK = 1024
 PRESET_BLOCK = 4096
+#: How many times larger the blocks of a search by trees are, whose work grows little with the presets: each block of
+#: queries brings all presets of its key along, so there should be few.
+TREE_BLOCKS = (8, 16)
 
 
-def add_blocks(queries: DataFrame, presets: DataFrame, keys: list[str], by_query, by_preset):
+def add_blocks(queries: DataFrame, presets: DataFrame, keys: list[str], by_query, by_preset, larger=(1, 1)):
     """Both sides with block numbers ``qb`` and ``pb``, copied to each block they must meet.
 
     Only keys above a block size need numbers; there are at most ``rows / block size`` of them,
     and their table is written first so that its real size decides how it is joined.
     """
+    query_block, preset_block = QUERY_BLOCK * larger[0], PRESET_BLOCK * larger[1]
     if keys:
         counts = queries.groupBy(*keys).agg(F.count("*").alias("nq"), F.lit(0).alias("np"))
         counts = counts.unionByName(
@@ -41,7 +46,7 @@ def add_blocks(queries: DataFrame, presets: DataFrame, keys: list[str], by_query
         large = (
             counts.groupBy(*keys)
             .agg(F.sum("nq").alias("nq"), F.sum("np").alias("np"))
-            .filter((F.col("nq") > QUERY_BLOCK) | (F.col("np") > PRESET_BLOCK))
+            .filter((F.col("nq") > query_block) | (F.col("np") > preset_block))
         )
         large = stage(large, "large-keys")
         if large.isEmpty():
@@ -52,8 +57,8 @@ def add_blocks(queries: DataFrame, presets: DataFrame, keys: list[str], by_query
         nq, n_p = F.coalesce("nq", F.lit(1)), F.coalesce("np", F.lit(1))
     else:
         nq, n_p = F.lit(queries.count()), F.lit(presets.count())
-    q_blocks = F.greatest(F.ceil(nq / QUERY_BLOCK), F.lit(1)).cast("int")
-    p_blocks = F.greatest(F.ceil(n_p / PRESET_BLOCK), F.lit(1)).cast("int")
+    q_blocks = F.greatest(F.ceil(nq / query_block), F.lit(1)).cast("int")
+    p_blocks = F.greatest(F.ceil(n_p / preset_block), F.lit(1)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     queries = queries.withColumn("qb", F.pmod(F.xxhash64(*by_query), q_blocks).cast("int"))
     queries = queries.withColumn("pb", every(p_blocks)).drop("nq", "np")
@@ -70,15 +75,16 @@ def block_hits(
     by_preset: list[str],
     search: Callable[[pa.Table, pa.Table], tuple],
     payload: list[str],
+    larger: tuple[int, int] = (1, 1),
 ) -> DataFrame:
     """Hits of every query block against every preset block of its key.
 
     ``search`` gets the two blocks and returns (query row, preset row, score, kind) arrays.
-    The result has the keys, the ``by_query`` columns, the preset ``payload``, score and kind.
+    ``larger``: how many times the usual sizes the blocks may have. The result has the keys, the ``by_query`` columns, the preset ``payload``, score and kind.
     """
     # both sides may come from one table: give the presets column identities of their own
     presets = presets.select(*(F.col(c).alias(c) for c in presets.columns))
-    left, right = add_blocks(queries, presets, keys, by_query, by_preset)
+    left, right = add_blocks(queries, presets, keys, by_query, by_preset, larger)
     carried = [*keys, *by_query]
     fields = [queries.schema[c] for c in carried] + [presets.schema[c] for c in payload]
     schema = T.StructType(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions import text as X
 from ..schema import KEYS
-from .blocks import block_hits, merge_hits
+from .blocks import TREE_BLOCKS, block_hits, merge_hits
 from .pruning import few_blocks, pruned_hits, streamed_vector_hits, text_arrangement, vector_arrangement
 
 
@@ -68,7 +68,8 @@ def fuzzy(
     presets = values.withColumnRenamed("normalized", "value")
     bare, search = presets.select(*keys, "value", "rank"), fuzzy_search(float(threshold), int(k), full)
     if keys or few_blocks(queries, bare):
-        hits = block_hits(queries, bare, keys, ["normalized"], ["value"], search, ["value", "rank"])
+        larger = (1, 1) if full else TREE_BLOCKS
+        hits = block_hits(queries, bare, keys, ["normalized"], ["value"], search, ["value", "rank"], larger)
     else:
         hits = pruned_hits(
             queries, bare, "normalized", "value", ["value", "rank"], search, text_arrangement(full), int(k), float(threshold)

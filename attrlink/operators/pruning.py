@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import envelopes, kernels
+from ..functions import envelopes, kernels, trees
 from ..session import compute_partitions, stage
 
 cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(trees)
 cloudpickle.register_pickle_by_value(envelopes)
 
 #: Rows of a block, on either side.
